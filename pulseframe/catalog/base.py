@@ -114,7 +114,7 @@ def signals(spark, d) -> DataFrame:
             F.lit("comment").alias("record_type"),
             F.col("doc_id").cast("string").alias("id"),
             F.concat("text", F.lit(" "), "phrase").alias("text"),
-            F.col("ts").alias("timestamp"),
+            F.expr("ts + make_dt_interval(cast(k % 25 AS int))").alias("timestamp"),
             F.round("value").cast("bigint").alias("engagement"),
             F.col("user_id").cast("string").alias("parent_id"),
             F.col("props").alias("metadata"),
@@ -219,24 +219,18 @@ def _calendar_sql(name: str, rows) -> str:
   FROM (VALUES {_values(rows)}) v(column0, column1, column2, column3))"""
 
 
-def rule_regex(patterns) -> str:
-    """Rule patterns for an engine whose word boundary only knows ASCII letters."""
-    word = r"\p{L}\p{N}_"
-    out = []
-    for pattern in patterns:
-        body = pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\d", r"\p{Nd}")
-        tail = f"[{word}]" if body.endswith("%") else f"(?:$|[^{word}])"
-        out.append(f"(?:^|[^{word}]){body}{tail}")
-    return "|".join(out).replace("'", "''")
-
-
-def intent_sql(text: str) -> str:
+def intent_sql(text: str) -> tuple[str, str]:
+    """Rules for an engine whose word boundary only knows ASCII: other letters become ``_`` first."""
     folded = f"trim(replace(replace(replace(lower({text}), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'))"
+    plain = (
+        rf"regexp_replace(regexp_replace({folded}, '[^\x00-\x7f\p{{L}}\p{{N}}]', ' ', 'g'), "
+        r"'[^\x00-\x7f]', '_', 'g')"
+    )
     cases = "\n".join(
-        f"    WHEN regexp_matches({folded}, '{rule_regex(patterns)}') THEN '{label}'"
+        "    WHEN regexp_matches(plain, '" + "|".join(patterns).replace("'", "''") + f"') THEN '{label}'"
         for label, patterns in intent.RULES
     )
-    return f"CASE\n{cases}\n    ELSE 'general_discussion' END"
+    return plain, f"CASE\n{cases}\n    ELSE 'general_discussion' END"
 
 
 SENTIMENT_SQL = """CASE WHEN vader_compound >= 0.05 THEN 'positive'
@@ -264,7 +258,7 @@ VIEW_SQL = {
          CAST(json_extract_string(props, '$.k') AS BIGINT) / 100.0::DOUBLE AS p FROM events)""",
     "sig": f"""sig AS (
   SELECT source, 'comment' AS record_type, CAST(doc_id AS VARCHAR) AS id, text || ' ' || phrase AS text,
-         ts AS "timestamp", CAST(round(value) AS BIGINT) AS engagement, CAST(user_id AS VARCHAR) AS parent_id,
+         ts + to_days(CAST(k % 25 AS INTEGER)) AS "timestamp", CAST(round(value) AS BIGINT) AS engagement, CAST(user_id AS VARCHAR) AS parent_id,
          props AS metadata, doc_id, lang, quality, toxic, event_type, k,
          (k - 50) / 50.0::DOUBLE AS vader_compound, k / 100.0::DOUBLE AS actionable_probability,
          CASE WHEN toxic = 1 THEN 'unavailable' WHEN quality IS NOT NULL THEN 'oof_supervised'
@@ -272,8 +266,9 @@ VIEW_SQL = {
   FROM documents d JOIN (SELECT *, {_PHRASE} AS phrase FROM
       (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)) e ON e.event_id = d.doc_id
   LEFT JOIN labels l USING (doc_id))""",
-    "lsig": f"""lsig AS (
-  SELECT *, {intent_sql('text')} AS intent_label, {SENTIMENT_SQL} AS sentiment_label FROM sig)""",
+    "lsig": f"""lsig AS MATERIALIZED (
+  SELECT * EXCLUDE (plain), {intent_sql('text')[1]} AS intent_label, {SENTIMENT_SQL} AS sentiment_label
+  FROM (SELECT *, {intent_sql('text')[0]} AS plain FROM sig))""",
     "ssig": f"""ssig AS (
   SELECT *, {INTENT_WEIGHT_SQL} AS intent_weight, {SENTIMENT_WEIGHT_SQL} AS sentiment_weight,
          ln(1 + greatest(engagement, 0)) AS engagement_weight,

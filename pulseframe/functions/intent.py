@@ -121,14 +121,27 @@ def rules_for(
     return tuple((label, patterns + extra.get(label, ())) for label, patterns in RULES)
 
 
+def _first_characters(pattern: str) -> set[str]:
+    body = pattern.removeprefix(r"\b")
+    branches = body[3 : body.index(")")].split("|") if body.startswith("(?:") else [body]
+    return set().union(*[set("0123456789") if b.startswith(r"\d") else {b[0]} for b in branches])
+
+
+def label_regex(patterns: Sequence[str]) -> str:
+    """One regex for all patterns of a label, cheap where no pattern can start.
+
+    The look-ahead on the first characters runs before the costlier Unicode word-boundary test.
+    ``(?U)``: boundaries and digits follow Unicode, so accented letters count as letters.
+    """
+    starts = "".join(sorted(set().union(*[_first_characters(p) for p in patterns])))
+    bodies = "|".join(p.removeprefix(r"\b") for p in patterns)
+    return rf"(?U)(?=[{starts}])\b(?:{bodies})"
+
+
 def intent_label(text: Column, rules=RULES) -> Column:
     """First rule set with a match, else general discussion. One regex per label."""
     subject = F.trim(casefold(F.coalesce(text, F.lit(""))))
-    # (?U): word boundaries and digits follow Unicode, so accented letters count as letters.
-    hits = [
-        F.when(subject.rlike("(?U)" + "|".join(patterns)), F.lit(label))
-        for label, patterns in rules
-    ]
+    hits = [F.when(subject.rlike(label_regex(patterns)), F.lit(label)) for label, patterns in rules]
     return F.coalesce(*hits, F.lit(GENERAL))
 
 

@@ -47,12 +47,12 @@ def iso_to_timestamp(text: Column, formats: Sequence[str] = ()) -> Column:
 
 def timestamp_outcome(
     raw: Column,
-    now: Column | None = None,
+    now: Column | str | None = None,
     assume_utc: bool = False,
     formats: Sequence[str] = (),
 ) -> Column:
     """Struct ``(outcome, ts)``; outcome is valid, missing, naive, unparsed, epoch_zero or future."""
-    now = F.current_timestamp() if now is None else now
+    now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     text = F.trim(raw)
     numeric = text.rlike(_NUMBER)
     seconds = F.when(numeric, text.try_cast("double"))
@@ -75,7 +75,7 @@ def timestamp_outcome(
 
 def parse_timestamp(
     raw: Column,
-    now: Column | None = None,
+    now: Column | str | None = None,
     assume_utc: bool = False,
     formats: Sequence[str] = (),
 ) -> Column:

@@ -64,3 +64,11 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
 def keyed(series_cols: Sequence[str]) -> list:
     """Partition keys of a per-series window; one constant key when there is a single series."""
     return [F.col(c) for c in series_cols] or [F.lit(1)]
+
+
+def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
+    """Columns of several one-row frames in one row: union, then the only value of each column."""
+    stacked = one_row_frames[0]
+    for frame in one_row_frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
