@@ -66,15 +66,15 @@ def _(spark, d):
     return out.select("bin", "n", rnd("mean_predicted").alias("mean_predicted"), rnd("observed_rate").alias("observed_rate"))
 
 
-@query("d31_reliability_table", with_views("ev", f""", q AS (SELECT * FROM ev WHERE p < 0.55),
-  b AS (SELECT {_bin_sql(5)} AS bin, count(*)::DOUBLE AS n, avg(p) AS mp, avg(y) AS p FROM q GROUP BY 1),
+@query("d31_reliability_table", with_views("ev", f""", q AS (SELECT * REPLACE (p * 0.55::DOUBLE AS p) FROM ev),
+  b AS (SELECT {_bin_sql(5)} AS bin, count(*)::DOUBLE AS n, avg(p) AS mp, avg(y) AS rate FROM q GROUP BY 1),
   s AS (SELECT * FROM (VALUES (0, '0.0-0.2'), (1, '0.2-0.4'), (2, '0.4-0.6'), (3, '0.6-0.8'), (4, '0.8-1.0')) v(bin, label))
-  SELECT label AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, {rsql('mp')} AS mean_predicted, {rsql('p')} AS observed_rate,
+  SELECT label AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, {rsql('mp')} AS mean_predicted, {rsql('rate')} AS observed_rate,
   {rsql('(p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)')} AS observed_95_low,
   {rsql('(p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)')} AS observed_95_high
-  FROM s LEFT JOIN b USING (bin)"""))
+  FROM s LEFT JOIN (SELECT *, rate AS p FROM b) b USING (bin)"""))
 def _(spark, d):
-    table = ev_ops.score_table(events(spark, d).filter("p < 0.55"), "y", "p")
+    table = ev_ops.score_table(events(spark, d).withColumn("p", F.col("p") * 0.55), "y", "p")
     out = ev_ops.reliability_table(spark, table)
     return out.select("bin", "n", *[rnd(c).alias(c) for c in ("mean_predicted", "observed_rate", "observed_95_low", "observed_95_high")])
 
