@@ -354,11 +354,11 @@ _HASH = "sha256(replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'),
 
 
 @query("c13_near_duplicates", with_views("lab", ", src AS (SELECT record_id AS doc, text, parent_id, label_a FROM lab)" + _gram_sql("src", _HASH) + """,
-  at AS (SELECT min(record_id) AS doc, count(*) AS copies, min(parent_id) AS g0, max(parent_id) AS g1, min(label_a) AS l0, max(label_a) AS l1 FROM (SELECT *, """ + _HASH + """ FROM lab) GROUP BY h),
+  att AS (SELECT min(record_id) AS doc, count(*) AS copies, min(parent_id) AS g0, max(parent_id) AS g1, min(label_a) AS l0, max(label_a) AS l1 FROM (SELECT *, """ + _HASH + """ FROM lab) GROUP BY h),
   cs AS (SELECT a.doc AS da, b.doc AS db, sum(a.w * b.w) AS s FROM wt a JOIN wt b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8)
   SELECT da AS record_id_a, db AS record_id_b, x.copies AS copies_a, y.copies AS copies_b, round(s, 3) AS similarity,
     NOT (x.g0 = x.g1 AND y.g0 = y.g1 AND x.g0 = y.g0) AS crosses_groups, NOT (x.l0 = x.l1 AND y.l0 = y.l1 AND x.l0 = y.l0) AS labels_differ
-  FROM cs JOIN at x ON x.doc = da JOIN at y ON y.doc = db"""))
+  FROM cs JOIN att x ON x.doc = da JOIN att y ON y.doc = db"""))
 def _(spark, d):
     return ve.near_duplicate_pairs(corpus(spark, d), "record_id", "parent_id", "corrected_label")
 
@@ -570,7 +570,7 @@ _ATTACH_SQL = f""", co AS (SELECT doc_id, {_KEY} AS tk, CASE WHEN doc_id % 4 <>
   ct AS (SELECT tk, arg_max(op, CAST(doc_id AS VARCHAR)) FILTER (op IS NOT NULL) AS pt FROM co GROUP BY 1),
   sg AS (SELECT s.*, {_KEY} AS tk FROM sig s),
   jn AS (SELECT sg.*, co.op AS pi, co.doc_id IS NOT NULL AS ti, ct.pt, ct.tk IS NOT NULL AS tt FROM sg LEFT JOIN co ON co.doc_id = sg.doc_id AND sg.k >= 50 LEFT JOIN ct ON ct.tk = sg.tk),
-  at AS (SELECT *, CASE WHEN coalesce(pi, pt) IS NOT NULL THEN 'oof_supervised' WHEN ti OR tt THEN 'excluded_training_row' WHEN k >= 10 THEN 'persisted_supervised' ELSE 'unavailable' END AS src,
+  att AS (SELECT *, CASE WHEN coalesce(pi, pt) IS NOT NULL THEN 'oof_supervised' WHEN ti OR tt THEN 'excluded_training_row' WHEN k >= 10 THEN 'persisted_supervised' ELSE 'unavailable' END AS src,
     CASE WHEN coalesce(pi, pt) IS NOT NULL THEN coalesce(pi, pt) WHEN ti OR tt THEN NULL WHEN k >= 10 THEN k / 100.0::DOUBLE END AS pp FROM jn)"""
 
 
@@ -584,11 +584,11 @@ def _attached(spark, d):
     return pr.attach_probabilities(sig, train, F.when(F.col("k") >= 10, F.col("k") / F.lit(100.0)))
 
 
-@query("c6_attach_probabilities", with_views("sig lab", _ATTACH_SQL.replace("sg AS (SELECT s.*, " + _KEY + " AS tk FROM sig s)", "sg AS (SELECT s.* EXCLUDE (text), " + TEXT_KEY_SQL.format("d.text") + " AS tk FROM sig s JOIN documents d USING (doc_id))") + f" SELECT doc_id, {rsql('pp')} AS actionable_probability, src AS probability_source FROM at"))
+@query("c6_attach_probabilities", with_views("sig lab", _ATTACH_SQL.replace("sg AS (SELECT s.*, " + _KEY + " AS tk FROM sig s)", "sg AS (SELECT s.* EXCLUDE (text), " + TEXT_KEY_SQL.format("d.text") + " AS tk FROM sig s JOIN documents d USING (doc_id))") + f" SELECT doc_id, {rsql('pp')} AS actionable_probability, src AS probability_source FROM att"))
 def _(spark, d):
     return _attached(spark, d).select("doc_id", rnd("actionable_probability").alias("actionable_probability"), "probability_source")
 
 
-@query("d65_probability_sources", with_views("sig lab", _ATTACH_SQL.replace("sg AS (SELECT s.*, " + _KEY + " AS tk FROM sig s)", "sg AS (SELECT s.* EXCLUDE (text), " + TEXT_KEY_SQL.format("d.text") + " AS tk FROM sig s JOIN documents d USING (doc_id))") + f" SELECT src AS probability_source, count(*) AS rows, count(pp) AS with_probability, {rsql('avg(pp)')} AS mean_probability FROM at GROUP BY 1"))
+@query("d65_probability_sources", with_views("sig lab", _ATTACH_SQL.replace("sg AS (SELECT s.*, " + _KEY + " AS tk FROM sig s)", "sg AS (SELECT s.* EXCLUDE (text), " + TEXT_KEY_SQL.format("d.text") + " AS tk FROM sig s JOIN documents d USING (doc_id))") + f" SELECT src AS probability_source, count(*) AS rows, count(pp) AS with_probability, {rsql('avg(pp)')} AS mean_probability FROM att GROUP BY 1"))
 def _(spark, d):
     return pr.source_counts(_attached(spark, d)).withColumn("mean_probability", rnd("mean_probability"))

@@ -223,7 +223,7 @@ def backtest_grouped(
         return out
 
     if not keys:
-        return indexed.groupBy(F.lit(1)).applyInPandas(run, schema)
+        return indexed.groupBy(F.lit("all").alias("_all")).applyInPandas(run, schema)
     return indexed.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -209,7 +209,7 @@ def leave_one_origin_out(per_origin: DataFrame, series_cols: Sequence[str] = ())
 def ranking_sensitivity(bt: DataFrame, reference_model: str, series_cols: Sequence[str] = (), evidence: int = MIN_FORECASTS) -> DataFrame:
     """Leader, runner-up, the origin behind their gap and whether the ranking is fragile."""
     keys = list(series_cols)
-    series_key = keys or [F.lit(1).alias("_one")]
+    series_key = keys or [F.lit("all").alias("_one")]
     subset = matched_origins(bt, reference_model, keys)
     origin_table = per_origin_errors(subset, keys)
     models = origin_table.groupBy(*series_key, "model").agg(

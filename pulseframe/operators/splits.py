@@ -91,7 +91,7 @@ def assign_groups(df: DataFrame, seed: int = 42, fractions: Mapping[str, float]
     )
     if fits_broadcast(sizes):
         # At most BROADCAST_ROWS groups, one row each.
-        return sizes.groupBy(F.lit(1)).applyInPandas(lambda pdf: _greedy(pdf, fractions), "group_key string, split string")
+        return sizes.groupBy(F.lit("all").alias("_all")).applyInPandas(lambda pdf: _greedy(pdf, fractions), "group_key string, split string")
     by_hash = materialise(
         sizes.groupBy(F.conv(F.substring("order", 1, 13), 16, 10).cast("double").alias("place")).agg(F.sum("rows").alias("rows")), "places"
     )

@@ -21,6 +21,8 @@ WORD = r"(?U)\b\w\w+\b"
 TERM_SALTS = 64
 #: Postings of one gram that a single task pairs up.
 POSTINGS_PER_BLOCK = 2000
+#: Norm of the frequent grams left out of the candidate join; must stay below the threshold.
+REST_NORM = 0.6
 
 
 def _windows(items: Column, size: Column, n: int, take) -> Column:
@@ -78,23 +80,23 @@ def tfidf(counts: DataFrame, n_docs: int, sublinear: bool = False, copies: str |
     return joined.withColumn("weight", F.col("_raw") / norm).drop("_raw")
 
 
-def _prefix(weights: DataFrame, threshold: float) -> DataFrame:
-    """Rarest terms of each document down to the point where the rest cannot reach the threshold alone.
+def _prefix(weights: DataFrame, rest_norm: float) -> DataFrame:
+    """Rarest terms of each document, up to the point where the others have at most ``rest_norm``.
 
-    The rarest common term of a pair at or above the threshold lies in both prefixes, so a join of prefixes
-    finds every such pair.
+    Terms beyond the shorter prefix of a pair add at most ``rest_norm`` to its cosine, so a pair at or above the
+    threshold must reach ``threshold - rest_norm`` on the terms both prefixes share. No such pair is missed.
     """
     rare_first = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first), F.lit(0.0))
     return weights.withColumn("_rest", F.lit(1.0) - used).filter(
-        F.col("_rest") >= F.lit(threshold * threshold - 1e-9)
+        F.col("_rest") >= F.lit(rest_norm * rest_norm - 1e-9)
     ).drop("_rest")
 
 
 def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
     """Give each posting its block keys: terms with many postings are cut into blocks that meet pairwise."""
     sizes = prefix.groupBy("term").agg(F.ceil(F.count("*") / F.lit(POSTINGS_PER_BLOCK)).cast("int").alias("_blocks"))
-    placed = _join_terms(prefix.select("doc", "term", sides.alias("side")), sizes).withColumn(
+    placed = _join_terms(prefix.select("doc", "term", "weight", sides.alias("side")), sizes).withColumn(
         "_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -103,15 +105,20 @@ def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
     )
 
 
-def _candidates(prefix: DataFrame, two_sided: bool) -> DataFrame:
-    posts = _blocked(prefix, F.col("side") if two_sided else F.lit(0))
+def _candidates(weights: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
+    """Pairs whose shared rare terms leave the threshold within reach."""
+    rest = min(REST_NORM, threshold * 0.75)
+    posts = _blocked(_prefix(weights, rest), F.col("side") if two_sided else F.lit(0))
     keys = ["term", "_lo", "_hi"]
-    columns = [*keys, "doc", "_own", "side"]
+    columns = [*keys, "doc", "_own", "side", "weight"]
     a = posts.select(*[F.col(c).alias(c if c in keys else f"{c}_a") for c in columns])
     b = posts.select(*[F.col(c).alias(c if c in keys else f"{c}_b") for c in columns])
     order = (F.col("side_a") < F.col("side_b")) if two_sided else (F.col("doc_a") < F.col("doc_b"))
     meet = (F.least("_own_a", "_own_b") == F.col("_lo")) & (F.greatest("_own_a", "_own_b") == F.col("_hi"))
-    return a.join(b, keys).filter(order & meet).select("doc_a", "doc_b").distinct()
+    partial = a.join(b, keys).filter(order & meet).groupBy("doc_a", "doc_b").agg(
+        F.sum(F.col("weight_a") * F.col("weight_b")).alias("_partial")
+    )
+    return partial.filter(F.col("_partial") >= threshold - rest - 1e-9).select("doc_a", "doc_b")
 
 
 def _cosines(weights: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -148,7 +155,7 @@ def near_duplicate_pairs(
     counts = term_counts(texts, "doc", char_grams(F.col("text"))).join(texts.select("doc", "copies"), "doc")
     n = texts.agg(F.sum("copies")).first()[0] or 0
     weights = materialise(tfidf(counts, n, copies="copies"), "grams")
-    found = _cosines(weights, _candidates(_prefix(weights, threshold), False), threshold)
+    found = _cosines(weights, _candidates(weights, threshold, False), threshold)
     info = texts.drop("text", "text_hash")
     a = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
     b = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
@@ -183,7 +190,7 @@ def near_duplicates_of(
     counts = term_counts(texts, "doc", char_grams(F.col("text"))).join(texts.select("doc", "copies", "side"), "doc")
     n = texts.agg(F.sum("copies")).first()[0] or 0
     weights = materialise(tfidf(counts, n, copies="copies"), "grams")
-    found = _cosines(weights, _candidates(_prefix(weights, threshold), True), threshold)
+    found = _cosines(weights, _candidates(weights, threshold, True), threshold)
     hashes = found.select(F.substring("doc_a", 1, 64).alias("_key")).distinct()
     return pool.select(F.col(pool_id), key.alias("_key")).join(hashes, "_key", "left_semi").select(pool_id)
 
