@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text as tx
-from pulseframe.session import fits_broadcast, materialise, side_by_side
+from pulseframe.session import fits_broadcast, materialise, side_by_side, spread
 
 # --- fixed values -------------------------------------------------------------
 NEAR_DUPLICATE = 0.80
@@ -66,31 +66,34 @@ def _join_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
     return salted.join(spread, ["term", "_salt"]).drop("_salt")
 
 
-def tfidf(counts: DataFrame, n_docs: int, sublinear: bool = False, copies: str | None = None) -> DataFrame:
+def tfidf(counts: DataFrame, n_docs: int, sublinear: bool = False, copies: str | None = None, numbered: bool = False) -> DataFrame:
     """L2-normalised weights with smooth idf ``ln((1+n)/(1+df))+1``, one row per (doc, term).
 
-    ``copies`` names a column that says how many rows a document stands for.
+    ``copies`` names a column that says how many rows a document stands for. ``numbered`` replaces terms by
+    numbers given once when the vocabulary is written, so that joins on them compare integers.
     """
     seen = F.sum(copies) if copies else F.count("*")
     frequency = counts.groupBy("term").agg(seen.alias("df"))
+    if numbered:
+        frequency = materialise(frequency.withColumn("_no", F.monotonically_increasing_id()), "vocabulary")
     tf = F.lit(1.0) + F.log(F.col("tf")) if sublinear else F.col("tf").cast("double")
     raw = tf * (F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
     joined = _join_terms(counts, frequency).withColumn("_raw", raw)
+    if numbered:
+        joined = joined.withColumn("term", F.col("_no")).drop("_no")
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc")))
     return joined.withColumn("weight", F.col("_raw") / norm).drop("_raw")
 
 
-def _prefix(weights: DataFrame, rest_norm: float) -> DataFrame:
-    """Rarest terms of each document, up to the point where the others have at most ``rest_norm``.
+def _with_prefix(weights: DataFrame, rest_norm: float) -> DataFrame:
+    """Mark the rarest terms of each document, up to the point where the others have at most ``rest_norm``.
 
     Terms beyond the shorter prefix of a pair add at most ``rest_norm`` to its cosine, so a pair at or above the
     threshold must reach ``threshold - rest_norm`` on the terms both prefixes share. No such pair is missed.
     """
     rare_first = Window.partitionBy("doc").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     used = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(rare_first), F.lit(0.0))
-    return weights.withColumn("_rest", F.lit(1.0) - used).filter(
-        F.col("_rest") >= F.lit(rest_norm * rest_norm - 1e-9)
-    ).drop("_rest")
+    return weights.withColumn("rare", F.lit(1.0) - used >= F.lit(rest_norm * rest_norm - 1e-9))
 
 
 def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
@@ -105,10 +108,14 @@ def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
     )
 
 
-def _candidates(weights: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
-    """Pairs whose shared rare terms leave the threshold within reach."""
+def _similar(weights: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
+    """Pairs at or above the threshold with their cosine.
+
+    ``weights`` carries numeric doc and term and the ``rare`` mark. The join of rare terms yields candidates and
+    most of their cosine; only candidates then fetch what a frequent term of either side adds.
+    """
     rest = min(REST_NORM, threshold * 0.75)
-    posts = _blocked(_prefix(weights, rest), F.col("side") if two_sided else F.lit(0))
+    posts = _blocked(weights.filter("rare"), F.col("side") if two_sided else F.lit(0))
     keys = ["term", "_lo", "_hi"]
     columns = [*keys, "doc", "_own", "side", "weight"]
     a = posts.select(*[F.col(c).alias(c if c in keys else f"{c}_a") for c in columns])
@@ -116,18 +123,34 @@ def _candidates(weights: DataFrame, threshold: float, two_sided: bool) -> DataFr
     order = (F.col("side_a") < F.col("side_b")) if two_sided else (F.col("doc_a") < F.col("doc_b"))
     meet = (F.least("_own_a", "_own_b") == F.col("_lo")) & (F.greatest("_own_a", "_own_b") == F.col("_hi"))
     partial = a.join(b, keys).filter(order & meet).groupBy("doc_a", "doc_b").agg(
-        F.sum(F.col("weight_a") * F.col("weight_b")).alias("_partial")
+        F.sum(F.col("weight_a") * F.col("weight_b")).alias("part")
     )
-    return partial.filter(F.col("_partial") >= threshold - rest - 1e-9).select("doc_a", "doc_b")
+    found = materialise(partial.filter(F.col("part") >= threshold - rest - 1e-9), "candidates")
+    pairs = found.select("doc_a", "doc_b")
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("doc").alias(f"doc_{name}"), "term", F.col("weight").alias(f"w_{name}"))
 
-def _cosines(weights: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    left = weights.select(F.col("doc").alias("doc_a"), "term", F.col("weight").alias("_wa"))
-    right = weights.select(F.col("doc").alias("doc_b"), "term", F.col("weight").alias("_wb"))
-    dots = pairs.join(left, "doc_a").join(right, ["doc_b", "term"]).groupBy("doc_a", "doc_b").agg(
-        F.sum(F.col("_wa") * F.col("_wb")).alias("similarity")
-    )
-    return dots.filter(F.col("similarity") >= threshold)
+    frequent = weights.filter(~F.col("rare"))
+    product = (F.col("w_a") * F.col("w_b")).alias("part")
+    first = pairs.join(side(frequent, "a"), "doc_a").join(side(weights, "b"), ["doc_b", "term"]).select("doc_a", "doc_b", product)
+    second = pairs.join(side(frequent, "b"), "doc_b").join(side(weights.filter("rare"), "a"), ["doc_a", "term"]).select("doc_a", "doc_b", product)
+    total = found.unionByName(first).unionByName(second).groupBy("doc_a", "doc_b").agg(F.sum("part").alias("similarity"))
+    return total.filter(F.col("similarity") >= threshold)
+
+
+def _weights(texts: DataFrame, threshold: float) -> DataFrame:
+    """Written gram weights of ``texts (no, text, copies[, side])``."""
+    carried = [c for c in ("copies", "side") if c in texts.columns]
+    counts = term_counts(texts, "no", char_grams(F.col("text"))).join(texts.select(F.col("no").alias("doc"), *carried), "doc")
+    n = texts.agg(F.sum("copies")).first()[0] or 0
+    marked = _with_prefix(tfidf(counts, n, copies="copies", numbered=True), min(REST_NORM, threshold * 0.75))
+    return materialise(marked, "grams")
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """Texts written once with a number per row, in at least one partition per core."""
+    return spread(materialise(texts.withColumn("no", F.monotonically_increasing_id()), "texts"))
 
 
 def distinct_texts(df: DataFrame, id_col: str, attributes: Sequence[str] = ()) -> DataFrame:
@@ -151,12 +174,9 @@ def near_duplicate_pairs(
     Exact copies appear as ``copies_a`` / ``copies_b`` of their representative (see ``copy_groups`` for the
     rows behind it), so the output does not grow with the square of a copied text.
     """
-    texts = materialise(distinct_texts(df, id_col, [group_col, label_col]), "texts")
-    counts = term_counts(texts, "doc", char_grams(F.col("text"))).join(texts.select("doc", "copies"), "doc")
-    n = texts.agg(F.sum("copies")).first()[0] or 0
-    weights = materialise(tfidf(counts, n, copies="copies"), "grams")
-    found = _cosines(weights, _candidates(weights, threshold, False), threshold)
-    info = texts.drop("text", "text_hash")
+    texts = _numbered(distinct_texts(df, id_col, [group_col, label_col]))
+    found = _similar(_weights(texts, threshold), threshold, False)
+    info = texts.drop("text", "text_hash").withColumnRenamed("doc", "record_id").withColumnRenamed("no", "doc")
     a = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
     b = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
     full = found.join(a, "doc_a").join(b, "doc_b")
@@ -165,8 +185,13 @@ def near_duplicate_pairs(
         low_a, high_a, low_b, high_b = (F.col(f"{column}_{e}_{s}") for s in "ab" for e in ("min", "max"))
         return ~(low_a.eqNullSafe(high_a) & low_b.eqNullSafe(high_b) & low_a.eqNullSafe(low_b))
 
+    # Numbers order the join; the output names the smaller id first.
+    swap = F.col("record_id_a") > F.col("record_id_b")
     return full.select(
-        F.col("doc_a").alias("record_id_a"), F.col("doc_b").alias("record_id_b"), "copies_a", "copies_b",
+        F.least("record_id_a", "record_id_b").alias("record_id_a"),
+        F.greatest("record_id_a", "record_id_b").alias("record_id_b"),
+        F.when(swap, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_a"),
+        F.when(swap, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_b"),
         F.round("similarity", 3).alias("similarity"),
         differs(group_col).alias("crosses_groups"), differs(label_col).alias("labels_differ"),
     )
@@ -186,12 +211,10 @@ def near_duplicates_of(
     key = F.sha2(tx.casefold(F.coalesce(F.col("text"), F.lit(""))), 256)
     left = distinct_texts(pool.select(pool_id, "text"), pool_id).select("text_hash", "text", "copies", F.lit(0).alias("side"))
     right = distinct_texts(reference.select(reference_id, "text"), reference_id).select("text_hash", "text", "copies", F.lit(1).alias("side"))
-    texts = materialise(left.unionByName(right).withColumn("doc", F.concat("text_hash", F.lit("-"), "side")), "texts")
-    counts = term_counts(texts, "doc", char_grams(F.col("text"))).join(texts.select("doc", "copies", "side"), "doc")
-    n = texts.agg(F.sum("copies")).first()[0] or 0
-    weights = materialise(tfidf(counts, n, copies="copies"), "grams")
-    found = _cosines(weights, _candidates(weights, threshold, True), threshold)
-    hashes = found.select(F.substring("doc_a", 1, 64).alias("_key")).distinct()
+    texts = _numbered(left.unionByName(right))
+    found = _similar(_weights(texts, threshold), threshold, True)
+    matched = found.select(F.col("doc_a").alias("no")).distinct()
+    hashes = texts.join(matched, "no", "left_semi").select(F.col("text_hash").alias("_key"))
     return pool.select(F.col(pool_id), key.alias("_key")).join(hashes, "_key", "left_semi").select(pool_id)
 
 

@@ -49,6 +49,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a written table at least one partition per core; a table with more partitions stays as it is.
+
+    For steps that expand each row many times, where the input is small but the work is not.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame provably holds at most ``rows`` rows (reads ``rows + 1`` at most)."""
     return df.limit(rows + 1).count() <= rows
