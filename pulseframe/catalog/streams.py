@@ -1,0 +1,43 @@
+"""Streaming jobs run over the signals written as files (M1-M3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseframe.catalog.base import calendar, query, rnd, rsql, signals, stamp, with_views
+from pulseframe.session import work_path
+from pulseframe.streaming import jobs
+
+
+def _stream(spark, df):
+    path = work_path(spark, "arrivals")
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _run(spark, stream):
+    path = work_path(spark, "out")
+    jobs.run_to_table(stream, path, work_path(spark, "progress"))
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("m1_streaming_clean", with_views("sig", " SELECT id FROM sig WHERE k >= 10"))
+def _(spark, d):
+    sig = signals(spark, d).withColumn("text", F.when(F.col("k") < 10, "[removed]").otherwise(F.col("text"))).select("id", "text", "timestamp")
+    return _run(spark, jobs.clean_stream(_stream(spark, sig.unionByName(sig)), delay="60 days")).select("id")
+
+
+@query("m2_streaming_weeks")
+def _(spark, d):
+    sig = signals(spark, d).select("timestamp", "actionable_probability", "probability_source")
+    out = _run(spark, jobs.weekly_stream(_stream(spark, sig)))
+    return out.select(stamp("period_start").alias("period_start"), "total_comments", rnd("actionable_probability_mass").alias("actionable_probability_mass"))
+
+
+@query("m3_streaming_events", with_views("sig cal", f" SELECT id, coalesce(c.event_window, 'pre_announcement') AS event_window, {rsql('(epoch_us(s.timestamp) - epoch_us(c.event_date)) / 8.64e10')} AS days_since_event FROM sig s ASOF LEFT JOIN (SELECT event_date, event_window FROM cal) c ON s.timestamp >= c.event_date"))
+def _(spark, d):
+    sig = signals(spark, d).select("id", "timestamp")
+    out = _run(spark, jobs.annotate_stream(_stream(spark, sig), calendar(spark)))
+    return out.select("id", "event_window", rnd("days_since_event").alias("days_since_event"))
+
+

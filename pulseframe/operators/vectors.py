@@ -35,7 +35,12 @@ def word_terms(body: Column, ngrams: int = 1) -> Column:
     """Words of two or more characters in lower case, and their n-grams up to ``ngrams``."""
     words = F.regexp_extract_all(F.lower(F.coalesce(body, F.lit(""))), F.lit(WORD), 0)
     join = lambda items, i, n: F.array_join(F.slice(items, i, n), " ")
-    return F.concat(words, *[_windows(words, F.size(words), n, join) for n in range(2, ngrams + 1)])
+    if ngrams == 1:
+        return words
+    # The words are bound once as a lambda argument; inside the windows they would be extracted again per step.
+    return F.flatten(
+        F.transform(F.array(words), lambda w: F.concat(w, *[_windows(w, F.size(w), n, join) for n in range(2, ngrams + 1)]))
+    )
 
 
 def char_grams(body: Column, low: int = GRAM_SIZES[0], high: int = GRAM_SIZES[1]) -> Column:

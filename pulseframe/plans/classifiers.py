@@ -275,8 +275,9 @@ def majority_baseline(train: DataFrame, df: DataFrame, label: str) -> DataFrame:
     # One entry per class.
     priors = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("n"))))).scalar()
     total = counts.agg(F.sum("n")).scalar()
-    scores = F.transform(priors, lambda c: F.struct(c.getField("label").alias("label"), (c.getField("n") / total).alias("score")))
-    return df.withColumns({"predicted_label": best, "scores": scores})
+    rows = df.withColumns({"predicted_label": best, "_priors": priors, "_total": total})
+    scores = F.transform("_priors", lambda c: F.struct(c.getField("label").alias("label"), (c.getField("n") / F.col("_total")).alias("score")))
+    return rows.withColumn("scores", scores).drop("_priors", "_total")
 
 
 def rule_baseline(df: DataFrame, binary: bool = False) -> DataFrame:
