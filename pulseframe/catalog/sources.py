@@ -52,8 +52,10 @@ def _(spark, d):
     conv = _conversation_payloads(spark, d, True)
     post = F.struct(F.concat(F.lit("p"), "conv_id").alias("id"), F.concat(F.lit("Thread "), "conv_id").alias("title"), F.col("text").alias("selftext"),
                     F.lit(1.7e9).alias("created_utc"), F.length("text").cast("bigint").alias("score"), F.concat(F.lit("/t/"), "conv_id").alias("permalink"))
-    payloads = conv.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("position"), F.lit("s").alias("subreddit"), F.lit("q").alias("query"), F.to_json(F.struct(F.array(post).alias("data"))).alias("payload"))
-    out = landing.flatten_submissions(payloads)
+    payloads = conv.select(F.lit("s").alias("subreddit"), F.lit("q").alias("query"), F.to_json(F.struct(F.array(post).alias("data"))).alias("payload"))
+    # Two queries return every post.
+    twice = payloads.withColumn("position", F.lit(0)).unionByName(payloads.withColumn("position", F.lit(1)))
+    out = landing.flatten_submissions(twice)
     return out.select("id", F.md5("text").alias("text_md5"), "permalink", F.col("engagement").cast("bigint").alias("engagement"))
 
 
