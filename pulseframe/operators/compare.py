@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions import scoring
 from pulseframe.operators.backtest import COMPLEXITY
 from pulseframe.operators.series import in_order
+from pulseframe.session import materialise
 
 # --- fixed values -------------------------------------------------------------
 EPSILON = 1e-9
@@ -211,7 +212,8 @@ def ranking_sensitivity(bt: DataFrame, reference_model: str, series_cols: Sequen
     keys = list(series_cols)
     series_key = keys or [F.lit("all").alias("_one")]
     subset = matched_origins(bt, reference_model, keys)
-    origin_table = per_origin_errors(subset, keys)
+    # One row per (origin, model); written once because five steps below read it.
+    origin_table = materialise(per_origin_errors(subset, keys), "origins")
     models = origin_table.groupBy(*series_key, "model").agg(
         F.sum("n").alias("_n"), _ratio(F.sum("abs_error_sum"), F.sum("actual_sum")).alias("wape")
     )
