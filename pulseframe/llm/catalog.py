@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import similarity
+from pulseframe.llm import similarity, superkmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return similarity.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup", """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), hit AS (
+  SELECT doc_id, i FROM win JOIN (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s) USING (s) WHERE first_doc < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 13)) AS j FROM hit)
+), word AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS s FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 13-word window of an earlier document, over all documents."""
+    return superkmers.removal_digest(table(spark, sf_dir, "documents"))

@@ -114,4 +114,5 @@ def text_rows(df: DataFrame, *names: str) -> DataFrame:
 
 def tagged(df: DataFrame, *names: str) -> DataFrame:
     """``names`` and ``tag``, a hash of the text that tells apart rows which repeat a doc_id."""
-    return text_rows(df.withColumn("tag", F.hash(F.coalesce(df["text"], F.lit("")))), *names, "tag")
+    tag = F.hash(F.coalesce(df["text"], F.lit(""))).alias("tag")
+    return text_rows(df.select(*names, tag), *names, "tag")
