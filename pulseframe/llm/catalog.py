@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import similarity, superkmers
+from pulseframe.llm import mixing, similarity, superkmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,9 @@ FROM w LEFT JOIN kept USING (doc_id)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by a 13-word window of an earlier document, over all documents."""
     return superkmers.removal_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents at the target weights takes of each document."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
