@@ -6,9 +6,10 @@ round i fills coordinate i - SLOTS, so all are full after 2 * SLOTS rounds, what
 equal coordinates make candidates: at a similarity of 0.75 a link is missed with a chance of (1 - 0.75^4)^32 < 6e-6.
 
 Candidates never become all pairs of a bucket. Texts with equal shingle sets are one class. In each bucket every class is
-first compared with the least class of the bucket only; classes found connected so need no further comparison.
-Where a bucket still holds several components, the members outside its largest one are compared with its other members.
-So every candidate pair whose ends are not connected already is confirmed or refused on the full sets.
+first compared with one central class only; classes found connected so need no further comparison. Where a bucket still
+holds several components, the members outside its largest one are compared with its other members. Pairs are left out
+only where a bound proves that they are no link: shingles that no other candidate has lie in the union of a pair and not in
+its intersection. So every candidate pair whose ends are not connected already is confirmed or refused exactly.
 """
 
 from __future__ import annotations
@@ -134,6 +135,32 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(rows.mapInArrow(_confirm_batches, "a long, b long").distinct(), "links")
 
 
+def _shingle_rows(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(x) for x in sets])
+        yield pa.record_batch({"id": pa.array(ids, pa.int64()), "shingle": pa.array(np.concatenate(sets) if sets else ids, pa.int64())})
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, n, own): each document's number of shingles, and how many of them no other document of ``sets`` has.
+
+    Both are null for an id with several sets.
+    """
+    rows = sets.mapInArrow(_shingle_rows, "id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    own = once.groupBy("id").agg(F.count("*").alias("own"))
+    size = sets.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("k"), F.max(F.octet_length("shingles") / 8).cast("long").alias("n"))
+    single = F.col("k") == 1
+    return size.join(own, "id", "left").select("id", F.when(single, F.col("n")).alias("n"), F.when(single, F.coalesce("own", F.lit(0))).alias("own"))
+
+
+def _may_link(n: str, own: str, m: str, other: str):
+    """False only where own shingles prove two sets too different: the intersection holds none of them, the union all."""
+    x, y = F.col(n) - F.col(own), F.col(m) - F.col(other)
+    return F.coalesce(100 * F.least(x, y) >= PERCENT * (F.col(own) + F.col(other) + F.greatest(x, y)), F.lit(True))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)``.
 
@@ -152,11 +179,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     band = member.where("bands is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
     least = band.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("last")).where("least < last")
-    shared = materialise(band.join(least.select("band", "least"), "band").select("band", "id", "least"), "buckets")
-    stars = materialise(shared.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    shared = materialise(band.join(least.select("band"), "band"), "buckets")
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(text_rows(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(
         _set_batches, "doc_id long, shingles binary"), "sets")
+    shared = materialise(shared.join(_own_shingles(sets), "id"), "buckets")
+    # The first comparisons are with the bucket's member that has the fewest shingles of its own: it is the most central.
+    centre = shared.groupBy("band").agg(F.min(F.struct("own", "id", "n")).alias("c"))
+    stars = shared.join(centre, "band").where("id <> c.id").where(_may_link("n", "own", "c.n", "c.own"))
+    stars = materialise(stars.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct(), "stars")
     links = _confirmed(stars, sets)
 
     # One doc_id on rows with several sets: their classes belong together.
@@ -167,13 +198,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Buckets that still hold several components: members outside the largest one against the others.
     names = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "band", "id", F.coalesce("component", "id").alias("component"))
-    sizes = names.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("k")).where("k > 1")
+        "band", "id", "n", "own", F.coalesce("component", "id").alias("component"))
+    sizes = names.groupBy("band", "component").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("k")).where("k > 1")
     mixed = names.join(mixed.select("band", F.col("top.component").alias("largest")), "band")
     mixed = materialise(mixed, "mixed")
-    outside = mixed.where("component <> largest").select("band", F.col("id").alias("x"), F.col("component").alias("c"))
-    cross = outside.join(mixed, "band").where("component <> c").select(
+    outside = mixed.where("component <> largest").select(
+        "band", F.col("id").alias("x"), F.col("component").alias("c"), F.col("n").alias("xn"), F.col("own").alias("xo"))
+    cross = outside.join(mixed, "band").where("component <> c").where(_may_link("n", "own", "xn", "xo")).select(
         F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
     further = _confirmed(cross, sets)
