@@ -142,7 +142,8 @@ class Mix:
         first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
         counts = materialise(counts.withColumn("first", first), "draws")
         #: (shard, slot, sid, block, pass): the block in each slot. Draws past the last pass over a source are void.
-        self.slots = counts.mapInPandas(_slots(seed, passes), "shard long, slot long, sid long, block long, pass long")
+        #: Merged, not broadcast: the planner takes the slots for as small as the table of draws.
+        self.slots = counts.mapInPandas(_slots(seed, passes), "shard long, slot long, sid long, block long, pass long").hint("merge")
 
     def _places(self, sized: DataFrame) -> DataFrame:
         named = sized.join(self.targets, sized["source"].eqNullSafe(self.targets["source"])).drop(self.targets["source"])
