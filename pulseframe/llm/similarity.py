@@ -7,7 +7,8 @@ equal coordinates make candidates: at a similarity of 0.75 a link is missed with
 
 Candidates never become all pairs of a bucket. Texts with equal shingle sets are one class. In each bucket every class is
 first compared with one central class only; classes found connected so need no further comparison. Where a bucket still
-holds several components, the members outside its largest one are compared with its other members. Pairs are left out
+holds several components, the members outside its largest one are the queries, held in blocks against its other members;
+only links leave that step. Pairs are left out
 only where a bound proves that they are no link: shingles that no other candidate has lie in the union of a pair and not in
 its intersection. So every candidate pair whose ends are not connected already is confirmed or refused exactly.
 """
@@ -27,6 +28,8 @@ SHINGLE = 5
 SLOTS = 128
 BAND_ROWS = 4
 BANDS = SLOTS // BAND_ROWS
+#: Members of a bucket that are compared with its queries at once.
+BLOCK_ROWS = 128
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
@@ -116,15 +119,38 @@ def _set_batches(batches):
 
 def _confirm_batches(batches):
     for batch in batches:
-        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-        keep = np.zeros(len(left), bool)
-        for i, (x, y) in enumerate(zip(left, right)):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                continue
-            both = x if len(x) == len(y) and np.array_equal(x, y) else np.intersect1d(x, y, assume_unique=True)
-            keep[i] = 100 * len(both) >= PERCENT * (len(x) + len(y) - len(both)) > 0
-        yield pa.record_batch({n: batch.column(n).filter(pa.array(keep)) for n in ("a", "b")})
+        pairs = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+        keep = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in pairs]
+        yield pa.record_batch({n: batch.column(n).filter(pa.array(keep, pa.bool_())) for n in ("a", "b")})
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) or not len(x):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _block_batches(batches):
+    """Links between the queries and the members of a bucket's block that are in different components."""
+    for batch in batches:
+        out = []
+        for queries, members in zip(batch.column("queries"), batch.column("members")):
+            own = [(m["id"], m["component"], m["outside"], m["n"], m["own"], np.frombuffer(m["shingles"], np.uint64)) for m in members.as_py()]
+            for q in queries.as_py():
+                x = np.frombuffer(q["shingles"], np.uint64)
+                for i, component, outside, n, single, y in own:
+                    if component == q["component"] or outside and i < q["id"]:
+                        continue
+                    if n is not None and q["n"] is not None:
+                        a, b = n - single, q["n"] - q["own"]
+                        if 100 * min(a, b) < PERCENT * (single + q["own"] + max(a, b)):
+                            continue
+                    if _linked(x, y):
+                        out.append((min(i, q["id"]), max(i, q["id"])))
+        yield pa.record_batch({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,19 +222,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialise(links.union(repeated), "links")
     found = components(links)
 
-    # Buckets that still hold several components: members outside the largest one against the others.
+    # Buckets that still hold several components: members outside the largest one against the others, in blocks.
     names = shared.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", "n", "own", F.coalesce("component", "id").alias("component"))
     sizes = names.groupBy("band", "component").agg(F.count("*").alias("members"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    mixed = names.join(mixed.select("band", F.col("top.component").alias("largest")), "band")
-    mixed = materialise(mixed, "mixed")
-    outside = mixed.where("component <> largest").select(
-        "band", F.col("id").alias("x"), F.col("component").alias("c"), F.col("n").alias("xn"), F.col("own").alias("xo"))
-    cross = outside.join(mixed, "band").where("component <> c").where(_may_link("n", "own", "xn", "xo")).select(
-        F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    cross = materialise(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    further = _confirmed(cross, sets)
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("all"),
+                                      F.count("*").alias("k")).where("k > 1")
+    mixed = names.join(mixed.select("band", F.col("top.component").alias("largest"), "all"), "band")
+    mixed = materialise(mixed.withColumn("outside", F.col("component") != F.col("largest")), "mixed")
+    whole = mixed.join(sets.withColumnRenamed("doc_id", "id"), "id").withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("all") / BLOCK_ROWS)))
+    member_of = F.collect_list(F.struct("id", "component", "n", "own", "outside", "shingles"))
+    blocks = whole.groupBy("band", "part").agg(member_of.alias("members"))
+    queries = whole.where("outside").groupBy("band", "part").agg(member_of.alias("queries"))
+    pairs = queries.select("band", "queries").join(blocks.select("band", "members"), "band")
+    further = materialise(pairs.mapInArrow(_block_batches, "a long, b long").distinct(), "links")
     if not further.isEmpty():
         found = components(links.union(further))
 
