@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import mixing, quality, similarity, superkmers, tiling, toxicity
+from pulseframe.llm import hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,64 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_quality_rules", """
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS c
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3)
+), twice AS (
+  SELECT doc_id, a, b, c FROM win GROUP BY ALL HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win JOIN twice USING (doc_id, a, b, c)) GROUP BY doc_id
+), line AS (
+  SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line
+), lines AS (
+  SELECT doc_id, sum(k - 1) AS n FROM line GROUP BY doc_id
+), m AS (
+  SELECT doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), host AS (
+  SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (base_failed) AS DOUBLE) AS bad FROM f GROUP BY source
+), total AS (
+  SELECT sum(n) AS r, sum(bad) / sum(n) AS mean, CAST(count(*) AS DOUBLE) AS h, sum(n * n) AS sq FROM host
+), spread AS (
+  SELECT r, mean, h, sq, mean * (1 - mean) AS chance, (SELECT sum(n * (bad / n - mean) * (bad / n - mean)) FROM host) AS s FROM total
+), prior AS (
+  SELECT mean, h, chance, (s - chance * (h - 1)) / (r - sq / r) AS v FROM spread
+), rate AS (
+  SELECT source, CASE WHEN h > 1 AND v > 0 AND v < chance THEN (bad + (chance / v - 1) * mean) / (n + chance / v - 1)
+    WHEN v >= chance THEN bad / n ELSE mean END AS shrunk FROM host, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND shrunk <= 0.5 AS kept
+FROM f JOIN rate ON f.source IS NOT DISTINCT FROM rate.source
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, line and host rules of all documents."""
+    return hosts.host_rules(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+@query("op6_warc_salvage", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), top AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS t FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < t THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < t THEN t END AS refers_to
+FROM top
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
