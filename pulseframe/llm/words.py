@@ -73,7 +73,10 @@ class Words:
         """Hash of every word: a polynomial over the bytes' random values, then mixed."""
         powers, inverses = _powers(len(self.bytes))
         sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_BYTES[self.bytes] * powers[: len(self.bytes)], out=sums[1:])
+        values = _BYTES[self.bytes]
+        values *= powers[: len(self.bytes)]
+        np.cumsum(values, out=sums[1:])
+        del values
         return mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
 
     def word(self, i: int) -> bytes:
