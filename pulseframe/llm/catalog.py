@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
+from pulseframe.llm import extract, hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,9 @@ FROM top
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
