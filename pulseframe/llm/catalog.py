@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import extract, hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
+from pulseframe.llm import extract, hmm, hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of all documents under a hidden Markov model of the corpus."""
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
