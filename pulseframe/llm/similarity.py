@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = shared.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(text_rows(docs, "doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(
         _set_batches, "doc_id long, shingles binary"), "sets")
-    shared = materialise(shared.join(_own_shingles(sets), "id"), "buckets")
+    # A set with so many shingles of its own that it can have no link at all takes no further part.
+    shared = materialise(shared.join(_own_shingles(sets), "id").where(
+        F.coalesce(100 * (F.col("n") - F.col("own")) >= PERCENT * F.col("n"), F.lit(True))), "buckets")
     # The first comparisons are with the bucket's member that has the fewest shingles of its own: it is the most central.
     centre = shared.groupBy("band").agg(F.min(F.struct("own", "id", "n")).alias("c"))
     stars = shared.join(centre, "band").where("id <> c.id").where(_may_link("n", "own", "c.n", "c.own"))
