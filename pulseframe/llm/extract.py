@@ -5,7 +5,7 @@ text, its number of tags, whether it lies in an element that is never article te
 in which article or main element it lies. The text-to-tag ratios of all lines are smoothed with a Gaussian; lines above the
 threshold (the standard deviation of the smoothed ratios) are content. An article or main element with a content line is
 a content region as a whole, so that short paragraphs stay; without such an element the regions are the runs of
-content lines, with the lines between two of them.
+content lines, with the lines between two of them and the headings before them.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ DROPPED = frozenset(
     "head title script style noscript template nav header footer aside form button select textarea iframe object svg canvas audio video menu dialog "
     "search datalist".split())
 ARTICLE = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav widget widgets nav navbar "
     "navigation menu menubar breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus reply replies respond cookie cookies "
@@ -50,20 +51,21 @@ class _Lines(HTMLParser):
     def __init__(self, skip: frozenset[int]):
         super().__init__(convert_charrefs=True)
         self.skip, self.number = skip, 0
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.dropped: tuple[str, int] | None = None  # the element whose content is dropped, and its start tag's number
         self.depth = 0
         self.articles: list[int] = []
+        self.heading = False
         self.opened = 0
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.dropped is not None, self.articles[-1] if self.articles else 0))
+            self.lines.append((text, self.tags, self.dropped is not None, self.articles[-1] if self.articles else 0, self.heading))
             self.tags = 0
-        self.parts = []
+        self.parts, self.heading = [], False
 
     def handle_starttag(self, tag, attrs):
         self.number += 1
@@ -75,6 +77,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
+        self.heading = self.heading or tag in HEADINGS
         if self.dropped is not None:
             self.depth += tag == self.dropped[0]
         elif self.number not in self.skip and (tag in DROPPED or tag not in ("html", "body") and self._marked(attrs)):
@@ -115,8 +118,8 @@ class _Lines(HTMLParser):
         return False
 
 
-def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, tags, dropped, article) of each line. A dropped element that is never closed is read again as an ordinary one."""
+def page_lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, tags, dropped, article, heading) of each line. A dropped element that is never closed is read again as an ordinary one."""
     skip: frozenset[int] = frozenset()
     while True:
         parser = _Lines(skip)
@@ -141,16 +144,21 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html or "")
     if not lines:
         return ""
-    ratio = smoothed(np.array([0.0 if d else len(t) / max(1, n) for t, n, d, _ in lines]))
+    ratio = smoothed(np.array([0.0 if d else len(t) / max(1, n) for t, n, d, _, _ in lines]))
     content = ratio >= ratio.std()
-    regions = {a for (_, _, d, a), c in zip(lines, content) if a and c and not d}
+    regions = {a for (_, _, d, a, _), c in zip(lines, content) if a and c and not d}
     if regions:
-        return "\n".join(t for t, _, d, a in lines if a in regions and not d)
+        return "\n".join(t for t, _, d, a, _ in lines if a in regions and not d)
     keep = [i for i, (line, c) in enumerate(zip(lines, content)) if c and not line[2]]
     for i, j in zip(keep[:-1], keep[1:]):
         if j - i <= GAP + 1:
             keep = keep + [k for k in range(i + 1, j) if not lines[k][2]]
-    return "\n".join(lines[i][0] for i in sorted(keep))
+    chosen = set(keep)
+    for i in sorted(chosen):
+        while i and lines[i - 1][4] and not lines[i - 1][2]:
+            i -= 1
+            chosen.add(i)
+    return "\n".join(lines[i][0] for i in sorted(chosen))
 
 
 def _extract_batches(batches):
