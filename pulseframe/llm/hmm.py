@@ -30,6 +30,8 @@ ROUNDS = 3
 FIRST_ROUNDS = 15
 #: Training texts are cut into pieces of so many tokens, each a sequence of its own; scored texts are never cut.
 PIECE = 256
+#: Bytes of text that are encoded, and asked for, as one batch.
+ENCODE_BYTES = 2_500_000
 #: Added to each count of a word.
 ADD = 0.1
 #: Pseudo-tokens with the corpus's shares in each state.
@@ -94,7 +96,7 @@ def _encoder(frequent: list[bytes], classes_at: int):
         known = Words([b" ".join(frequent)]).hashes()
         order = np.argsort(known)
         known = known[order]
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, size=ENCODE_BYTES):
             words = Words(texts, lower=True)
             codes = words.hashes()
             at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))

@@ -26,7 +26,7 @@ GRAM = 3
 HEAVY = 4096
 #: Buckets for each partition of the input.
 BUCKETS_PER_PARTITION = 16
-PACK_BYTES = 3_000_000
+PACK_BYTES = 2_500_000
 _LATE = np.uint64(1 << 63)
 
 

@@ -64,7 +64,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
 
 def _feature_batches(model):
     def score(batches):
-        for rows, texts in slices(batches, size=8_000_000):
+        for rows, texts in slices(batches, size=2_500_000):
             x = features(model, texts)
             yield pa.record_batch({"toxic": rows.column("toxic").cast(pa.int32()), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))})
 
@@ -73,7 +73,7 @@ def _feature_batches(model):
 
 def _score_batches(model, weights):
     def score(batches):
-        for rows, texts in slices(batches, size=8_000_000):
+        for rows, texts in slices(batches, size=2_500_000):
             p = 1 / (1 + np.exp(-np.clip(features(model, texts) @ weights, -30, 30)))
             yield pa.record_batch({"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "score": pa.array(p),
                                    "predicted": pa.array((p >= 0.5).astype(np.int32))})

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -24,7 +24,7 @@ _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
 
 
-def bound_batches(spark: SparkSession, size: int = 16_000_000) -> None:
+def bound_batches(spark: SparkSession, size: int = 8_000_000) -> None:
     """Let Spark cut the Arrow batches of Python stages by bytes; long texts would otherwise fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
