@@ -265,12 +265,10 @@ def _(spark, d):
     return sp.patch_missing_classes(sample, audited, "intent_label", "corrected_label").select("doc_id", "intent_label")
 
 
-_GROUP_SQL = """WITH RECURSIVE g AS (SELECT source AS group_key, count(*) AS n, row_number() OVER (ORDER BY md5(source || '-42'), source) AS rn FROM documents GROUP BY 1),
-  tt AS (SELECT sum(n)::DOUBLE AS t FROM g),
-  st AS (SELECT 0::BIGINT AS rn, 0::DOUBLE AS ftr, 0::DOUBLE AS fva, 0::DOUBLE AS fte, ''::VARCHAR AS split, ''::VARCHAR AS group_key
-    UNION ALL SELECT g.rn, ftr + CASE WHEN c = 'train' THEN n ELSE 0 END, fva + CASE WHEN c = 'validation' THEN n ELSE 0 END, fte + CASE WHEN c = 'test' THEN n ELSE 0 END, c, g.group_key
-    FROM (SELECT st.*, CASE WHEN fte / (0.15 * t) <= ftr / (0.7 * t) AND fte / (0.15 * t) <= fva / (0.15 * t) THEN 'test' WHEN ftr / (0.7 * t) <= fva / (0.15 * t) THEN 'train' ELSE 'validation' END AS c FROM st, tt) s
-    JOIN g ON g.rn = s.rn + 1)"""
+_GROUP_SQL = """WITH g AS (SELECT source AS group_key, count(*) AS n, md5(source || '-42') AS o FROM documents GROUP BY 1),
+  c AS (SELECT group_key, (sum(n) OVER (ORDER BY o) - n / 2.0) / sum(n) OVER () AS m FROM g),
+  st AS (SELECT group_key, CASE WHEN m < 0.7 THEN 'train' WHEN m < 0.85 THEN 'validation' ELSE 'test' END AS split FROM c)"""
+_FOLD_SQL = "CAST(('0x' || substr(md5(source || '-42'), 1, 8))::BIGINT % 5 AS INTEGER)"
 
 
 def doc_rows(spark, d):
@@ -305,13 +303,13 @@ def _(spark, d):
     return sp.split_manifest(sp.group_split(doc_rows(spark, d)))
 
 
-@query("h7_group_folds", "SELECT source AS group_key, CAST((row_number() OVER (ORDER BY md5(source || '-42'), source) - 1) % 5 AS INTEGER) AS fold FROM documents GROUP BY 1")
+@query("h7_group_folds", f"SELECT DISTINCT source AS group_key, {_FOLD_SQL} AS fold FROM documents")
 def _(spark, d):
     return sp.group_folds(sp.effective_groups(doc_rows(spark, d)))
 
 
-@query("h8_fold_split", """WITH RECURSIVE fo AS (SELECT source, CAST((row_number() OVER (ORDER BY md5(source || '-42'), source) - 1) % 5 AS INTEGER) AS fold FROM documents GROUP BY 1),
-  dd AS (SELECT * FROM documents JOIN fo USING (source)),""" + _GROUP_SQL.removeprefix("WITH RECURSIVE ").replace("FROM documents GROUP BY 1", "FROM dd WHERE fold <> 0 GROUP BY 1") + """
+@query("h8_fold_split", f"""WITH fo AS (SELECT DISTINCT source, {_FOLD_SQL} AS fold FROM documents),
+  dd AS (SELECT * FROM documents JOIN fo USING (source)),""" + _GROUP_SQL.removeprefix("WITH ").replace("FROM documents GROUP BY 1", "FROM dd WHERE fold <> 0 GROUP BY 1") + """
   SELECT doc_id, CASE WHEN fold = 0 THEN 'held_out' WHEN split = 'validation' THEN 'validation' ELSE 'train' END AS split FROM dd LEFT JOIN st ON st.group_key = source""")
 def _(spark, d):
     rows = sp.effective_groups(doc_rows(spark, d))

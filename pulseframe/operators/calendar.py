@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text, timing
-from pulseframe.session import fits_broadcast, require_columns
+from pulseframe.session import require_columns
 
 # --- fixed values -------------------------------------------------------------
 PRE_EVENT = "pre_announcement"
 MAJOR_TYPES = ("trailer", "announcement", "showcase", "release_date", "release")
 TRAILER_TYPES = ("trailer", "showcase")
 
-#: Slices a hot day is cut into on the shuffled as-of path.
-DAY_SLICES = 64
+#: Slices a hot day is cut into.
+DAY_SLICES = 8
 
 
 def prepare_calendar(raw: DataFrame) -> DataFrame:
@@ -60,8 +60,8 @@ def annotate_events(
 ) -> DataFrame:
     """Nearest event at or before each signal; rows without a time are kept.
 
-    A calendar that provably fits is broadcast as intervals. A larger one is cut into days and joined
-    on (day, slice), so no day is one task and no side is broadcast.
+    Each interval between two events is cut into days and joined on (day, slice), so a hot day is many tasks; the last
+    event, whose interval is open, is one row and enters as literals. The signals may be a stream.
     """
     require_columns(signals, [ts_col])
     spans = event_intervals(calendar).select(
@@ -71,13 +71,12 @@ def annotate_events(
         "event_window",
     )
     signals = signals.drop("last_event_name", "event_window", "days_since_event")
-    if fits_broadcast(spans):
-        inside = (F.col(ts_col) >= F.col("_from")) & (
-            F.col("_to").isNull() | (F.col(ts_col) < F.col("_to"))
-        )
-        joined = signals.join(F.broadcast(spans), inside, "left")
-    else:
-        joined = _annotate_by_day(signals, spans, ts_col, salt_col)
+    joined = _annotate_by_day(signals, spans.filter(F.col("_to").isNotNull()), ts_col, salt_col)
+    last = spans.filter(F.col("_to").isNull()).select(F.unix_micros("_from"), "last_event_name", "event_window").first()
+    if last is not None:
+        after = F.col(ts_col) >= F.timestamp_micros(F.lit(last[0]))
+        newest = {"_from": F.timestamp_micros(F.lit(last[0])), "last_event_name": F.lit(last[1]), "event_window": F.lit(last[2])}
+        joined = joined.withColumns({c: F.when(after, v).otherwise(F.col(c)) for c, v in newest.items()})
     return joined.withColumns(
         {
             "days_since_event": timing.days_between(F.col(ts_col), F.col("_from")),
@@ -88,18 +87,9 @@ def annotate_events(
 
 
 def _annotate_by_day(signals, spans, ts_col, salt_col):
-    last = signals.agg(F.max(ts_col).alias("_last"))
-    days = (
-        spans.crossJoin(F.broadcast(last))  # one-row side
-        .withColumn("_end", F.least(F.coalesce("_to", "_last"), F.col("_last")))
-        .filter(F.col("_end") >= F.col("_from"))
-        .withColumn(
-            "_day",
-            F.explode(F.sequence(F.to_date("_from"), F.to_date("_end"), F.expr("INTERVAL 1 DAY"))),
-        )
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(DAY_SLICES - 1))))
-        .drop("_end", "_last")
-    )
+    days = spans.withColumn(
+        "_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"), F.expr("INTERVAL 1 DAY")))
+    ).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(DAY_SLICES - 1))))
     key = F.col(salt_col) if salt_col else F.unix_micros(F.col(ts_col))
     left = signals.withColumns(
         {
@@ -112,7 +102,7 @@ def _annotate_by_day(signals, spans, ts_col, salt_col):
         (F.col("l._day") == F.col("r._day"))
         & (F.col("l._slice") == F.col("r._slice"))
         & (F.col(f"l.{ts_col}") >= F.col("r._from"))
-        & (F.col("r._to").isNull() | (F.col(f"l.{ts_col}") < F.col("r._to")))
+        & (F.col(f"l.{ts_col}") < F.col("r._to"))
     )
     joined = left.join(right, condition, "left")
     keep = [F.col(f"l.{c}") for c in signals.columns]
@@ -139,8 +129,6 @@ def event_features(
     columns = ["event_name", "event_window", "event_type", "major_announcement_flag", "trailer_flag"]
     events = calendar if "event_type" in calendar.columns else calendar.withColumn("event_type", F.lit(""))
     events = events.select("event_date", "announced_date", F.struct("event_date", *columns).alias("_event"))
-    if fits_broadcast(events):
-        events = F.broadcast(events)
     latest = (
         distinct.join(events, visible, "left")
         .groupBy(*keys)
@@ -204,8 +192,6 @@ def event_usability(spine: DataFrame, calendar: DataFrame, period_col: str = "pe
     """
     periods = spine.select(F.col(period_col).alias("_p")).distinct()
     events = calendar.select("event_name", "event_date").distinct()
-    if fits_broadcast(periods):
-        periods = F.broadcast(periods)
     counted = (
         events.join(periods, F.lit(True), "left")
         .groupBy("event_name", "event_date")

@@ -179,7 +179,7 @@ def ranking_metrics(
     """Precision, recall and lift at each cut-off; ties by ``tie``, shares round half to even."""
     table = score_table(df, y, score)
     rows = df.select(F.col(score).cast("double").alias("score"), F.col(y).cast("bigint").alias("y"), tie)
-    ranked = ranked_rows(rows, table, "score", "y", tie)
+    ranked = ranked_rows(rows, "score", "y", tie)
     totals = table.agg(F.sum("n").alias("total"), F.sum("positives").alias("all_positives")).first()
     n, positives = totals["total"] or 0, totals["all_positives"] or 0
     cuts = _cutoffs(F.lit(n), ks, percentages)
@@ -206,7 +206,7 @@ def gains_curve(df: DataFrame, y: str, score: str, tie: str) -> DataFrame:
     n, positives = totals["n"] or 1, totals["p"] or 0
     base = max(positives / n, 1e-9)
     precision = F.col("found") / F.col("position")
-    return ranked_rows(rows, table, "score", "y", tie).select(
+    return ranked_rows(rows, "score", "y", tie).select(
         tie, "position",
         (F.col("position") / F.lit(n)).alias("fraction_reviewed"),
         (F.col("found") / F.lit(max(positives, 1))).alias("gain"),

@@ -7,15 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.session import fits_broadcast, keyed
+from pulseframe.session import keyed, materialise
 
-#: Range slices of a table too large for one window per key.
-SLICES = 256
-#: Rows one slice of a tied score should hold.
-ROWS_PER_SLICE = 1_000_000
+#: Quantile slices of a table of values.
+SLICES = 64
 
 
 def _slice_of(value: Column, bounds: Sequence[float]) -> Column:
+    if not bounds:
+        return F.lit(0)
     edges = F.array(*[F.lit(float(b)) for b in bounds])
     return F.size(F.filter(edges, lambda e: e <= value))
 
@@ -25,17 +25,13 @@ def running_totals(
 ) -> DataFrame:
     """Running sums per key over distinct values of a numeric ``order_col``.
 
-    ``df`` should be a written table (see ``materialise``) because a large one is read three times. Up to the
-    broadcast bound one window per key is enough; beyond it the values are cut at fixed quantiles, summed
-    per slice, and each slice starts at the total of the slices before it.
+    ``df`` should be a written table (see ``materialise``) because it is read three times. The values are cut at fixed
+    quantiles, summed per slice, and each slice starts at the total of the slices before it.
     """
     direction = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if fits_broadcast(df):
-        w = Window.partitionBy(*keyed(keys)).orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({out: F.sum(col).over(w) for out, col in sums.items()})
     probabilities = [i / SLICES for i in range(1, SLICES)]
     # At most SLICES numbers reach the driver; as literals they are the same in every branch of the plan.
-    bounds = df.agg(F.percentile_approx(order_col, probabilities, 10_000)).first()[0]
+    bounds = df.agg(F.percentile_approx(order_col, probabilities, 10_000)).first()[0] or []
     sliced = df.withColumn("_slice", _slice_of(F.col(order_col), sorted(set(bounds))))
     inner = Window.partitionBy(*keys, "_slice").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
     outer_order = F.col("_slice").desc() if descending else F.col("_slice").asc()
@@ -51,51 +47,23 @@ def running_totals(
     )
 
 
-def ranked_rows(df: DataFrame, table: DataFrame, score: str, label: str, tie: str) -> DataFrame:
-    """Position and running positives of every row by (score descending, numeric ``tie`` ascending).
+def ranked_rows(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
+    """``position`` and running positives ``found`` of every row by (score descending, ``tie`` ascending).
 
-    ``table`` is the written score table of ``df``. It gives the offset of each score; rows that share a
-    score are cut into equal ranges of the tie column, so one hot score is many tasks.
+    Rows are range-partitioned by (score, tie), so one hot score is many tasks and ``tie`` may be of any type; each
+    range starts at the totals of the ranges before it. ``tie`` should be unique.
     """
-    offsets = running_totals(table, [], score, {"_cum_n": "n", "_cum_pos": "positives"}).select(
-        F.col(score).alias("_s"),
-        (F.col("_cum_n") - F.col("n")).alias("_before"),
-        (F.col("_cum_pos") - F.col("positives")).alias("_pos_before"),
-    )
-    rows = table.agg(F.sum("n")).first()[0] or 0
-    slices = max(1, -(-rows // ROWS_PER_SLICE))
-    base = df.select("*", F.col(score).alias("_s"), F.col(label).cast("bigint").alias("_y"))
-    if slices == 1:
-        order = Window.partitionBy("_s").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-        local = base.join(offsets, "_s").withColumns(
-            {
-                "position": F.col("_before") + F.row_number().over(Window.partitionBy("_s").orderBy(tie)),
-                "found": F.col("_pos_before") + F.sum("_y").over(order),
-            }
-        )
-        return local.drop("_s", "_y", "_before", "_pos_before")
-    low, high = df.agg(F.min(tie), F.max(tie)).first()
-    width = (high - low + 1) / slices
-    cut = base.withColumn("_cut", F.floor((F.col(tie) - F.lit(low)) / F.lit(width)))
-    per_cut = cut.groupBy("_s", "_cut").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
-    before = Window.partitionBy("_s").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_cut.join(offsets, "_s").select(
-        "_s",
-        "_cut",
-        (F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_before"),
-        (F.col("_pos_before") + F.coalesce(F.sum("_p").over(before), F.lit(0))).alias("_pos_before"),
-    )
-    inner = Window.partitionBy("_s", "_cut").orderBy(tie)
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    placed = df.repartitionByRange(*order).select("*", F.col(label).cast("bigint").alias("_y"), F.spark_partition_id().alias("_range"))
+    placed = materialise(placed, "ranges")
+    sums = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.sum("_y").alias("_p"))
+    # One row per range.
+    before = Window.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_p")])
+    inner = Window.partitionBy("_range").orderBy(*order)
+    found = F.sum("_y").over(inner.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        cut.withColumns(
-            {
-                "_rank": F.row_number().over(inner),
-                "_found": F.sum("_y").over(inner.rowsBetween(Window.unboundedPreceding, 0)),
-            }
-        )
-        .join(starts, ["_s", "_cut"])
-        .withColumns(
-            {"position": F.col("_before") + F.col("_rank"), "found": F.col("_pos_before") + F.col("_found")}
-        )
-        .drop("_s", "_cut", "_y", "_rank", "_found", "_before", "_pos_before")
+        placed.join(starts, "_range")
+        .withColumns({"position": F.col("_n_before") + F.row_number().over(inner), "found": F.col("_p_before") + found})
+        .drop("_range", "_y", "_n_before", "_p_before")
     )

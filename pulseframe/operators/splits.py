@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import intent, text
 from pulseframe.operators.evaluation import score_table
 from pulseframe.operators.ordered import ranked_rows, running_totals
-from pulseframe.session import fits_broadcast, materialise
+from pulseframe.session import materialise
 
 # --- fixed values -------------------------------------------------------------
 FRACTIONS = {"train": 0.70, "validation": 0.15, "test": 0.15}
@@ -64,37 +63,16 @@ def patch_missing_classes(sample: DataFrame, audited: DataFrame, label: str, aud
     return sample.unionByName(extra, allowMissingColumns=True)
 
 
-def _greedy(sizes: pd.DataFrame, fractions: Mapping[str, float]) -> pd.DataFrame:
-    ordered = sizes.sort_values(["order", "group_key"])
-    total = float(ordered["rows"].sum())
-    target = {name: share * total for name, share in fractions.items()}
-    filled = dict.fromkeys(sorted(fractions), 0)
-    chosen = []
-    for rows in ordered["rows"]:
-        name = min(filled, key=lambda s: (filled[s] / target[s] if target[s] else 1.0, s))
-        filled[name] += int(rows)
-        chosen.append(name)
-    return pd.DataFrame({"group_key": ordered["group_key"], "split": chosen})
-
-
 def assign_groups(df: DataFrame, seed: int = 42, fractions: Mapping[str, float] = FRACTIONS) -> DataFrame:
-    """H3: split of every group, whole groups, in hashed order.
+    """H3: split of every group, whole groups: the running row count in hashed order is cut at the target shares.
 
-    A group table within the broadcast bound is filled greedily (each group to the split furthest below its
-    target). With more groups the running row count in hashed order is cut at the target shares, which needs
-    no sequential pass.
+    A group falls to the split that holds the middle of its rows. The same rule holds for any number of groups.
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
-        raise ValueError("Split fractions must sum to 1.0")
-    sizes = materialise(
-        df.groupBy("group_key").agg(F.count("*").alias("rows")).withColumn("order", hashed(F.col("group_key"), seed)), "groups"
-    )
-    if fits_broadcast(sizes):
-        # At most BROADCAST_ROWS groups, one row each.
-        return sizes.groupBy(F.lit("all").alias("_all")).applyInPandas(lambda pdf: _greedy(pdf, fractions), "group_key string, split string")
-    by_hash = materialise(
-        sizes.groupBy(F.conv(F.substring("order", 1, 13), 16, 10).cast("double").alias("place")).agg(F.sum("rows").alias("rows")), "places"
-    )
+        raise ValueError(f"the shares {dict(fractions)} must add up to 1")
+    place = F.conv(F.substring(hashed(F.col("group_key"), seed), 1, 13), 16, 10).cast("double").alias("place")
+    sizes = materialise(df.groupBy("group_key").agg(F.count("*").alias("rows")).select("group_key", "rows", place), "groups")
+    by_hash = materialise(sizes.groupBy("place").agg(F.sum("rows").alias("rows")), "places")
     placed = running_totals(by_hash, [], "place", {"_upto": "rows"}, descending=False)
     total = F.lit(by_hash.agg(F.sum("rows")).first()[0])
     middle = (F.col("_upto") - F.col("rows") / 2.0) / total
@@ -103,13 +81,17 @@ def assign_groups(df: DataFrame, seed: int = 42, fractions: Mapping[str, float]
         cut += share
         split = F.when(middle < cut, name) if split is None else split.when(middle < cut, name)
     places = placed.select("place", split.otherwise(list(fractions)[-1]).alias("split"))
-    return sizes.withColumn("place", F.conv(F.substring("order", 1, 13), 16, 10).cast("double")).join(places, "place").select("group_key", "split")
+    return sizes.join(places, "place").select("group_key", "split")
 
 
 def group_split(df: DataFrame, seed: int = 42, group: str = "parent_id", record: str = "record_id", fractions: Mapping[str, float] = FRACTIONS) -> DataFrame:
-    """H3: rows with the split of their group."""
+    """H3: rows with the split of their group; refused when a split gets no group."""
     rows = effective_groups(df, group, record)
-    return rows.join(assign_groups(rows, seed, fractions), "group_key")
+    groups = materialise(assign_groups(rows, seed, fractions), "splits")
+    have = {r["split"] for r in groups.select("split").distinct().collect()}
+    if empty := sorted(name for name, share in fractions.items() if share > 0 and name not in have):
+        raise ValueError(f"no group falls to {', '.join(empty)}")
+    return rows.join(groups, "group_key")
 
 
 def hashed_group_split(df: DataFrame, seed: int = 42, group: str = "group_key", fractions: Mapping[str, float] = FRACTIONS) -> DataFrame:
@@ -162,23 +144,16 @@ def temporal_split(df: DataFrame, ts: str, tie: str, train: float = 0.70, valida
     base = df.withColumns({"_late": (-F.unix_micros(ts)).cast("double"), "_zero": F.lit(0)})
     table = score_table(base, "_zero", "_late")
     total = table.agg(F.sum("n")).first()[0] or 0
-    ranked = ranked_rows(base, table.withColumnRenamed("score", "_late"), "_late", "_zero", tie)
+    ranked = ranked_rows(base, "_late", "_zero", tie)
     position = F.col("position") - 1
     split = F.when(position < int(total * train), "train").when(position < int(total * (train + validation)), "validation")
     return ranked.withColumn("split", split.otherwise("test")).drop("_late", "_zero", "position", "found")
 
 
 def group_folds(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """H7: fold of every group. Few groups are dealt out in hashed order, many fall by hash."""
-    groups = df.select("group_key").distinct()
-    order = hashed(F.col("group_key"), seed)
-    if fits_broadcast(groups):
-        k = max(2, min(folds, groups.count()))
-        # One row per group, within the checked bound.
-        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, "group_key")) - 1
-        return groups.withColumn("fold", (rank % k).cast("int"))
-    place = F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint")
-    return groups.withColumn("fold", (place % max(2, folds)).cast("int"))
+    """H7: fold of every group, from the hash of its key alone, so any number of groups is dealt alike."""
+    place = F.conv(F.substring(hashed(F.col("group_key"), seed), 1, 8), 16, 10).cast("bigint")
+    return df.select("group_key").distinct().withColumn("fold", (place % max(2, folds)).cast("int"))
 
 
 def fold_split(df: DataFrame, fold: int, seed: int = 42) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text as tx
-from pulseframe.session import fits_broadcast, materialise, side_by_side, spread
+from pulseframe.session import materialise, side_by_side, spread
 
 # --- fixed values -------------------------------------------------------------
 NEAR_DUPLICATE = 0.80
@@ -18,7 +18,7 @@ MIN_SLICE_ROWS = 30
 WORD = r"(?U)\b\w\w+\b"
 
 #: Slices a hot term is spread over when the term table is too large to broadcast.
-TERM_SALTS = 64
+TERM_SALTS = 8
 #: Postings of one gram that a single task pairs up.
 POSTINGS_PER_BLOCK = 2000
 #: Norm of the frequent grams left out of the candidate join; must stay below the threshold.
@@ -63,9 +63,7 @@ def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
 
 
 def _join_terms(left: DataFrame, terms: DataFrame) -> DataFrame:
-    """Join on the term: broadcast a checked small vocabulary, else spread each term over salts."""
-    if fits_broadcast(terms):
-        return left.join(F.broadcast(terms), "term")
+    """Join on the term, each term spread over salts."""
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(TERM_SALTS)).cast("int"))
     spread = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
     return salted.join(spread, ["term", "_salt"]).drop("_salt")

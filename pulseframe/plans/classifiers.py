@@ -17,7 +17,7 @@ from pyspark.sql.types import StructField, StructType
 
 from pulseframe.functions import intent, text
 from pulseframe.operators import agreement, evaluation, probabilities, splits, vectors
-from pulseframe.session import fits_broadcast, materialise, side_by_side, work_path
+from pulseframe.session import materialise, side_by_side, work_path
 
 # --- fixed values -------------------------------------------------------------
 MODELS = ("majority", "rules", "logistic", "linear_svm", "char_word_svm")
@@ -63,9 +63,8 @@ class TextFeatures:
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """``df`` with a sparse ``features`` vector; ``doc`` is its unique key. Unknown terms are dropped."""
         counts = _terms(df, self.blocks, text_col)
-        known = F.broadcast(self.frequency) if fits_broadcast(self.frequency) else self.frequency
         raw = (F.lit(1.0) + F.log("tf")) * (F.log(F.lit(1.0 + self.n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-        weighed = counts.join(known, ["block", "term"]).withColumn("w", raw)
+        weighed = counts.join(self.frequency, ["block", "term"]).withColumn("w", raw)
         place = F.col("block") * self.size + F.pmod(F.xxhash64("term"), F.lit(self.size)).cast("int")
         placed = weighed.groupBy("doc", "block", place.alias("i")).agg(F.sum("w").alias("w"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc", "block")))

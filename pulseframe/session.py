@@ -9,9 +9,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup with at most this many rows is broadcast; a larger one takes the shuffled path.
-BROADCAST_ROWS = 100_000
-
 
 def build_session(app: str = "pulseframe", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators expect (UTC, adaptive execution)."""
@@ -60,11 +57,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the frame provably holds at most ``rows`` rows (reads ``rows + 1`` at most)."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     """Raise with the list of missing columns before any work is planned."""
     missing = sorted(set(columns) - set(df.columns))

@@ -33,7 +33,7 @@ def weekly_stream(signals: DataFrame, ts_col: str = "timestamp", delay: str = "7
 
 
 def annotate_stream(signals: DataFrame, calendar: DataFrame, ts_col: str = "timestamp") -> DataFrame:
-    """M3: stream joined to the static calendar intervals, checked to be small."""
+    """M3: stream joined to the static calendar intervals by day."""
     return cal_ops.annotate_events(signals, calendar, ts_col)
 
 

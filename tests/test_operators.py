@@ -53,11 +53,11 @@ def test_empty_week_has_zero_counts_and_null_rates(spark):
     assert [(a, b) for a, b, _ in got] == [(1, 1.0), (0, None), (1, 0.0)]
 
 
-def test_asof_matches_both_paths(spark, monkeypatch):
+def test_asof_event_by_day(spark, monkeypatch):
     cal = calendar.prepare_calendar(spark.createDataFrame([("2024-01-10", "B"), ("2024-01-05", "A"), ("bad", "C")], "event_date string, event_name string"))
     sig = spark.createDataFrame([(i, f"2024-01-{i:02d} 12:00:00") for i in range(1, 20)], "i int, t string").select("i", F.to_timestamp("t").alias("timestamp"))
     small = rows(calendar.annotate_events(sig, cal).select("i", "event_window", "days_since_event"), "i")
-    monkeypatch.setattr(calendar, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(calendar, "DAY_SLICES", 3)
     assert rows(calendar.annotate_events(sig, cal).select("i", "event_window", "days_since_event"), "i") == small
     assert small[0][1] == "pre_announcement" and small[5][1] == "post_a" and small[18][1] == "post_b"
 
@@ -89,12 +89,19 @@ def test_sliced_order_equals_one_window(spark, monkeypatch):
     df = spark.createDataFrame([(i, (i * 37) % 101 / 10.0, i % 3 % 2) for i in range(500)], "id int, score double, y int")
     table = evaluation.score_table(df, "y", "score")
     plain = rows(ordered.running_totals(table, [], "score", {"c": "n"}).select("score", "c"), "score")
-    ranked = rows(ordered.ranked_rows(df, table, "score", "y", "id").select("id", "position", "found"), "id")
-    monkeypatch.setattr(ordered, "fits_broadcast", lambda d: False)
+    monkeypatch.setattr(ordered, "SLICES", 1)
+    assert rows(ordered.running_totals(table, [], "score", {"c": "n"}).select("score", "c"), "score") == plain
     monkeypatch.setattr(ordered, "SLICES", 7)
-    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 60)
     assert rows(ordered.running_totals(table, [], "score", {"c": "n"}).select("score", "c"), "score") == plain
-    assert rows(ordered.ranked_rows(df, table, "score", "y", "id").select("id", "position", "found"), "id") == ranked
+    named = df.withColumn("tie", F.format_string("%05d", F.lit(1000) - F.col("id")))
+    order = sorted(df.collect(), key=lambda r: (-r.score, 1000 - r.id))
+    want = sorted((r.id, i + 1, sum(q.y for q in order[: i + 1])) for i, r in enumerate(order))
+    assert [tuple(r) for r in rows(ordered.ranked_rows(named, "score", "y", "tie").select("id", "position", "found"), "id")] == want
+
+
+def test_running_totals_of_an_empty_table(spark):
+    table = spark.createDataFrame([], "score double, n long")
+    assert ordered.running_totals(table, [], "score", {"c": "n"}).count() == 0
 
 
 def test_bias_run_and_selection(spark):
@@ -105,14 +112,27 @@ def test_bias_run_and_selection(spark):
     assert compare.select_model(compare.comparison_table(bt, flags, ["s"]), flags, ["s"]).first()["selected"] == "b"
 
 
-def test_group_split_keeps_groups_whole_on_both_paths(spark, monkeypatch):
+def test_group_split_keeps_groups_whole(spark, monkeypatch):
     df = spark.createDataFrame([(str(i), f"g{i % 40}", f"t{i}") for i in range(400)], "record_id string, parent_id string, text string")
-    for large in (False, True):
-        if large:
-            monkeypatch.setattr(splits, "fits_broadcast", lambda d: False)
-        out = splits.group_split(df)
-        assert out.count() == 400 and splits.leakage(out).count() == 0
-        assert out.filter("split = 'train'").count() in range(240, 320)
+    out = splits.group_split(df)
+    assert out.count() == 400 and splits.leakage(out).count() == 0
+    assert out.filter("split = 'train'").count() in range(240, 320)
+    placed = rows(out.select("record_id", "split"), "record_id")
+    monkeypatch.setattr(ordered, "SLICES", 9)
+    assert rows(splits.group_split(df).select("record_id", "split"), "record_id") == placed
+
+
+def test_group_split_refuses_an_empty_split(spark):
+    df = spark.createDataFrame([(str(i), "one", "t") for i in range(9)], "record_id string, parent_id string, text string")
+    with pytest.raises(ValueError, match="no group falls to"):
+        splits.group_split(df)
+
+
+def test_folds_follow_from_the_key_alone(spark):
+    df = spark.createDataFrame([(f"g{i}",) for i in range(300)], "group_key string")
+    some = dict(map(tuple, splits.group_folds(df.where("group_key < 'g2'")).collect()))
+    every = dict(map(tuple, splits.group_folds(df).collect()))
+    assert all(every[g] == f for g, f in some.items()) and set(every.values()) == set(range(5))
 
 
 def test_near_duplicates_against_brute_force(spark, monkeypatch):
