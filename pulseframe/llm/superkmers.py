@@ -22,11 +22,11 @@ from pulseframe.llm.words import Words, slices, tagged, windows
 from pulseframe.session import materialise
 
 WINDOW = 13
-GRAM = 3
+GRAM = 2
 HEAVY = 4096
 #: Buckets for each partition of the input.
-BUCKETS_PER_PARTITION = 16
-PACK_BYTES = 2_500_000
+BUCKETS_PER_PARTITION = 8
+PACK_BYTES = 4_000_000
 _LATE = np.uint64(1 << 63)
 
 
@@ -86,7 +86,7 @@ def _packer(heavy: list[int], buckets: int):
     def pack(batches):
         late = np.array(heavy, np.int64).view(np.uint64)
         late.sort()
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for rows, texts in slices(batches, size=PACK_BYTES):
             words = Words(texts)
             if len(words.starts) < WINDOW:
@@ -112,7 +112,7 @@ def _packer(heavy: list[int], buckets: int):
             doc = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
             tag = rows.column("tag").to_numpy(zero_copy_only=False).astype(np.int32)[owner]
             offset = (start - words.first[owner]).astype(np.int32)
-            order = np.lexsort((least, bucket))
+            order = np.argsort(bucket, kind="stable")
             strings = [text[a[i] : b[i]] for i in order.tolist()]
             doc, tag, offset, bucket = doc[order], tag[order], offset[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -120,7 +120,7 @@ def _packer(heavy: list[int], buckets: int):
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 names: dict[bytes, int] = {}
                 which = np.array([names.setdefault(s, len(names)) for s in strings[x:y]], np.int32)
-                body = b"".join([np.array([y - x, len(names)], np.int64).tobytes(), doc[x:y].tobytes(), which.tobytes(),
+                body = b"".join([np.array([y - x, len(names)], np.int64).tobytes(), np.diff(doc[x:y], prepend=0).tobytes(), which.tobytes(),
                                  tag[x:y].tobytes(), offset[x:y].tobytes(), b"\n".join(names)])
                 out.append(press.compress(body))
             yield pa.record_batch({"bucket": pa.array(bucket[edges[:-1]], pa.int64()), "block": pa.array(out, pa.binary())})
@@ -134,7 +134,7 @@ def _open(blocks: list[bytes]):
     for block in blocks:
         body = press.decompress(block)
         n = int(np.frombuffer(body, np.int64, 1)[0])
-        doc = np.frombuffer(body, np.int64, n, 16)
+        doc = np.cumsum(np.frombuffer(body, np.int64, n, 16))
         which, tag, offset = (np.frombuffer(body, np.int32, n, 16 + 8 * n + 4 * n * k) for k in range(3))
         parts.append((doc, tag, offset, which.astype(np.int64) + len(strings)))
         strings += body[16 + 20 * n :].split(b"\n")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that are worked on at once inside a task.
 BATCH_BYTES = 1_500_000
 
+_PIECE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,14 +71,21 @@ class Words:
         self.text = np.repeat(np.arange(len(texts)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """Hash of every word: a polynomial over the bytes' random values, then mixed."""
-        powers, inverses = _powers(len(self.bytes))
-        sums = np.zeros(len(self.bytes) + 1, np.uint64)
-        values = _BYTES[self.bytes]
-        values *= powers[: len(self.bytes)]
-        np.cumsum(values, out=sums[1:])
-        del values
-        return mix((sums[self.ends] - sums[self.starts]) * inverses[self.starts])
+        """Hash of every word: a polynomial over the bytes' random values, then mixed. Works on a piece at a time."""
+        out, i = np.zeros(len(self.starts), np.uint64), 0
+        while i < len(out):
+            a = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, a + _PIECE, side="right")))
+            b = self.ends[j - 1]
+            powers, inverses = _powers(int(b - a))
+            sums = np.zeros(b - a + 1, np.uint64)
+            values = _BYTES[self.bytes[a:b]]
+            values *= powers[: b - a]
+            np.cumsum(values, out=sums[1:])
+            first, last = self.starts[i:j] - a, self.ends[i:j] - a
+            out[i:j] = mix((sums[last] - sums[first]) * inverses[first])
+            i = j
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
