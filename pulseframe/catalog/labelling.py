@@ -329,7 +329,12 @@ def _(spark, d):
     return sp.split_support(rows, [42], "label")
 
 
-@query("d24_zero_support")
+@query("d24_zero_support", f"""WITH seeds(seed) AS (VALUES (42), (43), (44)),
+  g AS (SELECT seed, source, count(*) AS n, md5(source || '-' || seed) AS o FROM documents, seeds GROUP BY 1, 2),
+  c AS (SELECT seed, source, (sum(n) OVER (PARTITION BY seed ORDER BY o) - n / 2.0) / sum(n) OVER (PARTITION BY seed) AS m FROM g),
+  k AS (SELECT seed, CASE WHEN lang = 'en' THEN 'high_intent' ELSE 'general_discussion' END AS label, count(*) AS n FROM documents JOIN c USING (source) WHERE m >= 0.85 GROUP BY 1, 2),
+  l AS (SELECT unnest({list(intent.TAXONOMY)!r}) AS label)
+  SELECT label, count(*) FILTER (n IS NULL) AS seeds_with_zero_support FROM l CROSS JOIN seeds LEFT JOIN k USING (label, seed) GROUP BY 1""")
 def _(spark, d):
     rows = doc_rows(spark, d).withColumn("label", F.when(F.col("lang") == "en", "high_intent").otherwise("general_discussion"))
     return sp.zero_support(sp.split_support(rows, [42, 43, 44], "label"))

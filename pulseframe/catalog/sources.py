@@ -116,11 +116,10 @@ def _(spark, d):
 
 @query("a12_stage_tables")
 def _(spark, d):
-    stages = signal_plan.run(signals(spark, d), "doc_id", calendar(spark))
-    written = signal_plan.write(stages, work_path(spark, "stages"))
+    stages = signal_plan.run(signals(spark, d), "doc_id", calendar(spark), keep=signal_plan.written(work_path(spark, "stages")))
     out = None
-    for name, path in written.items():
-        counted = spark.read.parquet(path).agg(F.lit(name).alias("stage"), F.count("*").alias("rows"))
+    for name, frame in stages.items():
+        counted = frame.agg(F.lit(name).alias("stage"), F.count("*").alias("rows"))
         out = counted if out is None else out.unionByName(counted)
     return out
 

@@ -121,21 +121,50 @@ def rules_for(
     return tuple((label, patterns + extra.get(label, ())) for label, patterns in RULES)
 
 
-def _first_characters(pattern: str) -> set[str]:
-    body = pattern.removeprefix(r"\b")
-    branches = body[3 : body.index(")")].split("|") if body.startswith("(?:") else [body]
-    return set().union(*[set("0123456789") if b.startswith(r"\d") else {b[0]} for b in branches])
+def _first_characters(pattern: str) -> set[str] | None:
+    """Characters a match can start with; None unless that is plain to see.
+
+    Plain are ``\\b`` and then a letter, a digit, ``\\d`` or a group of such branches; nothing there may be optional
+    and the pattern may have no alternatives outside groups.
+    """
+    if not pattern.startswith(r"\b"):
+        return None
+    body = pattern[2:]
+    depth = 0
+    for before, c in zip(" " + body, body):
+        if before != "\\":
+            depth += (c in "([") - (c in ")]")
+            if c == "|" and not depth:
+                return None
+    if not body.startswith("(?:"):
+        branches, rest = [body], ""
+    else:
+        inner, closed, rest = body[3:].partition(")")
+        if not closed or "(" in inner or "[" in inner:
+            return None
+        branches = inner.split("|")
+    if rest[:1] in tuple("?*{"):
+        return None
+    out: set[str] = set()
+    for branch in branches:
+        first, after = (branch[:2], branch[2:3]) if branch.startswith(r"\d") else (branch[:1], branch[1:2])
+        if after in tuple("?*{") or not (first == r"\d" or first.isascii() and first.isalnum()):
+            return None
+        out |= set("0123456789") if first == r"\d" else {first}
+    return out
 
 
 def label_regex(patterns: Sequence[str]) -> str:
-    """One regex for all patterns of a label, cheap where no pattern can start.
+    """One regex that matches where one of the patterns, taken as they are, does.
 
-    The look-ahead on the first characters runs before the costlier Unicode word-boundary test.
-    ``(?U)``: boundaries and digits follow Unicode, so accented letters count as letters.
+    If the first characters of all of them are plain, a look-ahead on these runs before the costlier Unicode word-boundary
+    test. ``(?U)``: boundaries and digits follow Unicode, so accented letters count as letters.
     """
-    starts = "".join(sorted(set().union(*[_first_characters(p) for p in patterns])))
+    starts = [_first_characters(p) for p in patterns]
+    if any(s is None for s in starts):
+        return "(?U)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
     bodies = "|".join(p.removeprefix(r"\b") for p in patterns)
-    return rf"(?U)(?=[{starts}])\b(?:{bodies})"
+    return rf"(?U)(?=[{''.join(sorted(set().union(*starts)))}])\b(?:{bodies})"
 
 
 def intent_label(text: Column, rules=RULES) -> Column:

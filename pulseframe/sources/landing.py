@@ -74,7 +74,9 @@ def flatten_threads(payloads: DataFrame) -> DataFrame:
 
 
 def _time_source(value: Column) -> Column:
-    return F.when(value.isNotNull(), "api_created").otherwise("missing").alias("timestamp_source")
+    # An empty text and an epoch of 0 are no time.
+    given = value.isNotNull() & ~value.cast("string").isin("", "0", "0.0")
+    return F.when(given, "api_created").otherwise("missing").alias("timestamp_source")
 
 
 def flatten_submissions(payloads: DataFrame) -> DataFrame:

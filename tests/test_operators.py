@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import intent, text, timing
 from pulseframe.operators import backtest, calendar, cleaning, compare, evaluation, media, ordered, scores, series, splits, vectors, weekly
+from pulseframe.plans import signals as signal_plan
+from pulseframe.sources import landing
 
 
 def rows(df, *order):
@@ -191,3 +193,28 @@ def test_gap_runs(spark):
 def test_text_helpers(spark):
     got = spark.range(1).select(text.slug(F.lit("Big -- Trailer!")), text.text_key(F.lit("  A\tb  C ")), timing.serialise_timestamp(F.lit(None).cast("timestamp"))).first()
     assert tuple(got) == ("big_trailer", "a b c", "")
+
+
+@pytest.mark.parametrize("pattern, text_, hit", [
+    (r"\b[ab]oo\b", "a boo", True), (r"\bi?want\b", "want it", True), (r"\bfoo\b|\bbar\b", "the bar", True), (r"\bfoo\b|\bbar\b", "foobar", False),
+    (r"\b(?:new|old) one", "an old one", True), (r"\b(?:a|b)?c", "c here", True), (r"\b\d+ days", "in 12 days", True), ("x+", "axb", True), (r"\bne", "wé née", False),
+])
+def test_label_regex_takes_patterns_as_they_are(spark, pattern, text_, hit):
+    df = spark.createDataFrame([(text_,)], "t string")
+    assert df.select(F.col("t").rlike(intent.label_regex([pattern, r"\bnever seen"]))).first()[0] is hit
+
+
+def test_empty_time_is_missing(spark):
+    df = spark.createDataFrame([("",), ("2024-01-01T00:00:00Z",), (None,), ("0",)], "t string")
+    assert [r[0] for r in df.select(landing._time_source(F.col("t"))).collect()] == ["missing", "api_created", "missing", "missing"]
+
+
+def test_signal_stages_need_a_tone(spark, tmp_path):
+    columns = "id string, source string, record_type string, text string, author string, timestamp timestamp, engagement int, permalink string, parent_id string, metadata string, place int"
+    raw = spark.createDataFrame([("1", "reddit", "comment", "a good day", "x", None, 3, "", "p", "{}", 1), ("2", "reddit", "comment", "bad day", "x", None, 1, "", "p", "{}", 2)], columns)
+    with pytest.raises(ValueError, match="lexicon"):
+        signal_plan.run(raw, "place")
+    words = spark.createDataFrame([("good", 2.0), ("bad", -2.0)], "word string, valence double")
+    out = signal_plan.run(raw, "place", lexicon={"lexicon": words, "negations": ["not"], "boosters": {}}, keep=signal_plan.written(str(tmp_path)))
+    assert {r.id: r.sentiment_label for r in out["sentiment"].collect()} == {"1": "positive", "2": "negative"}
+    assert "intent_confidence" in spark.read.parquet(f"{tmp_path}/intent").columns
