@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.catalog.base import calendar, query, rnd, rsql, signals, stamp, with_views
+from pulseframe.catalog.base import calendar, query, rnd, rsql, signals, ssql, stamp, with_views
 from pulseframe.session import work_path
 from pulseframe.streaming import jobs
 
@@ -27,10 +27,12 @@ def _(spark, d):
     return _run(spark, jobs.clean_stream(_stream(spark, sig.unionByName(sig)), delay="60 days")).select("id")
 
 
-@query("m2_streaming_weeks")
+@query("m2_streaming_weeks", with_views("sig", f""" SELECT {ssql("date_trunc('week', timestamp)")} AS period_start, count(*) AS total_comments,
+  {rsql("sum(CASE WHEN probability_source <> 'unavailable' THEN actionable_probability END)")} AS actionable_probability_mass FROM sig GROUP BY 1"""))
 def _(spark, d):
     sig = signals(spark, d).select("timestamp", "actionable_probability", "probability_source")
-    out = _run(spark, jobs.weekly_stream(_stream(spark, sig)))
+    stream = jobs.weekly_stream(_stream(spark, sig))
+    out = jobs.run_updates(stream, work_path(spark, "out"), work_path(spark, "progress"), ["period_start"])
     return out.select(stamp("period_start").alias("period_start"), "total_comments", rnd("actionable_probability_mass").alias("actionable_probability_mass"))
 
 

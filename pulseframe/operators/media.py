@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pulseframe.functions import scoring
 from pulseframe.operators.draws import quantile
@@ -39,10 +41,17 @@ def plan_long(plan: DataFrame, keys: Sequence[str], channels: Sequence[str]) ->
     return wide.unpivot(list(keys), list(channels), "channel", "spend")
 
 
-def _fold(spends: Column, decay: Column) -> Column:
-    """Exact carry-over ``a_t = x_t + d * a_(t-1)`` over an ordered array."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(spends, start, lambda acc, x: F.concat(acc, F.array(x + decay * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
+@F.pandas_udf(ArrayType(DoubleType()))
+def _carry(spends: pd.Series, decay: pd.Series) -> pd.Series:
+    """Exact carry-over ``a_t = x_t + d * a_(t-1)`` over ordered arrays; one step per period."""
+    out = []
+    for x, d in zip(spends, decay):
+        carried, last = [], 0.0
+        for v in x:
+            last = v + d * last
+            carried.append(last)
+        out.append(carried)
+    return pd.Series(out, dtype=object)
 
 
 def adstock(
@@ -57,7 +66,7 @@ def adstock(
     spend = F.when(F.col(value) >= 0, F.col(value)).otherwise(F.raise_error(F.lit("spend cannot be negative")).cast("double"))
     items = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("t"), spend.cast("double").alias("x"))))
     grouped = long.withColumn("_d", checked).groupBy(*series_cols, "_d").agg(items.alias("_items"))
-    carried = grouped.withColumn("_a", _fold(F.col("_items.x"), F.col("_d")))
+    carried = grouped.withColumn("_a", _carry(F.col("_items.x"), F.col("_d")))
     scale = F.lit(1.0) - F.col("_d") if normalise else F.lit(1.0)
     zipped = F.arrays_zip(F.col("_items.t").alias("t"), F.col("_items.x").alias("x"), F.col("_a").alias("a"))
     return carried.select(*series_cols, "_d", F.inline(zipped)).select(

@@ -43,3 +43,20 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """Run on what has arrived in update mode and return the latest row per key, open windows included.
+
+    Each micro-batch overwrites its own folder, so a repeated batch leaves no second copy.
+    """
+
+    def put(frame: DataFrame, batch: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    values = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.option("basePath", path).schema(stream.schema.add("batch", "long")).parquet(path)
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
