@@ -13,8 +13,6 @@ from pulseframe.operators import vectors as ve
 from pulseframe.plans import classifiers as cl
 from pulseframe.session import materialise, side_by_side, work_path
 
-#: Narrow hashed blocks keep the local runs light; the default is wider.
-SIZE = 1 << 14
 
 
 def corpus(spark, d):
@@ -57,14 +55,12 @@ def _(spark, d):
     return out.groupBy("doc").agg(F.count("*").alias("terms"), rnd(F.sum("weight"), 5).alias("total"), rnd(F.max("weight"), 5).alias("largest"))
 
 
-@query("j3_feature_union")
+@query("j3_feature_union", "SELECT CAST(doc_id AS VARCHAR) AS record_id, 2.0::DOUBLE AS squared_length FROM documents JOIN labels USING (doc_id)")
 def _(spark, d):
     rows = corpus(spark, d).withColumn("doc", F.col("record_id"))
-    made = cl.TextFeatures(("word", "char"), SIZE).fit(rows).transform(rows)
-    from pyspark.ml.functions import vector_to_array
-
-    values = vector_to_array("features")
-    return made.select("record_id", rnd(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)).alias("squared_length"))
+    made = cl.TextFeatures(("word", "char")).fit(rows).transform(rows)
+    squared = F.udf(lambda v: float(v.dot(v)), "double")
+    return made.select("record_id", rnd(squared("features")).alias("squared_length"))
 
 
 @query("j6_majority_baseline", with_views("lab", f" SELECT record_id, (SELECT label_a FROM lab GROUP BY 1 ORDER BY count(*) DESC, label_a DESC LIMIT 1) AS predicted_label, {rsql('''(SELECT avg(CASE WHEN label_a = 'high_intent' THEN 1.0 ELSE 0.0 END) FROM lab)''')} AS prior FROM lab"))
@@ -93,7 +89,7 @@ def _split(spark, d, name):
     from pulseframe.operators import splits
 
     rows = materialise(splits.group_split(corpus(spark, d)).withColumn("doc", F.col("record_id")), "split")
-    return cl.with_features(rows, name, SIZE)
+    return cl.with_features(rows, name)
 
 
 def _stage_rows(spark, d, name, method="sigmoid"):
@@ -166,13 +162,13 @@ def _(spark, d):
 
 @query("j14_out_of_fold")
 def _(spark, d):
-    return cl.out_of_fold(corpus(spark, d), size=SIZE).select("record_id", "group_key", "fold", rnd("oof_probability", 4).alias("oof_probability"))
+    return cl.out_of_fold(corpus(spark, d)).select("record_id", "group_key", "fold", rnd("oof_probability", 4).alias("oof_probability"))
 
 
 @query("j15_build_probabilities")
 def _(spark, d):
     sig = signals(spark, d).drop("actionable_probability", "probability_source")
-    out = cl.build_probabilities(sig, corpus(spark, d), size=SIZE)
+    out = cl.build_probabilities(sig, corpus(spark, d))
     return out.groupBy("probability_source").agg(F.count("*").alias("rows"), F.count("actionable_probability").alias("with_probability"))
 
 
@@ -184,7 +180,7 @@ def _(spark, d):
 @query("j17_saved_model")
 def _(spark, d):
     path = work_path(spark, "model")
-    cl.train_and_save(corpus(spark, d), path, size=SIZE)
+    cl.train_and_save(corpus(spark, d), path)
     stage, features, _ = cl.load_stage1(spark, path, {"seed": 42})
     rows = features.transform(corpus(spark, d).withColumn("doc", F.col("record_id")))
     return stage.scores(rows).select("record_id", rnd("score", 4).alias("score"))
@@ -193,21 +189,21 @@ def _(spark, d):
 @query("j18_train_and_save")
 def _(spark, d):
     path = work_path(spark, "model")
-    stage = cl.train_and_save(corpus(spark, d), path, size=SIZE)
+    stage = cl.train_and_save(corpus(spark, d), path)
     written = spark.read.parquet(f"{path}/vocabulary").groupBy("block").agg(F.count("*").alias("terms"))
     return written.withColumn("threshold", F.round(F.lit(stage.threshold), 4))
 
 
 @query("j19_benchmark")
 def _(spark, d):
-    out = cl.benchmark(corpus(spark, d), models=("majority", "rules", "logistic"), size=SIZE)
+    out = cl.benchmark(corpus(spark, d), models=("majority", "rules", "logistic"))
     doubles = [c for c, t in out.dtypes if t == "double"]
     return out.withColumns({c: rnd(c, 4) for c in doubles})
 
 
 @query("j20_group_cv")
 def _(spark, d):
-    out = cl.group_cv(corpus(spark, d), size=SIZE)
+    out = cl.group_cv(corpus(spark, d))
     return out.select("model", "seed", "support_total", *[rnd(c, 4).alias(c) for c in ("accuracy", "f1", "pr_auc", "roc_auc")])
 
 

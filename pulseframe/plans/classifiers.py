@@ -26,8 +26,6 @@ SCORE_TYPES = {"majority": PROBABILITY, "rules": INDICATOR, "logistic": PROBABIL
 BLOCKS = {"logistic": ("word",), "linear_svm": ("word",), "char_word_svm": ("word", "char")}
 C = 1.0
 MAX_ITERATIONS = 100
-#: Width of a feature block; terms fall into it by hash, so no index of the vocabulary is needed.
-BLOCK_SIZE = 1 << 18
 
 
 def _terms(df: DataFrame, blocks: Sequence[str], text_col: str) -> DataFrame:
@@ -45,19 +43,30 @@ def _as_vectors(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Dense numbers for the rows of a written table with an increasing ``_id``: place in the partition behind those before."""
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = terms.groupBy(part.alias("_part")).agg((F.max(place) + 1).alias("_n"))
+    # One row per partition.
+    before = F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    return terms.withColumn("_part", part).join(starts, "_part").select("block", "term", "df", (F.col("_start") + place).alias("number"))
+
+
 @dataclass
 class TextFeatures:
     """Sublinear TF-IDF blocks (words 1-2, characters 3-5), each block with length 1."""
 
     blocks: Sequence[str] = ("word",)
-    size: int = BLOCK_SIZE
     frequency: DataFrame | None = None
     n: int = 0
+    size: int = 0
 
     def fit(self, df: DataFrame, text_col: str = "text") -> TextFeatures:
         counts = _terms(df, self.blocks, text_col)
-        self.frequency = materialise(counts.groupBy("block", "term").agg(F.count("*").alias("df")), "frequency")
-        self.n = df.count()
+        terms = counts.groupBy("block", "term").agg(F.count("*").alias("df")).withColumn("_id", F.monotonically_increasing_id())
+        self.frequency = materialise(_numbered(materialise(terms, "terms")), "frequency")
+        self.n, self.size = df.count(), self.frequency.count()
         return self
 
     def transform(self, df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -65,8 +74,7 @@ class TextFeatures:
         counts = _terms(df, self.blocks, text_col)
         raw = (F.lit(1.0) + F.log("tf")) * (F.log(F.lit(1.0 + self.n) / (F.lit(1.0) + F.col("df"))) + 1.0)
         weighed = counts.join(self.frequency, ["block", "term"]).withColumn("w", raw)
-        place = F.col("block") * self.size + F.pmod(F.xxhash64("term"), F.lit(self.size)).cast("int")
-        placed = weighed.groupBy("doc", "block", place.alias("i")).agg(F.sum("w").alias("w"))
+        placed = weighed.select("doc", "block", F.col("number").cast("int").alias("i"), "w")
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc", "block")))
         unit = placed.withColumn("w", F.col("w") / norm)
         # A document's own terms: bounded by its length.
@@ -75,7 +83,7 @@ class TextFeatures:
         none = F.array().cast("array<struct<i:int,w:double>>")
         joined = df.join(packed, "doc", "left").withColumn("_e", F.coalesce("_e", none))
         vector = F.struct(
-            F.lit(0).cast("tinyint").alias("type"), F.lit(self.size * len(self.blocks)).alias("size"),
+            F.lit(0).cast("tinyint").alias("type"), F.lit(max(self.size, 1)).alias("size"),
             F.col("_e.i").cast("array<int>").alias("indices"), F.col("_e.w").alias("values"),
         )
         return _as_vectors(joined.withColumn("features", vector).drop("_e"), "features")
@@ -254,11 +262,11 @@ def train_two_stage(name: str, rows: DataFrame, method: str = "sigmoid", label:
     return TwoStage(stage1, ClassStage(name).fit(actionable, label))
 
 
-def with_features(df: DataFrame, name: str, size: int = BLOCK_SIZE) -> DataFrame:
+def with_features(df: DataFrame, name: str) -> DataFrame:
     """Features of a model family, fitted on the training rows only when ``split`` exists."""
     if name not in BLOCKS:
         return df
-    fitted = TextFeatures(BLOCKS[name], size).fit(df.filter("split = 'train'") if "split" in df.columns else df)
+    fitted = TextFeatures(BLOCKS[name]).fit(df.filter("split = 'train'") if "split" in df.columns else df)
     return fitted.transform(df)
 
 
@@ -288,7 +296,7 @@ def rule_baseline(df: DataFrame, binary: bool = False) -> DataFrame:
     return out.withColumn("predicted_label", F.col("rule_label"))
 
 
-def out_of_fold(corpus: DataFrame, name: str = "logistic", folds: int = 5, seed: int = 42, size: int = BLOCK_SIZE) -> DataFrame:
+def out_of_fold(corpus: DataFrame, name: str = "logistic", folds: int = 5, seed: int = 42) -> DataFrame:
     """Probability of every labelled row from a model that saw none of its group.
 
     ``corpus`` carries record_id, text, corrected_label, actionable, parent_id. Each fold trains once; the result
@@ -303,7 +311,7 @@ def out_of_fold(corpus: DataFrame, name: str = "logistic", folds: int = 5, seed:
         placed = splits.fold_split(rows, fold, seed)
         if placed.filter("split = 'train'").select("corrected_label").distinct().count() < 2:
             continue
-        featured = with_features(placed, name, size)
+        featured = with_features(placed, name)
         stage = train_stage1(name, featured)
         if not stage.yields_probabilities:
             continue
@@ -317,12 +325,12 @@ def out_of_fold(corpus: DataFrame, name: str = "logistic", folds: int = 5, seed:
     return materialise(out, "oof")
 
 
-def build_probabilities(signals: DataFrame, corpus: DataFrame, name: str = "logistic", folds: int = 5, seed: int = 42, size: int = BLOCK_SIZE, id_col: str = "id") -> DataFrame:
+def build_probabilities(signals: DataFrame, corpus: DataFrame, name: str = "logistic", folds: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
     """Out-of-fold values for the corpus, the model for everything else, with provenance."""
-    oof = out_of_fold(corpus, name, folds, seed, size).select("record_id", "oof_probability")
+    oof = out_of_fold(corpus, name, folds, seed).select("record_id", "oof_probability")
     training = corpus.select("record_id", "text").join(oof, "record_id", "left")
     split = splits.group_split(corpus, seed).withColumn("doc", F.col("record_id"))
-    features = TextFeatures(BLOCKS.get(name, ("word",)), size).fit(split.filter("split = 'train'"))
+    features = TextFeatures(BLOCKS.get(name, ("word",))).fit(split.filter("split = 'train'"))
     stage = train_stage1(name, features.transform(split))
     scored = stage.scores(features.transform(signals.withColumn("doc", F.col(id_col).cast("string")))).withColumn("_model", F.col("score"))
     made = probabilities.attach_probabilities(scored, training, F.col("_model") if stage.yields_probabilities else None, id_col)
@@ -359,30 +367,30 @@ def load_stage1(spark: SparkSession, path: str, expected: dict | None = None) ->
     for key, value in (expected or {}).items():
         if facts.get(key) != value:
             raise ValueError(f"model at {path} has {key}={facts.get(key)!r}, expected {value!r}")
-    features = TextFeatures(tuple(facts["blocks"]), facts["size"], spark.read.parquet(f"{path}/vocabulary"), facts["n"])
+    features = TextFeatures(tuple(facts["blocks"]), spark.read.parquet(f"{path}/vocabulary"), facts["n"], facts["size"])
     stage = BinaryStage(facts["name"], LogisticRegressionModel.load(f"{path}/model"), threshold=facts["threshold"])
     return stage, features, facts
 
 
-def train_and_save(corpus: DataFrame, path: str, name: str = "logistic", seed: int = 42, size: int = BLOCK_SIZE) -> BinaryStage:
+def train_and_save(corpus: DataFrame, path: str, name: str = "logistic", seed: int = 42) -> BinaryStage:
     """Train on the group split; refuse when groups cross splits."""
     split = materialise(splits.group_split(corpus, seed).withColumn("doc", F.col("record_id")), "split")
     if splits.leakage(split).filter("kind = 'group'").limit(1).count():
         raise ValueError("groups are shared between splits")
-    features = TextFeatures(BLOCKS[name], size).fit(split.filter("split = 'train'"))
+    features = TextFeatures(BLOCKS[name]).fit(split.filter("split = 'train'"))
     stage = train_stage1(name, features.transform(split))
     save_stage1(stage, features, path, {"seed": seed, "taxonomy": list(intent.TAXONOMY)})
     return stage
 
 
-def benchmark(corpus: DataFrame, models: Sequence[str] = MODELS, seeds: Sequence[int] = (42,), size: int = BLOCK_SIZE) -> DataFrame:
+def benchmark(corpus: DataFrame, models: Sequence[str] = MODELS, seeds: Sequence[int] = (42,)) -> DataFrame:
     """One row of stage 1 and end-to-end test metrics per (model, seed)."""
     out = None
     for seed in seeds:
         split = materialise(splits.group_split(corpus, seed).withColumn("doc", F.col("record_id")), "split")
         for name in models:
-            model = train_two_stage(name, with_features(split, name, size))
-            test = with_features(split, name, size).filter("split = 'test'")
+            model = train_two_stage(name, with_features(split, name))
+            test = with_features(split, name).filter("split = 'test'")
             scored = materialise(_test_rows(model, test), "predictions")
             row = _metric_row(scored).withColumns({"model": F.lit(name), "seed": F.lit(seed)})
             out = row if out is None else out.unionByName(row)
@@ -404,12 +412,12 @@ def _metric_row(scored: DataFrame) -> DataFrame:
     return side_by_side(stage1, end_to_end)
 
 
-def group_cv(corpus: DataFrame, models: Sequence[str] = ("logistic",), seeds: Sequence[int] = (42,), folds: int = 5, size: int = BLOCK_SIZE) -> DataFrame:
+def group_cv(corpus: DataFrame, models: Sequence[str] = ("logistic",), seeds: Sequence[int] = (42,), folds: int = 5) -> DataFrame:
     """Stage 1 metrics of out-of-fold predictions per (model, seed)."""
     out = None
     for name in models:
         for seed in seeds:
-            oof = out_of_fold(corpus, name, folds, seed, size).select("record_id", "oof_probability", "pred_actionable")
+            oof = out_of_fold(corpus, name, folds, seed).select("record_id", "oof_probability", "pred_actionable")
             joined = corpus.join(oof, "record_id").withColumn("y", F.col("actionable").cast("int"))
             row = evaluation.binary_metrics(joined, "y", "pred_actionable", "oof_probability").withColumns({"model": F.lit(name), "seed": F.lit(seed)})
             out = row if out is None else out.unionByName(row)
