@@ -62,13 +62,13 @@ for _name, _model in (("k4_naive", "naive"), ("k5_trailing_mean", "mean"), ("k6_
 
 @query("k7_exponential_smoothing")
 def _(spark, d):
-    return _round_rows(forecasters.smoothing_backtest(order_weeks(spark, d), KEYS, "period_start", "value", min_train=60, step=4))
+    return _round_rows(forecasters.smoothing_backtest(order_weeks(spark, d), KEYS, "period_start", "value", min_train=60))
 
 
 @query("k8_ridge_events")
 def _(spark, d):
     cal = calendar(spark, ORDER_CALENDAR_ROWS)
-    return _round_rows(forecasters.ridge_backtest(order_weeks(spark, d), cal, KEYS, "period_start", "value", min_train=60, step=4))
+    return _round_rows(forecasters.ridge_backtest(order_weeks(spark, d), cal, KEYS, "period_start", "value", min_train=60))
 
 
 @query("k9_prediction_intervals", with_views(BT, f" SELECT series_id, model, horizon_step, count(*) AS n, {rsql('avg(upper - lower)', 4)} AS mean_width, min(CASE WHEN lower <= forecast AND forecast <= upper AND lower >= 0 THEN 1 ELSE 0 END) AS holds FROM bt GROUP BY ALL"))
@@ -89,7 +89,7 @@ def _(spark, d):
 
 
 @query("k11_exog_blocks", with_views("ordw ocal", f""", n AS (SELECT series_id, count(*) AS n FROM ordw GROUP BY 1),
-  o AS (SELECT n.series_id, o AS origin, w.period_start AS known FROM n, generate_series(60, n - 2, 20) g(o) JOIN ordw w ON w.series_id = n.series_id AND w.idx = o - 1),
+  o AS (SELECT n.series_id, o AS origin, w.period_start AS known FROM n, generate_series(60, n - 2, 2) g(o) JOIN ordw w ON w.series_id = n.series_id AND w.idx = o - 1),
   r AS (SELECT w.series_id, o.origin, o.known, w.idx, w.period_start FROM ordw w JOIN o ON w.series_id = o.series_id AND w.idx < o.origin + 2),
   l AS (SELECT series_id, origin, idx, any_value(period_start) AS ps, max(event_date) AS ed, arg_max(c.major_announcement_flag, event_date) AS mf
     FROM r LEFT JOIN ocal c ON event_date <= period_start AND announced_date <= known GROUP BY 1, 2, 3)
@@ -97,13 +97,13 @@ def _(spark, d):
    CASE WHEN (epoch_us(ps) - epoch_us(ed)) / 8.64e10 / 7 < 4 THEN 1 ELSE 0 END AS event_active,
    {rsql('coalesce(pow(0.5, (epoch_us(ps) - epoch_us(ed)) / 8.64e10 / 7 / 3.0), 0)')} AS event_decay, coalesce(mf, 0) AS major_announcement_flag FROM l"""))
 def _(spark, d):
-    out = forecasters.exog_blocks(order_weeks(spark, d), calendar(spark, ORDER_CALENDAR_ROWS), KEYS, "period_start", min_train=60, step=20)
+    out = forecasters.exog_blocks(order_weeks(spark, d), calendar(spark, ORDER_CALENDAR_ROWS), KEYS, "period_start", min_train=60)
     return out.select("series_id", "origin", "period_index", "in_training", "event_active", rnd("event_decay").alias("event_decay"), "major_announcement_flag")
 
 
 @query("k14_bootstrap_draws")
 def _(spark, d):
-    out = forecasters.bootstrap_draws(order_weeks(spark, d), KEYS, "period_start", "value", draws=200)
+    out = forecasters.bootstrap_draws(order_weeks(spark, d), KEYS, "period_start", "value")
     return out.select("series_id", "draw", "step", rnd("value", 4).alias("value"))
 
 
@@ -317,7 +317,7 @@ def _(spark, d):
     weeks = order_weeks(spark, d)
     written = plan.run_experiment(
         weeks, work_path(spark, "experiment"), ("total_comments", "actionable_count"), series_cols=KEYS,
-        models=("naive", "mean", "seasonal_naive", "exponential_smoothing"), min_train=60, step=8, reference_model="exponential_smoothing")
+        models=("naive", "mean", "seasonal_naive", "exponential_smoothing"), min_train=60, reference_model="exponential_smoothing")
     return spark.read.parquet(written["selection"]).select("series_id", "target", "selected", "leader", "tier")
 
 

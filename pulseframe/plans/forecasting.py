@@ -74,7 +74,8 @@ def run_targets(
         out["sensitivity"] = compare.ranking_sensitivity(backtest, reference_model, keys)
         basis = out["matched_comparison"]
     out["selection"] = compare.select_model(basis, flags, keys)
-    out["forecast"] = bt_ops.future_forecast(ready, keys, period_col, "value", window_models or ("naive",))
+    if window_models:
+        out["forecast"] = bt_ops.future_forecast(ready, keys, period_col, "value", window_models)
     out["profile"] = series.series_profile(ready, keys, "value", series.target_kind(F.col(TARGET)))
     return out
 
