@@ -42,11 +42,12 @@ def padded(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return out, np.flatnonzero(predicted), np.repeat(np.arange(len(n)), words.counts + 1)
 
 
-def gram(codes: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the ``order`` codes that end at each place; of an empty sequence it is 0."""
-    out = np.zeros(len(place), np.uint64)
+def grams(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For 0 .. ``order``: the hash of so many codes that end at each place (from the last one back)."""
+    out = [np.zeros(len(codes), np.uint64)]
     for k in range(order):
-        out = mix(out + codes[place - order + 1 + k] + np.uint64(0x9E3779B97F4A7C15))
+        shifted = np.concatenate([np.zeros(min(k, len(codes)), np.uint64), codes[: max(0, len(codes) - k)]])
+        out.append(mix(out[-1] + shifted + np.uint64(0x9E3779B97F4A7C15)))
     return out
 
 
@@ -84,13 +85,14 @@ def _gram_batches(order: int, letters: bool):
             codes, place, text = padded(words, order)
             group = group[text]
             weight = times[text] if letters else np.ones(len(text))
-            key = mix(gram(codes, place, order) + group.astype(np.uint64))
+            hashes = grams(codes, order)
+            key = mix(hashes[order][place] + group.astype(np.uint64))
             _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
             n = np.bincount(inverse, weight, len(first)).astype(np.int64)
             columns = {"group": pa.array(group[first]), "n": pa.array(n, pa.int64())}
             for k in range(order):
-                columns[f"g{k + 1}"] = pa.array(gram(codes, place[first], k + 1).view(np.int64))
-                columns[f"c{k + 1}"] = pa.array(gram(codes, place[first] - 1, k).view(np.int64))
+                columns[f"g{k + 1}"] = pa.array(hashes[k + 1][place[first]].view(np.int64))
+                columns[f"c{k + 1}"] = pa.array(hashes[k][place[first] - 1].view(np.int64) if k else np.zeros(len(first), np.int64))
             yield pa.record_batch(columns)
 
     return count
@@ -110,33 +112,39 @@ def _discounted(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Model:
-    """Probabilities as sorted arrays: for each group, order by order from 0, gram -> share and context -> weight.
+    """Probabilities as sorted arrays: order by order from 0, gram -> share and context -> weight, a column for each group.
 
     Order 0 are the words of all groups together, the backoff that they share; below it all words and one unknown are alike.
     """
 
-    def __init__(self, order: int, words: int):
-        self.order, self.words, self.parts = order, words, {}
+    def __init__(self, order: int, words: int, groups: int = 1):
+        self.order, self.words, self.groups, self.parts = order, words, groups, {}
 
-    def log10(self, codes: np.ndarray, place: np.ndarray, group: int = 0) -> np.ndarray:
-        """log10 probability of the token at each place given the ``order`` - 1 codes before it."""
-        p = np.full(len(place), 1.0 / (self.words + 1))
+    def log10(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log10 probability of the token at each place given the ``order`` - 1 codes before it: places x groups."""
+        hashes = grams(codes, self.order)
+        p = np.full((len(place), self.groups), 1.0 / (self.words + 1))
         for k in range(self.order + 1):
-            if (group, k) in self.parts:
-                (grams, share), (contexts, weight) = self.parts[group, k]
-                p = _find(grams, share, gram(codes, place, max(k, 1)), 0.0) + _find(contexts, weight, gram(codes, place - 1, max(k, 1) - 1), 1.0) * p
+            if k in self.parts:
+                (own, share), (contexts, weight) = self.parts[k]
+                before = hashes[k - 1][place - 1] if k > 1 else np.zeros(len(place), np.uint64)
+                p *= _find(contexts, weight, before, 1.0)
+                p += _find(own, share, hashes[max(k, 1)][place], 0.0)
         return np.log10(p)
 
 
 def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+    """Rows of ``values`` for the wanted keys."""
+    out = np.full((len(wanted), values.shape[1]), missing)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == wanted)
+        out[hit] = values[at[hit]]
+    return out
 
 
-def train(rows: DataFrame, order: int, groups: tuple[int, ...] = (0,), least: int = 1, letters: bool = False) -> Model:
-    """Fit to ``rows(group int, text)``, a bounded set of rows.
+def train(rows: DataFrame, order: int, groups: int = 1, least: int = 1, letters: bool = False) -> Model:
+    """Fit to ``rows(group int, text)``, a bounded set of rows; the groups are numbered from 0.
 
     With several groups each has its own model, and all back off to the words of the groups together. Grams count for a group
     only if they are seen ``least`` times in it (below the highest order: after ``least`` different tokens). With ``letters``
@@ -148,40 +156,35 @@ def train(rows: DataFrame, order: int, groups: tuple[int, ...] = (0,), least: in
     # One row for each group and gram of the highest order.
     counts = counts.groupBy("group", f"g{order}").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in names if c != f"g{order}"])
     counts = materialise(counts, "grams")
-    model = Model(order, counts.select("g1").distinct().count())
+    model = Model(order, counts.select("g1").distinct().count(), groups)
     for k in range(order, 0, -1):
         if k == order:
             told = counts.select("group", F.col(f"g{k}").alias("g"), F.col(f"c{k}").alias("c"), F.col("n").alias("k"))
         else:
             above = counts.groupBy("group", f"g{k + 1}").agg(F.first(f"g{k}").alias("g"), F.first(f"c{k}").alias("c"))
             told = above.groupBy("group", "g").agg(F.count("*").alias("k"), F.first("c").alias("c"))
-        _place(model, told.where(F.col("k") >= least), k, {g: g for g in groups})
-    if len(groups) > 1:
+        model.parts[k] = _tables(told.where(F.col("k") >= least), list(range(groups)))
+    if groups > 1:
         told = counts.groupBy(F.lit(0).cast("long").alias("group"), F.col("g1").alias("g")).agg(F.count("*").alias("k"), F.first("c1").alias("c"))
-        _place(model, told, 0, {g: 0 for g in groups})
+        model.parts[0] = _tables(told, [0] * groups)
     return model
 
 
-def _place(model: Model, told: DataFrame, k: int, groups: dict[int, int]) -> None:
+def _tables(told: DataFrame, groups: list[int]) -> tuple:
     share, weight = _discounted(told)
-    share, weight = _collected(share, "g"), _collected(weight, "c")
-    for group, at in groups.items():
-        model.parts[group, k] = share.get(at, _NONE), weight.get(at, _NONE)
-
+    return _collected(share, "g", groups, 0.0), _collected(weight, "c", groups, 1.0)
 
-_NONE = np.zeros(0, np.uint64), np.zeros(0)
 
-
-def _collected(df: DataFrame, key: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted arrays of each group. The frame is bounded by the training tokens."""
+def _collected(df: DataFrame, key: str, groups: list[int], missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and a column of values for each group. The frame is bounded by the training tokens."""
     table = df.toArrow()
     group, keys, value = (table.column(c).to_numpy() for c in ("group", key, table.column_names[-1]))
-    keys, out = keys.view(np.uint64), {}
-    for g in np.unique(group).tolist():
-        own = np.flatnonzero(group == g)
-        own = own[np.argsort(keys[own])]
-        out[g] = keys[own], value[own]
-    return out
+    keys, place = np.unique(keys.view(np.uint64), return_inverse=True)
+    out = np.full((len(keys), len(groups)), missing)
+    for column, g in enumerate(groups):
+        own = group == g
+        out[place[own], column] = value[own]
+    return keys, out
 
 
 def text_sums(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:

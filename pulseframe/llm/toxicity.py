@@ -39,7 +39,8 @@ def features(model: kneser.Model, texts: list) -> np.ndarray:
     names, _, inverse = kneser.distinct_words(words)
     letters = kneser.Letters(names)
     codes, place, owner = kneser.padded(letters, model.order)
-    each = kneser.text_sums(model.log10(codes, place, 1) - model.log10(codes, place, 0), owner, len(names))
+    logs = model.log10(codes, place)
+    each = kneser.text_sums(logs[:, 1] - logs[:, 0], owner, len(names))
     own = each[inverse]
     gain = kneser.text_sums(own, words.text, len(texts))
     order = np.lexsort((-own, words.text))
@@ -100,7 +101,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # At most 2 * rows_per_class ids: a bounded broadcast, so no text is shuffled to find the rows.
     learn = rows.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)))
-    model = kneser.train(learn.where("part > 0").select(F.col("toxic").alias("group"), "text"), order, (0, 1), least, letters=True)
+    model = kneser.train(learn.where("part > 0").select(F.col("toxic").alias("group"), "text"), order, 2, least, letters=True)
     fit = learn.where("part = 0").mapInArrow(_feature_batches(model), "toxic int, x array<double>").toPandas()
     y = fit["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
