@@ -4,7 +4,8 @@ One model of the letters of words is trained on toxic rows, one on ordinary rows
 together, so an expression that is rare in both says little, and forms of a word that were never seen share its stem's
 counts. A text's score is a logistic function of the difference of the two log-likelihoods, divided by the number of words
 and by its square root, and of the greatest differences of single words, so that a few words count in a long text. The logistic function is fitted to labelled rows
-that the models have not seen.
+that the models have not seen, and its constant is set to the ratio of the classes among all labels, so that the bound on
+the rows of a class does not move the decision.
 """
 
 from __future__ import annotations
@@ -86,13 +87,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``.
 
     Learns from ``labels(doc_id, toxic)`` of rows that are not held out, at most ``rows_per_class`` of each class, chosen by
-    a hash of the id; one in five of them fits the logistic function. A doc_id with several labels counts with the greatest;
-    other labels than 0 and 1, and rows without doc_id, teach nothing. A null text scores like an empty one. Without labels of
-    both classes every score is the share of label 1 (0.5 of nothing). An empty table gives no rows.
+    a hash of the id; one in five of them fits the logistic function, for the ratio of the classes among all labels that are
+    not held out. A doc_id with several labels counts with the greatest; other labels than 0 and 1, and rows without doc_id,
+    teach nothing. A null text scores like an empty one. Without labels of both classes every score is the share of label 1
+    (0.5 of nothing). An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(folds))
+    # Labels of each class: all, and those of them that fit the logistic function.
+    total = np.zeros(2)
+    for r in known.groupBy("toxic").count().collect():
+        total[r["toxic"]] = r["count"]
+    fitting = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) == 0
     chosen = None
     for c in (0, 1):
         part = kneser.bounded_rows(known.where(F.col("toxic") == c), rows_per_class)
@@ -100,15 +107,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, toxic int")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     # At most 2 * rows_per_class ids: a bounded broadcast, so no text is shuffled to find the rows.
-    learn = rows.join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)))
-    model = kneser.train(learn.where("part > 0").select(F.col("toxic").alias("group"), "text"), order, 2, least, letters=True)
-    fit = learn.where("part = 0").mapInArrow(_feature_batches(model), "toxic int, x array<double>").toPandas()
+    learn = rows.join(F.broadcast(chosen), "doc_id").withColumn("fitting", fitting)
+    model = kneser.train(learn.where("not fitting").select(F.col("toxic").alias("group"), "text"), order, 2, least, letters=True)
+    fit = learn.where("fitting").mapInArrow(_feature_batches(model), "toxic int, x array<double>").toPandas()
     y = fit["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         weights = logistic(np.stack(fit["x"].to_list()), y)
+        # Each class has its own share of labels among the rows of the fit: the constant takes the ratio of all labels instead.
+        used = np.zeros(2)
+        for r in chosen.where(fitting).groupBy("toxic").count().collect():
+            used[r["toxic"]] = r["count"]
+        weights[0] += np.log(total[1] / total[0]) - np.log(used[1] / used[0])
     else:
-        n = chosen.groupBy().agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("k")).first()
-        share = (n["k"] + 0.5) / (n["n"] + 1)
+        share = (total[1] + 0.5) / (total.sum() + 1)
         weights = np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
     held = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     return text_rows(held.withColumn("held", held_out(folds)), "doc_id", "held", "text").mapInArrow(

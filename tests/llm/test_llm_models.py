@@ -119,6 +119,26 @@ def test_toxicity_without_two_classes(spark, labels):
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_toxicity_decides_alike_if_a_class_is_bounded(spark):
+    """Eight ordinary rows to a toxic one; a word of half the toxic and an eighth of the ordinary rows says "more likely ordinary"."""
+    rng, data, labels = random.Random(8), [], []
+    for i, t in enumerate(texts(1800, 41, 20)):
+        toxic = i % 9 == 0
+        word = ("horrid" if i % 2 else "dubious") if toxic else "dubious" if rng.random() < 0.125 else "plain"
+        data.append((i, f"{t} {word} {word}", "en", "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, table = frame(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    word = {d: t.split()[-1] for d, t, *_ in data}
+    share, scores = {}, {}
+    for bound in (10_000, 160):
+        got = toxicity.toxicity(docs, table, rows_per_class=bound).collect()
+        share[bound] = {w: np.mean([r.predicted for r in got if word[r.doc_id] == w]) for w in ("plain", "dubious", "horrid")}
+        scores[bound] = np.mean([r.score for r in got])
+    for bound in share:
+        assert share[bound]["plain"] < 0.02 and share[bound]["dubious"] < 0.2 and share[bound]["horrid"] > 0.8
+        assert abs(scores[bound] - 1 / 9) < 0.04
+
+
 def test_bounded_rows(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert kneser.bounded_rows(ids, 10).select(F.count("*")).first()[0] == 10
