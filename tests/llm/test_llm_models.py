@@ -91,6 +91,26 @@ def test_quality_keeps_good_and_drops_junk(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept or r.doc_id is None for r in got)
 
 
+def test_quality_thresholds_cover_all_trusted_rows(spark, monkeypatch):
+    """A language whose trusted rows are few among those of the model's sample has a threshold of its own."""
+    data = [(i, t, "de" if i % 12 == 0 else None if i % 12 == 1 else "en", "s") for i, t in enumerate(texts(600, 51, 20))]
+    labels = spark.createDataFrame([(d, 1, 0) for d, *_ in data], "doc_id long, quality int, toxic int")
+    got = quality.quality(frame(spark, data), labels, trusted_rows=30).collect()
+    assert len({r.threshold for r in got}) == 3
+    for lang in ("de", None, "en"):
+        assert len({r.threshold for r in got if r.lang == lang}) == 1
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    rows_ = [(lang, round(rng.gauss(2, 0.5), 2), rng.randint(1, 4)) for lang in ("a", None, "b") for _ in range(300)] + [("one", 1.5, 7)]
+    table = spark.createDataFrame(rows_, "lang string, v double, k long").groupBy("lang", "v").agg(F.sum("k").alias("k"))
+    got = {r.lang: (r.n, r.q0, r.q1) for r in quality.quantiles(table, [0.5, 0.99]).collect()}
+    for lang in ("a", None, "b", "one"):
+        v = sorted(x for name, x, k in rows_ if name == lang for _ in range(k))
+        assert got[lang] == (len(v), *[v[max(1, math.ceil(len(v) * q - 1e-9)) - 1] for q in (0.5, 0.99)])
+
+
 def test_quality_without_labels_or_rows(spark):
     docs, none = frame(spark, rows()), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality(docs, none).where("not kept").count() == 0
