@@ -101,6 +101,20 @@ def test_quality_thresholds_cover_all_trusted_rows(spark, monkeypatch):
         assert len({r.threshold for r in got if r.lang == lang}) == 1
 
 
+def test_quality_rejects_the_share_that_its_quantile_says(spark):
+    """Of the trusted rows that set the threshold 0.5 % lie above it, and most rows with some junk words."""
+    rng, data, labels = random.Random(9), [], []
+    for i, t in enumerate(texts(1500, 61, 40)):
+        bad = i % 5 == 0
+        data.append((i, " ".join(f"{w}%%" if bad and rng.random() < 0.2 else w for w in t.split()), "en", "s"))
+        labels.append((i, int(not bad), 0))
+    got = quality.quality(frame(spark, data), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), trusted_rows=400).collect()
+    good = [r for r in got if r.doc_id % 5]
+    above = sum(not r.kept for r in good)
+    assert len({r.threshold for r in got}) == 1 and 0 < above <= 0.005 * len(good)
+    assert sum(not r.kept for r in got if r.doc_id % 5 == 0) >= 0.9 * (len(got) - len(good))
+
+
 def test_quantiles(spark):
     rng = random.Random(3)
     rows_ = [(lang, round(rng.gauss(2, 0.5), 2), rng.randint(1, 4)) for lang in ("a", None, "b") for _ in range(300)] + [("one", 1.5, 7)]
