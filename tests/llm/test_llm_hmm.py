@@ -80,6 +80,13 @@ def test_probabilities_of_all_words_add_up(spark, monkeypatch):
     assert sum(10 ** got[d] for d, t, *_ in held) < 1
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    docs = frame(spark, [r for r in rows(n=60) if r[0] is not None])
+    one, many = ([(r.doc_id, r.n_tokens, r.score) for r in hmm.score_texts(docs.repartition(n, "doc_id"), rounds=4).orderBy("doc_id", "n_tokens", "score").collect()] for n in (1, 6))
+    assert [r[:2] for r in one] == [r[:2] for r in many]
+    assert np.allclose([r[2] for r in one], [r[2] for r in many], rtol=1e-6)
+
+
 def test_empty_and_untrained(spark):
     docs = frame(spark, rows())
     assert hmm.score_texts(docs.limit(0)).count() == 0
