@@ -41,6 +41,9 @@ DROPPED_WORDS = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations toolbar pagination pager search complementary contentinfo".split())
 
+#: Words that may stand beside one of them in a compound such as "comment-list"; "no-sidebar" or "has-header" is no such compound.
+COMPOUND_WORDS = frozenset("area bar block box button buttons container content form group inner item items link links list outer panel section site text title wrap wrapper".split())
+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -59,6 +62,8 @@ class _Lines(HTMLParser):
         self.articles: list[int] = []
         self.heading = False
         self.opened = 0
+        self.by_word = False  # the element is dropped for a word only
+        self.wrappers: set[int] = set()  # elements dropped for a word that contain an article
 
     def _cut(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -80,7 +85,9 @@ class _Lines(HTMLParser):
         self.heading = self.heading or tag in HEADINGS
         if self.dropped is not None:
             self.depth += tag == self.dropped[0]
-        elif self.number not in self.skip and (tag in DROPPED or tag not in ("html", "body") and self._marked(attrs)):
+            if self.by_word and tag in ARTICLE:
+                self.wrappers.add(self.dropped[1])
+        elif self.number not in self.skip and self._drops(tag, attrs):
             self._cut()
             self.dropped, self.depth = (tag, self.number), 1
         elif tag in ARTICLE:
@@ -107,25 +114,42 @@ class _Lines(HTMLParser):
     def handle_data(self, data):
         self.parts.append(data)
 
+    def _drops(self, tag, attrs) -> bool:
+        self.by_word = False
+        if tag in DROPPED or tag not in ("html", "body") and self._hidden(attrs):
+            return True
+        self.by_word = tag not in ARTICLE and tag not in ("html", "body") and self._marked(attrs)
+        return self.by_word
+
+    @staticmethod
+    def _hidden(attrs) -> bool:
+        return any(name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and _HIDDEN.search((value or "").lower())
+                   for name, value in attrs)
+
     @staticmethod
     def _marked(attrs) -> bool:
+        """Whether a class, id or role is one of DROPPED_WORDS, or a compound of them and COMPOUND_WORDS."""
         for name, value in attrs:
-            value = (value or "").lower()
-            if name in ("class", "id", "role") and not DROPPED_WORDS.isdisjoint(_SPLIT.split(value)):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return True
+            if name in ("class", "id", "role"):
+                for token in (value or "").lower().split():
+                    parts = [p for p in _SPLIT.split(token) if p and not p.isdigit()]
+                    if not DROPPED_WORDS.isdisjoint(parts) and all(p in DROPPED_WORDS or p in COMPOUND_WORDS for p in parts):
+                        return True
         return False
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool, int, bool]]:
-    """(text, tags, dropped, article, heading) of each line. A dropped element that is never closed is read again as an ordinary one."""
+    """(text, tags, dropped, article, heading) of each line. A dropped element that is never closed is read again as an ordinary one,
+    and so is one that is dropped for a word and contains an article."""
     skip: frozenset[int] = frozenset()
     while True:
         parser = _Lines(skip)
         parser.feed(html)
         parser.close()
         parser._cut()
+        if parser.wrappers:
+            skip = skip | parser.wrappers
+            continue
         if parser.dropped is None or parser.dropped[0] in ("script", "style", "title", "textarea"):
             return parser.lines
         skip = skip | {parser.dropped[1]}

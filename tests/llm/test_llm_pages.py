@@ -93,3 +93,13 @@ def test_article_without_its_surroundings(spark):
     assert [g[3] for g in got] == [len(g[2]) for g in got]
     assert {g[0]: g[2] for g in got} == {1: want, 2: "", 3: "", None: "just text that is not marked up", 5: "never closed\n" + ("words in a long line " * 9).strip()}
     assert extract.extract_pages(pages(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="no-sidebar">%s</div>', '<main class="has-header">%s</main>', '<article class="post with-comments">%s</article>', '<div id="page" class="sticky-nav">%s</div>',
+    '<main class="header">%s</main>', '<div class="header"><div class="menu-wrap"><article>%s</article></div></div>', '<div class="widget"><div class="banner"><main>%s</main></div></div>'])
+def test_wrappers_with_class_words_keep_the_article(page):
+    body = "<p>A paragraph of the article with enough words to be content.</p><p>And a second one of nearly the same length, after it.</p>"
+    around = '<div class="cookie-notice">We use cookies here, and this line is as long as a paragraph.</div><ul id="comment-list-3"><li>A reader comment that is rather long.</li></ul>'
+    want = "A paragraph of the article with enough words to be content.\nAnd a second one of nearly the same length, after it."
+    assert extract.main_text(f"<html><body>{around}{page % body}</body></html>") == want
