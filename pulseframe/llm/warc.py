@@ -24,8 +24,12 @@ REVISIT_BYTES = 1000
 CAPTURED = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Compressed bytes that are inflated in one call.
+SLICE = 1 << 14
+
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_ID = re.compile(rb"<urn:(x-page:(-?\d+)?|uuid:[0-9A-Fa-f-]{36})>")
 _PAGE = re.compile(rb"<urn:x-page:(-?\d+)>")
 
 
@@ -86,7 +90,7 @@ def _record(data: bytes, at: int) -> tuple[dict[bytes, bytes], bytes, int]:
 
 
 def _plain_records(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, (header, block)) and ("gap", start, end, reason) of uncompressed bytes, in order."""
+    """("record", start, end, (header, block, doubt)) and ("gap", start, end, reason) of uncompressed bytes, in order."""
     at = 0
     while at < len(data):
         try:
@@ -96,13 +100,14 @@ def _plain_records(data: bytes) -> Iterator[tuple[str, int, int, object]]:
             end = found.start() if found else len(data)
             yield "gap", at, end, str(reason)
         else:
-            yield "record", at, end, (header, block)
+            yield "record", at, end, (header, block, None)
         at = end
 
 
 def read_archive(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """Records and gaps of an archive's bytes, in order. For records in gzip members and for gaps inside a member that opens,
-    the positions are those of the member; a member that breaks off gives its whole records, and a gap to the next one."""
+    the positions are those of the member; a member that breaks gives its whole records, the gaps inside what it gave, and a gap
+    for what is lost up to the next one. Its records carry a doubt, since no digest covers their headers."""
     at = 0
     while at < len(data):
         if not data.startswith(_MEMBER, at):
@@ -115,30 +120,49 @@ def read_archive(data: bytes) -> Iterator[tuple[str, int, int, object]]:
                 yield kind, at + x, at + y, what
             at = end
             continue
-        machine, parts, reason = zlib.decompressobj(31), [], ""
-        try:
-            for x in range(at, len(data), 1 << 20):
-                parts.append(machine.decompress(data[x : x + (1 << 20)]))
-                if machine.eof:
-                    break
-        except zlib.error as error:
-            reason = f"member broken: {error}"
-        if machine.eof:
-            end = min(x + (1 << 20), len(data)) - len(machine.unused_data)
-        else:
-            reason = reason or "member breaks off"
+        output, end, reason = _inflated(data, at)
+        if reason:
             end = data.find(_MEMBER, at + 1)
             while end >= 0 and not _opens(data, end):
                 end = data.find(_MEMBER, end + 1)
             end = end if end >= 0 else len(data)
-        for kind, _, _, what in _plain_records(b"".join(parts)):
-            if kind == "record" or not reason:
-                yield kind, at, end, what
+        for kind, _, _, what in _plain_records(output):
+            if reason and kind == "record":
+                # Digests cover blocks only: what the damage did to a header line is seen in the id at best.
+                header, block, _ = what
+                if b"warc-block-digest" not in header or not _ID.fullmatch(header.get(b"warc-record-id", b"")):
+                    yield "gap", at, end, "record of a broken member without whole id and block digest"
+                    continue
+                what = header, block, f"header not covered by a digest, {reason}"
+            yield kind, at, end, what
         if reason:
             yield "gap", at, end, reason
         at = end
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """All bytes that the member at ``at`` gives, its end, and why it breaks ("" if it does not). The call that fails gives nothing,
+    so the input goes in slices; the slice that fails is repeated byte by byte."""
+    machine, parts = zlib.decompressobj(31), []
+    x = at
+    while x < len(data) and not machine.eof:
+        piece = data[x : x + SLICE]
+        before = machine.copy()
+        try:
+            parts.append(machine.decompress(piece))
+        except zlib.error as error:
+            for k in range(len(piece)):
+                try:
+                    parts.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(parts), x, f"member broken: {error}"
+        x += len(piece)
+    if machine.eof:
+        return b"".join(parts), x - len(machine.unused_data), ""
+    return b"".join(parts), x, "member breaks off"
+
+
 def _opens(data: bytes, at: int) -> bool:
     """Whether a member that begins here gives at least a version line."""
     try:
@@ -159,12 +183,13 @@ def _reader(payloads: bool):
                     if kind == "gap":
                         rows.append((path, start, end, "gap", None, None, None, None, None, None, what))
                         continue
-                    header, block = what
+                    header, block, doubt = what
                     page, refers = (_PAGE.match(header.get(n, b"")) for n in (b"warc-record-id", b"warc-refers-to"))
                     revisit = header.get(b"warc-type") == b"revisit"
                     body = None if revisit else block.partition(b"\r\n\r\n")[2]
                     digest = None if revisit else hashlib.sha1(body).hexdigest()
                     reason = None if revisit or header.get(b"warc-payload-digest", b"sha1:" + digest.encode()).lower() == b"sha1:" + digest.encode() else "payload digest differs"
+                    reason = reason or doubt
                     rows.append((path, start, end, header.get(b"warc-type", b"").decode("latin-1"), int(page[1]) if page else None, int(refers[1]) if refers else None,
                                  header.get(b"warc-target-uri", b"").decode("utf-8", "replace"), None if revisit else len(body), digest, body if payloads else None, reason))
                     if len(rows) >= 1000:

@@ -76,6 +76,25 @@ def test_member_salvage(where):
     assert [s[3] for s in summary(a + record(5) + b)] == [1, 5, 2]
 
 
+def test_damage_in_a_member_of_many_records():
+    many = b"".join(record(i, hashlib.sha256(b"%d" % i).hexdigest().encode() * 2) for i in range(1, 3001))
+    whole = gzip.compress(many)
+    numbers = lambda data: [f[3] for f in summary(data) if f[0] == "record"]
+    assert numbers(whole) == list(range(1, 3001))
+    broken = bytearray(whole)
+    broken[-6] ^= 255  # the checksum: all content is there
+    found = summary(bytes(broken))
+    assert [f[3] for f in found if f[0] == "record"] == list(range(1, 3001))
+    assert [f[0] for f in found if f[0] == "gap"] == ["gap"]
+    for where in (len(whole) // 3, len(whole) * 9 // 10):
+        broken = bytearray(whole)
+        broken[where] ^= 255
+        damaged = bytes(broken)
+        got = numbers(damaged + gzip.compress(record(5000)))
+        assert got[-1] == 5000 and got[0] == 1 and len(got) >= 3000 * where / len(whole) * 0.95
+        assert any(f[0] == "gap" for f in summary(damaged))
+
+
 def test_article_without_its_surroundings(spark):
     body = "<h1>Title&amp;s</h1><p>A first  paragraph\nwith <b>bold</b> text and enough words to be content.</p><p>Short.</p><p>Unclosed paragraph of some length here<p>Last &lt;one&gt;."
     html = (
