@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm import extract, hmm, hosts, mixing, quality, similarity, superkmers, tiling, toxicity, warc
+from pulseframe.llm import extract, fptree, hmm, hosts, merkle, mixing, quality, simhash, similarity, superkmers, tiling, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,85 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of all documents under a hidden Markov model of the corpus."""
     return hmm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints and their components, over all documents."""
+    return simhash.simhash_near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_ranked_search", """
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), c AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), total AS (
+  SELECT count(DISTINCT doc_id) AS docs, count(*) AS len FROM t
+), d AS (
+  SELECT doc_id, 25 + (75 * count(*) * any_value(docs)) // any_value(len) AS m FROM t, total GROUP BY doc_id
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM c, total GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM i JOIN c USING (term) JOIN w USING (term) JOIN d USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, among all documents."""
+    return fptree.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_merkle_manifest", """
+WITH RECURSIVE c AS (
+  SELECT doc_id, coalesce('=' || source, '') AS s, text, xor(4294967295, list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END)) AS crc,
+    concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head
+  FROM documents
+), l AS (
+  SELECT doc_id, s, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(bad) || ':' || bad, '-')) AS tampered
+  FROM (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bad FROM c)
+), nodes AS (
+  SELECT s, 0 AS level, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS pos, leaf AS h, count(*) OVER (PARTITION BY s) AS n FROM l
+  UNION ALL
+  SELECT s, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY s, level, pos // 3
+), subroots AS (
+  SELECT s, h, row_number() OVER (ORDER BY s) - 1 AS pos FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, pos, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, pos // 3
+), sides AS (
+  SELECT s, level, pos, coalesce(string_agg(h, '') OVER (PARTITION BY s, level, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(h, '') OVER (PARTITION BY s, level, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT s, level, pos, h, n FROM nodes UNION ALL SELECT '/', level, pos, h, n FROM tops) WHERE n > 1
+), low AS (
+  SELECT l.doc_id, l.s, 0 AS level, row_number() OVER (PARTITION BY l.s ORDER BY doc_id) - 1 AS pos, l.tampered AS folded, '' AS proof FROM l
+  UNION ALL
+  SELECT doc_id, s, level + 1, pos // 3, sha256(before || folded || after), proof || before || after FROM low JOIN sides USING (s, level, pos)
+), high AS (
+  SELECT doc_id, 0 AS level, subroots.pos, arg_max(folded, low.level) AS folded, arg_max(proof, low.level) AS proof
+  FROM low JOIN subroots USING (s) GROUP BY doc_id, subroots.pos
+  UNION ALL
+  SELECT doc_id, level + 1, pos // 3, sha256(before || folded || after), proof || before || after
+  FROM high JOIN (SELECT level, pos, before, after FROM sides WHERE s = '/') USING (level, pos)
+), done AS (
+  SELECT doc_id, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM high GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroots.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM l JOIN subroots USING (s) JOIN done USING (doc_id), (SELECT h FROM tops WHERE n = 1) AS root
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and witness of every document, and what a tampered text folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.without_line_breaks())

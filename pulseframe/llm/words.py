@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 1_500_000
 
 _PIECE = 1 << 19
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 _INVERSES = np.ones(1, np.uint64)
@@ -53,14 +53,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of several texts: byte positions, the text each belongs to, and a 64-bit hash of each."""
+    """Words of several texts: byte positions, the text each belongs to, and a 64-bit hash of each.
 
-    def __init__(self, texts: list[bytes | None], lower: bool = False):
+    ``between`` marks the bytes that no word holds; the line feed, which ends each text, must be one of them.
+    """
+
+    def __init__(self, texts: list[bytes | None], lower: bool = False, between: np.ndarray = SPACE):
         self.data = b"\n".join(t or b"" for t in texts) + b"\n"
         if lower:
             self.data = self.data.lower()  # bytes.lower() changes A-Z alone
         self.bytes = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[self.bytes]
+        space = between[self.bytes]
         before = np.concatenate([[True], space[:-1]])
         self.starts = np.flatnonzero(before & ~space)
         self.ends = np.flatnonzero(~before & space)
