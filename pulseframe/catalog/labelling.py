@@ -19,6 +19,7 @@ from pulseframe.catalog.base import (
 )
 from pulseframe.functions import intent, scoring
 from pulseframe.operators import agreement as ag
+from pulseframe.operators import neighbours as nb
 from pulseframe.operators import probabilities as pr
 from pulseframe.operators import queue as qu
 from pulseframe.operators import splits as sp
@@ -366,6 +367,19 @@ def _(spark, d):
     return ve.near_duplicate_pairs(corpus(spark, d), "record_id", "parent_id", "corrected_label")
 
 
+@query("c13_near_duplicate_groups", "WITH RECURSIVE " + with_views("lab", ", src AS (SELECT record_id AS doc, text, parent_id, label_a FROM lab)" + _gram_sql("src", _HASH) + """,
+  cs AS (SELECT a.doc AS da, b.doc AS db FROM wt a JOIN wt b ON a.g = b.g AND a.doc < b.doc GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.8),
+  ed AS MATERIALIZED (SELECT da AS x, db AS y FROM cs UNION SELECT db, da FROM cs UNION SELECT doc, doc FROM tx),
+  rc AS (SELECT x, y FROM ed UNION SELECT rc.x, ed.y FROM rc JOIN ed ON rc.y = ed.x),
+  co AS (SELECT x AS doc, min(y) AS root FROM rc GROUP BY 1), hs AS (SELECT *, """ + _HASH + """ FROM lab),
+  mb AS (SELECT hs.record_id, hs.parent_id, hs.label_a, co.root FROM hs JOIN tx USING (h) JOIN co ON co.doc = tx.doc),
+  st AS (SELECT root, min(record_id) AS group_id, count(*) AS n_rows, count(DISTINCT parent_id) > 1 AS crosses_groups, count(DISTINCT label_a) > 1 AS labels_differ FROM mb GROUP BY 1),
+  nt AS (SELECT root, count(*) AS n_texts FROM co GROUP BY 1)
+  SELECT record_id, group_id, n_rows, n_texts, crosses_groups, labels_differ FROM mb JOIN st USING (root) JOIN nt USING (root)""").removeprefix("WITH "))
+def _(spark, d):
+    return nb.near_duplicate_groups(corpus(spark, d), "record_id", "parent_id", "corrected_label")
+
+
 @query("c13_copy_groups", f"WITH k AS (SELECT doc_id, {_HASH} FROM documents), g AS (SELECT h, min(doc_id) AS representative, count(*) AS copies FROM k GROUP BY 1 HAVING count(*) > 1) SELECT doc_id AS record_id, representative, copies FROM k JOIN g USING (h)")
 def _(spark, d):
     return ve.copy_groups(table(spark, d, "documents"), "doc_id")
@@ -378,7 +392,7 @@ _C14 = """WITH src AS (SELECT 'p' || doc_id AS doc, 0 AS side, text FROM documen
 
 @query("c14_near_duplicate_semi", _C14)
 def _(spark, d):
-    return ve.near_duplicates_of(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
+    return nb.near_duplicates_of(table(spark, d, "documents"), "doc_id", table(spark, d, "benchmark"), "item_id")
 
 
 @query("d39_prevalence_shift", with_views("lab", f", s AS (SELECT sample_strategy, label_b, count(*) / sum(count(*)) OVER (PARTITION BY sample_strategy) AS p FROM lab WHERE sample_strategy IN ('en', 'fr') GROUP BY 1, 2) SELECT label_b, {rsql('''coalesce(sum(p) FILTER (sample_strategy = 'en'), 0) - coalesce(sum(p) FILTER (sample_strategy = 'fr'), 0)''', 4)} AS shift FROM s GROUP BY 1"))
@@ -445,7 +459,12 @@ def _(spark, d):
     return qu.reason_counts(_pool_reasons(spark, d))
 
 
-@query("b15_eligible_pool_full")
+@query("b15_eligible_pool_full", with_views("lab", _POOL_SQL + ", src AS (SELECT 'p' || doc_id AS doc, 0 AS side, text FROM rs WHERE reason IS NULL UNION ALL SELECT 'r' || doc_id, 1, text FROM lab WHERE toxic = 1)"
+  + _gram_sql("src", _HASH + ", side").replace("GROUP BY 1)", "GROUP BY h, side)", 1) + f""",
+  cs AS (SELECT a.doc FROM wt a JOIN wt b ON a.g = b.g AND a.doc[1] = 'p' AND b.doc[1] = 'r' GROUP BY a.doc, b.doc HAVING sum(a.w * b.w) >= 0.8),
+  hh AS (SELECT h FROM tx WHERE doc IN (SELECT doc FROM cs))
+  SELECT coalesce(reason, CASE WHEN h IN (SELECT h FROM hh) THEN 'near_duplicate_of_labelled' ELSE 'eligible' END) AS reason, count(*) AS rows
+  FROM (SELECT reason, {_HASH} FROM rs) GROUP BY 1"""))
 def _(spark, d):
     return qu.reason_counts(_pool_reasons(spark, d, near=True))
 

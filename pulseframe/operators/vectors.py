@@ -99,10 +99,10 @@ def _with_prefix(weights: DataFrame, rest_norm: float) -> DataFrame:
     return weights.withColumn("rare", F.lit(1.0) - used >= F.lit(rest_norm * rest_norm - 1e-9))
 
 
-def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
+def _blocked(prefix: DataFrame) -> DataFrame:
     """Give each posting its block keys: terms with many postings are cut into blocks that meet pairwise."""
     sizes = prefix.groupBy("term").agg(F.ceil(F.count("*") / F.lit(POSTINGS_PER_BLOCK)).cast("int").alias("_blocks"))
-    placed = _join_terms(prefix.select("doc", "term", "weight", sides.alias("side")), sizes).withColumn(
+    placed = _join_terms(prefix.select("doc", "term", "weight"), sizes).withColumn(
         "_own", F.pmod(F.xxhash64("doc"), F.col("_blocks")).cast("int")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -111,19 +111,19 @@ def _blocked(prefix: DataFrame, sides: Column) -> DataFrame:
     )
 
 
-def _similar(weights: DataFrame, threshold: float, two_sided: bool) -> DataFrame:
+def _similar(weights: DataFrame, threshold: float) -> DataFrame:
     """Pairs at or above the threshold with their cosine.
 
     ``weights`` carries numeric doc and term and the ``rare`` mark. The join of rare terms yields candidates and
     most of their cosine; only candidates then fetch what a frequent term of either side adds.
     """
     rest = min(REST_NORM, threshold * 0.75)
-    posts = _blocked(weights.filter("rare"), F.col("side") if two_sided else F.lit(0))
+    posts = _blocked(weights.filter("rare"))
     keys = ["term", "_lo", "_hi"]
-    columns = [*keys, "doc", "_own", "side", "weight"]
+    columns = [*keys, "doc", "_own", "weight"]
     a = posts.select(*[F.col(c).alias(c if c in keys else f"{c}_a") for c in columns])
     b = posts.select(*[F.col(c).alias(c if c in keys else f"{c}_b") for c in columns])
-    order = (F.col("side_a") < F.col("side_b")) if two_sided else (F.col("doc_a") < F.col("doc_b"))
+    order = F.col("doc_a") < F.col("doc_b")
     meet = (F.least("_own_a", "_own_b") == F.col("_lo")) & (F.greatest("_own_a", "_own_b") == F.col("_hi"))
     partial = a.join(b, keys).filter(order & meet).groupBy("doc_a", "doc_b").agg(
         F.sum(F.col("weight_a") * F.col("weight_b")).alias("part")
@@ -175,10 +175,11 @@ def near_duplicate_pairs(
     """Pairs of distinct texts whose gram cosine reaches the threshold, with leakage flags.
 
     Exact copies appear as ``copies_a`` / ``copies_b`` of their representative (see ``copy_groups`` for the
-    rows behind it), so the output does not grow with the square of a copied text.
+    rows behind it), so the output does not grow with the square of a copied text. Distinct texts that are all alike
+    give all their pairs; ``neighbours.near_duplicate_groups`` gives one row per document instead.
     """
     texts = _numbered(distinct_texts(df, id_col, [group_col, label_col]))
-    found = _similar(_weights(texts, threshold), threshold, False)
+    found = _similar(_weights(texts, threshold), threshold)
     info = texts.drop("text", "text_hash").withColumnRenamed("doc", "record_id").withColumnRenamed("no", "doc")
     a = info.select(*[F.col(c).alias(f"{c}_a") for c in info.columns])
     b = info.select(*[F.col(c).alias(f"{c}_b") for c in info.columns])
@@ -207,20 +208,6 @@ def copy_groups(df: DataFrame, id_col: str) -> DataFrame:
     return keyed.join(groups.filter("copies > 1"), "k").select("record_id", "representative", "copies")
 
 
-def near_duplicates_of(
-    pool: DataFrame, pool_id: str, reference: DataFrame, reference_id: str, threshold: float = NEAR_DUPLICATE
-) -> DataFrame:
-    """C14: ids of pool rows whose text is a near-duplicate of any reference text."""
-    key = F.sha2(tx.casefold(F.coalesce(F.col("text"), F.lit(""))), 256)
-    left = distinct_texts(pool.select(pool_id, "text"), pool_id).select("text_hash", "text", "copies", F.lit(0).alias("side"))
-    right = distinct_texts(reference.select(reference_id, "text"), reference_id).select("text_hash", "text", "copies", F.lit(1).alias("side"))
-    texts = _numbered(left.unionByName(right))
-    found = _similar(_weights(texts, threshold), threshold, True)
-    matched = found.select(F.col("doc_a").alias("no")).distinct()
-    hashes = texts.join(matched, "no", "left_semi").select(F.col("text_hash").alias("_key"))
-    return pool.select(F.col(pool_id), key.alias("_key")).join(hashes, "_key", "left_semi").select(pool_id)
-
-
 # --- drift between slices ----------------------------------------------------------------
 
 def class_shares(df: DataFrame, slice_col: str, label_col: str) -> DataFrame:
