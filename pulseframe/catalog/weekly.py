@@ -182,8 +182,10 @@ def _(spark, d):
 def _(spark, d):
     weeks = order_weeks(spark, d)
     origins = weeks.select(F.col("period_start").alias("origin")).distinct()
-    periods = weeks.select("period_start").distinct()
-    pairs = periods.join(F.broadcast(origins), F.col("period_start") <= F.col("origin"))
+    last = origins.agg(F.max("origin")).first()[0]
+    # Weeks are regular: the origins of a period are the weeks from it to the last one.
+    later = F.explode(F.sequence("period_start", F.lit(last).cast("timestamp"), F.expr("INTERVAL 7 DAY")))
+    pairs = weeks.select("period_start").distinct().withColumn("origin", later).join(origins, "origin")
     out = cal_ops.event_features(pairs, calendar(spark, ORDER_CALENDAR_ROWS), "period_start", "origin")
     return out.select(stamp("period_start").alias("period_start"), stamp("origin").alias("origin"), "last_event_name",
                       rnd("weeks_since_event").alias("weeks_since_event"), "event_active", rnd("event_decay").alias("event_decay"), "event_type")

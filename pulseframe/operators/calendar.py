@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text, timing
-from pulseframe.session import require_columns
+from pulseframe.operators import ordered
+from pulseframe.session import materialise, require_columns
 
 # --- fixed values -------------------------------------------------------------
 PRE_EVENT = "pre_announcement"
@@ -109,6 +110,37 @@ def _annotate_by_day(signals, spans, ts_col, salt_col):
     return joined.select(*keep, "r._from", "r._to", "r.last_event_name", "r.event_window")
 
 
+def _latest(asked: DataFrame, events: DataFrame, period_col: str, keys: list[str]) -> DataFrame:
+    """``asked`` with the greatest ``_event`` of its keys dated at or before the period.
+
+    Periods and events are put in one order of time, in which the greatest event so far is carried on.
+    """
+    both = asked.withColumns({"_at": F.col(period_col), "_kind": F.lit(1)}).unionByName(
+        events.select(*keys, F.col("event_date").alias("_at"), F.lit(0).alias("_kind"), F.col("_event").alias("_dated")), allowMissingColumns=True)
+    carried = ordered.running(both, keys, [F.asc("_at"), F.asc("_kind")], peaks={"_event": "_dated"})
+    return carried.where("_kind = 1").drop("_at", "_kind", "_dated")
+
+
+def _known_latest(asked: DataFrame, events: DataFrame, period_col: str, origin_col: str) -> DataFrame:
+    """(period, origin) with the greatest event dated by the period and announced by the origin.
+
+    Announcements and origins are numbered in order. The numbers below an origin are a union of aligned runs of 1, 2, 4, .. numbers,
+    one for each bit of their count; an event belongs to one run of each length. So a row meets about log2(n) runs, and
+    in each of them the latest event is carried along the order of dates.
+    """
+    instants = events.select(F.col("announced_date").alias("_instant")).union(asked.select(origin_col))
+    numbers = materialise(ordered.numbered_values(instants, "_instant", "_number"), "instants")
+    levels = max(1, (numbers.agg(F.max("_number")).first()[0] or 0) + 1).bit_length()
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
+    node = F.call_function("shiftright", F.col("_number"), F.col("_level")).alias("_node")
+    held = events.join(numbers, events["announced_date"] == numbers["_instant"]).select("event_date", "_event", "_number", level)
+    held = held.select("event_date", "_event", "_level", node)
+    below = asked.join(numbers, asked[origin_col] == numbers["_instant"]).select(period_col, origin_col, (F.col("_number") + 1).alias("_number"), level)
+    below = below.select(period_col, origin_col, "_level", node).where("_node % 2 = 1").withColumn("_node", F.col("_node") - 1)
+    found = _latest(below, held, period_col, ["_level", "_node"])
+    return found.groupBy(period_col, origin_col).agg(F.max("_event").alias("_event"))
+
+
 def event_features(
     periods: DataFrame,
     calendar: DataFrame,
@@ -122,18 +154,11 @@ def event_features(
     ``periods`` is a period table (not signals); each (origin, period) row keeps exactly one event.
     """
     keys = [period_col] + ([origin_col] if origin_col else [])
-    distinct = periods.select(*keys).distinct()
-    visible = F.col("event_date") <= F.col(period_col)
-    if origin_col:
-        visible = visible & (F.col("announced_date") <= F.col(origin_col))
+    asked = periods.select(*keys).dropna().distinct()
     columns = ["event_name", "event_window", "event_type", "major_announcement_flag", "trailer_flag"]
     events = calendar if "event_type" in calendar.columns else calendar.withColumn("event_type", F.lit(""))
     events = events.select("event_date", "announced_date", F.struct("event_date", *columns).alias("_event"))
-    latest = (
-        distinct.join(events, visible, "left")
-        .groupBy(*keys)
-        .agg(F.max("_event").alias("_event"))
-    )
+    latest = _known_latest(asked, events, period_col, origin_col) if origin_col else _latest(asked, events, period_col, [])
     days = timing.days_between(F.col(period_col), F.col("_event.event_date"))
     features = latest.select(
         *keys,
@@ -188,17 +213,15 @@ def event_usability(spine: DataFrame, calendar: DataFrame, period_col: str = "pe
                     min_periods: int = 2) -> DataFrame:
     """Periods before and after each event on the complete period index.
 
-    The index is regular, so two range counts per event follow from sums of one joined flag.
+    Events and periods are put in one order, in which the periods are counted; an event comes before a period of its own time.
     """
-    periods = spine.select(F.col(period_col).alias("_p")).distinct()
+    periods = spine.select(F.col(period_col).alias("_at")).where(F.col(period_col).isNotNull()).distinct()
+    periods = materialise(periods, "periods")
     events = calendar.select("event_name", "event_date").distinct()
-    counted = (
-        events.join(periods, F.lit(True), "left")
-        .groupBy("event_name", "event_date")
-        .agg(
-            F.count_if(F.col("_p") < F.col("event_date")).alias("periods_before"),
-            F.count_if(F.col("_p") >= F.col("event_date")).alias("periods_after"),
-        )
-    )
+    both = events.withColumns({"_at": F.col("event_date"), "_period": F.lit(0).cast("bigint")}).unionByName(
+        periods.withColumn("_period", F.lit(1).cast("bigint")), allowMissingColumns=True)
+    counted = ordered.running(both, [], [F.asc("_at"), F.asc("_period")], {"periods_before": "_period"})
+    counted = counted.where("_period = 0").select(
+        "event_name", "event_date", "periods_before", (F.lit(periods.count()) - F.col("periods_before")).alias("periods_after"))
     usable = (F.col("periods_before") >= min_periods) & (F.col("periods_after") >= min_periods)
     return counted.withColumn("usable", usable)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,3 +67,30 @@ def ranked_rows(df: DataFrame, score: str, label: str, tie: str) -> DataFrame:
         .withColumns({"position": F.col("_n_before") + F.row_number().over(inner), "found": F.col("_p_before") + found})
         .drop("_range", "_y", "_n_before", "_p_before")
     )
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: Mapping[str, str] | None = None, peaks: Mapping[str, str] | None = None
+) -> DataFrame:
+    """``df`` with running sums and running maxima (``out: column``) per key in the given order, current row included.
+
+    Rows are cut into ranges of (keys, order), so one key is many tasks; each range starts with the state at the end of the
+    ranges before it. Rows that are equal in the order may count each other or not. Keys must not be null.
+    """
+    wanted: list[tuple[str, str, Callable]] = [(o, c, F.sum) for o, c in (sums or {}).items()] + [(o, c, F.max) for o, c in (peaks or {}).items()]
+    placed = df.repartitionByRange(*[F.asc(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    placed = materialise(placed, "ranges")
+    ends = placed.groupBy(*keys, "_range").agg(*[f(c).alias(f"_e_{o}") for o, c, f in wanted])
+    before = Window.partitionBy(*keyed(keys)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(*keys, "_range", *[f(f"_e_{o}").over(before).alias(f"_s_{o}") for o, _, f in wanted])
+    inner = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = placed.withColumns({o: f(c).over(inner) for o, c, f in wanted}).join(starts, [*keys, "_range"])
+    zero = F.lit(0)
+    whole = {o: F.coalesce(o, zero) + F.coalesce(f"_s_{o}", zero) if f is F.sum else F.greatest(o, f"_s_{o}") for o, _, f in wanted}
+    return local.withColumns(whole).drop("_range", *[f"_s_{o}" for o, _, _ in wanted])
+
+
+def numbered_values(df: DataFrame, column: str, name: str = "number") -> DataFrame:
+    """The distinct values of a column that are not null, numbered from 0 in ascending order."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    return running(values, [], [F.asc(column)], {name: "_one"}).select(column, (F.col(name) - 1).alias(name))
