@@ -16,7 +16,7 @@ from pulseframe.catalog.base import (
     stamp,
     with_views,
 )
-from pulseframe.operators import agreement, compare, evaluation, forecasters
+from pulseframe.operators import agreement, compare, evaluation, forecasters, states
 from pulseframe.operators import backtest as bt_ops
 from pulseframe.plans import forecasting as plan
 from pulseframe.session import work_path
@@ -118,6 +118,84 @@ def _(spark, d):
     return out.select("series_id", stamp("period_start").alias("period_start"), "horizon_step", "model", *[rnd(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
 
 
+#: Simple smoothing with a fixed weight of 0.3: the level is linear in the start level, whose best value has a closed form.
+_SMOOTH_SQL = """, xs AS (SELECT series_id, idx, value FROM ordw UNION ALL SELECT series_id, max(idx) + 1, NULL FROM ordw GROUP BY 1),
+  bs AS (SELECT x.series_id, x.idx, any_value(x.value) AS v, coalesce(sum(0.3 * pow(0.7, x.idx - 1 - o.idx) * o.value), 0) AS base, pow(0.7, x.idx) AS share
+    FROM xs x LEFT JOIN ordw o ON o.series_id = x.series_id AND o.idx < x.idx GROUP BY x.series_id, x.idx),
+  stt AS (SELECT *, sum(share * (v - base)) OVER w / sum(share * share) OVER w AS start FROM bs
+    WINDOW w AS (PARTITION BY series_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  sm AS (SELECT t.series_id, t.idx AS origin, any_value(t.base + t.share * t.start) AS level,
+    quantile_cont(b.v - b.base - b.share * t.start, 0.1) AS lo, quantile_cont(b.v - b.base - b.share * t.start, 0.9) AS hi
+    FROM stt t JOIN bs b ON b.series_id = t.series_id AND b.idx < t.idx WHERE t.idx >= 60 GROUP BY t.series_id, t.idx)"""
+#: Ridge on two lags by its normal equations, for every origin.
+_RIDGE_SQL = """, lg AS (SELECT series_id, idx, value AS y, lag(value) OVER w AS a, lag(value, 2) OVER w AS b FROM ordw WINDOW w AS (PARTITION BY series_id ORDER BY idx)),
+  og AS (SELECT series_id, idx + 1 AS origin, y AS l1, a AS l2 FROM lg WHERE idx >= 59),
+  mo AS (SELECT o.series_id, o.origin, any_value(l1) AS l1, any_value(l2) AS l2, avg(y) AS my, avg(a) AS ma, avg(b) AS mb,
+    var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_
+    FROM og o JOIN lg l ON l.series_id = o.series_id AND l.idx < o.origin AND l.idx >= 2 GROUP BY 1, 2),
+  sl AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS p, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM mo),
+  rd AS (SELECT s.series_id, s.origin, any_value(my + p * (l1 - ma) + q * (l2 - mb)) AS f1, any_value(columns(s.* EXCLUDE (series_id, origin))),
+    quantile_cont(y - my - p * (a - ma) - q * (b - mb), 0.1) AS lo, quantile_cont(y - my - p * (a - ma) - q * (b - mb), 0.9) AS hi
+    FROM sl s JOIN lg l ON l.series_id = s.series_id AND l.idx < s.origin AND l.idx >= 2 GROUP BY s.series_id, s.origin),
+  rr AS (SELECT *, my + p * (f1 - ma) + q * (l1 - mb) AS f2 FROM rd),
+  rs AS (SELECT *, my + p * (f2 - ma) + q * (f1 - mb) AS f3 FROM rr),
+  rt AS (SELECT *, my + p * (f3 - ma) + q * (f2 - mb) AS f4 FROM rs),
+  ri AS (SELECT series_id, origin, h, CASE h WHEN 1 THEN f1 WHEN 2 THEN f2 WHEN 3 THEN f3 ELSE f4 END AS f, lo, hi FROM rt, (VALUES (1), (2), (3), (4)) t(h))"""
+
+
+def _steps_sql(model: str, rows: str) -> str:
+    """Backtest rows of ``rows (series_id, origin, h, f, lo, hi)`` on the grid of origins."""
+    return f""" SELECT r.series_id, '{model}' AS model, CAST(origin AS INTEGER) AS origin, CAST(h AS INTEGER) AS horizon_step, CAST(origin + h - 1 AS INTEGER) AS period_index,
+    {rsql('o.value', 4)} AS actual, {rsql('greatest(f, 0)', 4)} AS forecast, {rsql('greatest(least(greatest(f, 0) + lo * sqrt(h), greatest(f, 0)), 0)', 4)} AS lower,
+    {rsql('greatest(greatest(f, 0) + hi * sqrt(h), greatest(f, 0))', 4)} AS upper
+  FROM ({rows}) r JOIN ordw o ON o.series_id = r.series_id AND o.idx = origin + h - 1
+  JOIN (SELECT series_id, count(*) AS n FROM ordw GROUP BY 1) n ON n.series_id = r.series_id
+  WHERE origin >= 60 AND (origin - 60) % 2 = 0 AND origin + 2 <= n AND h <= 2"""
+
+
+def _four_digits(df):
+    return _round_rows(df).withColumn("forecast", rnd("forecast", 4))
+
+
+@query("k7_fixed_smoothing", with_views("ordw", _SMOOTH_SQL + _steps_sql("exponential_smoothing", "SELECT series_id, origin, h, level AS f, lo, hi FROM sm, (VALUES (1), (2)) t(h)")))
+def _(spark, d):
+    return _four_digits(forecasters.smoothing_backtest(order_weeks(spark, d), KEYS, "period_start", "value", min_train=60, alpha=0.3))
+
+
+@query("k8_ridge_two_lags", with_views("ordw", _RIDGE_SQL + _steps_sql("ridge_event", "SELECT * FROM ri")))
+def _(spark, d):
+    return _four_digits(forecasters.ridge_backtest(order_weeks(spark, d), None, KEYS, "period_start", "value", features=(), min_train=60))
+
+
+@query("k15_future_all_models", with_views("ordw", _SMOOTH_SQL + _RIDGE_SQL + f""",
+  en AS (SELECT series_id, max(idx) + 1 AS n, max(period_start) AS mp, arg_max(value, idx) AS last, avg(value) FILTER (idx > m - 8) AS mean,
+      quantile_cont(value, 0.1) AS vlo, quantile_cont(value, 0.9) AS vhi
+    FROM (SELECT *, max(idx) OVER (PARTITION BY series_id) AS m FROM ordw) GROUP BY 1),
+  rq AS (SELECT series_id, quantile_cont(r, 0.1) AS lo, quantile_cont(r, 0.9) AS hi, quantile_cont(s, 0.1) AS slo, quantile_cont(s, 0.9) AS shi FROM
+    (SELECT series_id, value - lag(value) OVER w AS r, value - lag(value, 52) OVER w AS s FROM ordw WINDOW w AS (PARTITION BY series_id ORDER BY idx)) GROUP BY 1),
+  al AS (SELECT en.series_id, 'naive' AS model, h, last AS f, lo, hi FROM en JOIN rq USING (series_id), generate_series(1, 4) s(h)
+    UNION ALL SELECT series_id, 'mean', h, mean, vlo - mean, vhi - mean FROM en, generate_series(1, 4) s(h)
+    UNION ALL SELECT en.series_id, 'seasonal_naive', h, value, slo, shi FROM en JOIN rq USING (series_id), generate_series(1, 4) s(h), ordw o WHERE o.series_id = en.series_id AND o.idx = n - 53 + h AND n >= 104
+    UNION ALL SELECT en.series_id, 'exponential_smoothing', h, level, lo, hi FROM en JOIN sm ON sm.series_id = en.series_id AND origin = n, generate_series(1, 4) s(h)
+    UNION ALL SELECT en.series_id, 'ridge_event', h, f, lo, hi FROM en JOIN ri ON ri.series_id = en.series_id AND origin = n)
+  SELECT series_id, {ssql('mp + to_days(CAST(7 * h AS INTEGER))')} AS period_start, CAST(h AS INTEGER) AS horizon_step, model, {rsql('greatest(f, 0)', 4)} AS forecast,
+    {rsql('greatest(least(greatest(f, 0) + lo * sqrt(h), greatest(f, 0)), 0)', 4)} AS lower, {rsql('greatest(greatest(f, 0) + hi * sqrt(h), greatest(f, 0))', 4)} AS upper
+  FROM al JOIN en USING (series_id)"""))
+def _(spark, d):
+    made = states.fitted_states(order_weeks(spark, d), KEYS, "period_start", "value", features=(), alpha=0.3)
+    out = states.roll_forward(made, KEYS, "period_start", features=())
+    return out.select("series_id", stamp("period_start").alias("period_start"), "horizon_step", "model", *[rnd(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query("k13_selected_forecast")
+def _(spark, d):
+    written = plan.run_experiment(
+        order_weeks(spark, d), work_path(spark, "experiment"), ("total_comments",), series_cols=KEYS, calendar=calendar(spark, ORDER_CALENDAR_ROWS),
+        models=tuple(bt_ops.COMPLEXITY), min_train=60)
+    out = spark.read.parquet(written["selected_forecast"])
+    return out.select("series_id", "target", stamp("period_start").alias("period_start"), "horizon_step", "model", *[rnd(c, 4).alias(c) for c in ("forecast", "lower", "upper")])
+
+
 # --- errors, monitoring and flags ------------------------------------------------------
 
 _METRIC = f"""count(*) AS n, {rsql('avg(abs(forecast - actual))', 4)} AS mae, {rsql('sqrt(avg(pow(forecast - actual, 2)))', 4)} AS rmse,

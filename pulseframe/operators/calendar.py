@@ -115,10 +115,10 @@ def _latest(asked: DataFrame, events: DataFrame, period_col: str, keys: list[str
 
     Periods and events are put in one order of time, in which the greatest event so far is carried on.
     """
-    both = asked.withColumns({"_at": F.col(period_col), "_kind": F.lit(1)}).unionByName(
-        events.select(*keys, F.col("event_date").alias("_at"), F.lit(0).alias("_kind"), F.col("_event").alias("_dated")), allowMissingColumns=True)
-    carried = ordered.running(both, keys, [F.asc("_at"), F.asc("_kind")], peaks={"_event": "_dated"})
-    return carried.where("_kind = 1").drop("_at", "_kind", "_dated")
+    both = asked.withColumns({"__at": F.col(period_col), "__kind": F.lit(1)}).unionByName(
+        events.select(*keys, F.col("event_date").alias("__at"), F.lit(0).alias("__kind"), F.col("_event").alias("__dated")), allowMissingColumns=True)
+    carried = ordered.running(both, keys, [F.asc("__at"), F.asc("__kind")], peaks={"_event": "__dated"})
+    return carried.where("__kind = 1").drop("__at", "__kind", "__dated")
 
 
 def _known_latest(asked: DataFrame, events: DataFrame, period_col: str, origin_col: str) -> DataFrame:
@@ -128,16 +128,16 @@ def _known_latest(asked: DataFrame, events: DataFrame, period_col: str, origin_c
     one for each bit of their count; an event belongs to one run of each length. So a row meets about log2(n) runs, and
     in each of them the latest event is carried along the order of dates.
     """
-    instants = events.select(F.col("announced_date").alias("_instant")).union(asked.select(origin_col))
-    numbers = materialise(ordered.numbered_values(instants, "_instant", "_number"), "instants")
-    levels = max(1, (numbers.agg(F.max("_number")).first()[0] or 0) + 1).bit_length()
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level")
-    node = F.call_function("shiftright", F.col("_number"), F.col("_level")).alias("_node")
-    held = events.join(numbers, events["announced_date"] == numbers["_instant"]).select("event_date", "_event", "_number", level)
-    held = held.select("event_date", "_event", "_level", node)
-    below = asked.join(numbers, asked[origin_col] == numbers["_instant"]).select(period_col, origin_col, (F.col("_number") + 1).alias("_number"), level)
-    below = below.select(period_col, origin_col, "_level", node).where("_node % 2 = 1").withColumn("_node", F.col("_node") - 1)
-    found = _latest(below, held, period_col, ["_level", "_node"])
+    instants = events.select(F.col("announced_date").alias("__instant")).union(asked.select(origin_col))
+    numbers = materialise(ordered.numbered_values(instants, "__instant", "__number"), "instants")
+    levels = max(1, (numbers.agg(F.max("__number")).first()[0] or 0) + 1).bit_length()
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__level")
+    node = F.call_function("shiftright", F.col("__number"), F.col("__level")).alias("__node")
+    held = events.join(numbers, events["announced_date"] == numbers["__instant"]).select("event_date", "_event", "__number", level)
+    held = held.select("event_date", "_event", "__level", node)
+    below = asked.join(numbers, asked[origin_col] == numbers["__instant"]).select(period_col, origin_col, (F.col("__number") + 1).alias("__number"), level)
+    below = below.select(period_col, origin_col, "__level", node).where("__node % 2 = 1").withColumn("__node", F.col("__node") - 1)
+    found = _latest(below, held, period_col, ["__level", "__node"])
     return found.groupBy(period_col, origin_col).agg(F.max("_event").alias("_event"))
 
 
@@ -215,13 +215,13 @@ def event_usability(spine: DataFrame, calendar: DataFrame, period_col: str = "pe
 
     Events and periods are put in one order, in which the periods are counted; an event comes before a period of its own time.
     """
-    periods = spine.select(F.col(period_col).alias("_at")).where(F.col(period_col).isNotNull()).distinct()
+    periods = spine.select(F.col(period_col).alias("__at")).where(F.col(period_col).isNotNull()).distinct()
     periods = materialise(periods, "periods")
     events = calendar.select("event_name", "event_date").distinct()
-    both = events.withColumns({"_at": F.col("event_date"), "_period": F.lit(0).cast("bigint")}).unionByName(
-        periods.withColumn("_period", F.lit(1).cast("bigint")), allowMissingColumns=True)
-    counted = ordered.running(both, [], [F.asc("_at"), F.asc("_period")], {"periods_before": "_period"})
-    counted = counted.where("_period = 0").select(
+    both = events.withColumns({"__at": F.col("event_date"), "__period": F.lit(0).cast("bigint")}).unionByName(
+        periods.withColumn("__period", F.lit(1).cast("bigint")), allowMissingColumns=True)
+    counted = ordered.running(both, [], [F.asc("__at"), F.asc("__period")], {"periods_before": "__period"})
+    counted = counted.where("__period = 0").select(
         "event_name", "event_date", "periods_before", (F.lit(periods.count()) - F.col("periods_before")).alias("periods_after"))
     usable = (F.col("periods_before") >= min_periods) & (F.col("periods_after") >= min_periods)
     return counted.withColumn("usable", usable)

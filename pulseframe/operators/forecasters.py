@@ -19,13 +19,18 @@ RIDGE_LAGS = 2
 RIDGE_ALPHA = 1.0
 
 
-def _interval(residuals: np.ndarray, history: np.ndarray, points: np.ndarray, level: float):
+def one_step_span(residuals: np.ndarray, history: np.ndarray, level: float) -> tuple[float, float]:
+    """Residual quantiles around a one-step forecast; with fewer than two residuals the spread of the history."""
     if residuals.size < 2:
         spread = float(np.std(history)) if history.size > 1 else 0.0
-        low, high = -spread, spread
-    else:
-        tail = (1.0 - level) / 2.0
-        low, high = np.quantile(residuals, [tail, 1.0 - tail])
+        return -spread, spread
+    tail = (1.0 - level) / 2.0
+    low, high = np.quantile(residuals, [tail, 1.0 - tail])
+    return float(low), float(high)
+
+
+def _interval(residuals: np.ndarray, history: np.ndarray, points: np.ndarray, level: float):
+    low, high = one_step_span(residuals, history, level)
     growth = np.sqrt(np.arange(1, points.size + 1))
     lower = np.clip(np.minimum(points + low * growth, points), 0.0, None)
     return lower, np.maximum(points + high * growth, points)
@@ -53,11 +58,15 @@ def smooth_levels(values: np.ndarray, alphas: np.ndarray):
     return sse, start, level
 
 
-def fit_smoothing(values: np.ndarray):
-    """Weight and start level with the least squared one-step error: coarse grid, then one refinement."""
-    grid = np.linspace(0.01, 0.99, 50)
-    best = grid[int(np.argmin(smooth_levels(values, grid)[0]))]
-    fine = np.clip(np.linspace(best - 0.02, best + 0.02, 41), 1e-4, 0.9999)
+def fit_smoothing(values: np.ndarray, alpha: float | None = None):
+    """Last level and residuals. Without ``alpha``, the weight and start level with the least squared one-step error:
+    coarse grid, then one refinement; with it the start level alone is estimated."""
+    if alpha is not None:
+        fine = np.array([alpha])
+    else:
+        grid = np.linspace(0.01, 0.99, 50)
+        best = grid[int(np.argmin(smooth_levels(values, grid)[0]))]
+        fine = np.clip(np.linspace(best - 0.02, best + 0.02, 41), 1e-4, 0.9999)
     sse, start, level = smooth_levels(values, fine)
     i = int(np.argmin(sse))
     fitted, current = np.empty_like(values), start[i]
@@ -67,6 +76,17 @@ def fit_smoothing(values: np.ndarray):
     return float(level[i]), values - fitted
 
 
+def fit_ridge(history: np.ndarray, exog: np.ndarray, penalty: float = RIDGE_ALPHA):
+    """(slope, centre, mean, residuals) of a ridge on the last lags and the exogenous rows of the same periods."""
+    n = history.size
+    lagged = [history[RIDGE_LAGS - k : n - k] for k in range(1, RIDGE_LAGS + 1)]
+    x, y = np.column_stack([*lagged, exog[RIDGE_LAGS:n]]), history[RIDGE_LAGS:]
+    centre, mean = x.mean(axis=0), float(y.mean())
+    gram = (x - centre).T @ (x - centre) + penalty * np.eye(x.shape[1])
+    slope = np.linalg.solve(gram, (x - centre).T @ (y - mean))
+    return slope, centre, mean, y - mean - (x - centre) @ slope
+
+
 def _grid(n: int, min_train: int, horizon: int, step: int, max_origins: int | None) -> list[int]:
     origins = list(range(min_train, n - horizon + 1, step))
     return origins if max_origins is None else origins[-max_origins:]
@@ -92,9 +112,9 @@ EMPTY_ROWS = pd.DataFrame(
 def smoothing_backtest(
     df: DataFrame, series_cols: Sequence[str], period_col: str, target: str,
     min_train: int = bt_ops.MIN_TRAIN, horizon: int = bt_ops.HORIZON, step: int = bt_ops.STEP,
-    max_origins: int | None = None, level: float = bt_ops.INTERVAL_LEVEL,
+    max_origins: int | None = None, level: float = bt_ops.INTERVAL_LEVEL, alpha: float | None = None,
 ) -> DataFrame:
-    """K7: simple exponential smoothing with estimated level, refitted at every origin."""
+    """K7: simple exponential smoothing, refitted at every origin; weight and start level estimated, or the weight given."""
 
     def forecaster(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf[target].to_numpy(dtype=float)
@@ -103,7 +123,7 @@ def smoothing_backtest(
             history = values[:origin]
             if history.size < bt_ops.MIN_SMOOTHING:
                 continue
-            last, residuals = fit_smoothing(history)
+            last, residuals = fit_smoothing(history, alpha)
             points = np.clip(np.full(horizon, last), 0.0, None)
             parts.append(_rows("exponential_smoothing", origin, values, points, *_interval(residuals, history, points, level)))
         return pd.concat(parts, ignore_index=True) if parts else EMPTY_ROWS.copy()
@@ -112,11 +132,14 @@ def smoothing_backtest(
 
 
 def exog_blocks(
-    df: DataFrame, calendar: DataFrame, series_cols: Sequence[str], period_col: str,
+    df: DataFrame, calendar: DataFrame | None, series_cols: Sequence[str], period_col: str,
     min_train: int = bt_ops.MIN_TRAIN, horizon: int = bt_ops.HORIZON, step: int = bt_ops.STEP,
     max_origins: int | None = None,
 ) -> DataFrame:
-    """Training and future rows of every origin with only the events announced by its last known period."""
+    """Training and future rows of every origin with only the events announced by its last known period.
+
+    Without a calendar the rows carry no event columns.
+    """
     indexed = with_period_index(df, series_cols, period_col, "period_index")
     origins = bt_ops.rolling_origins(df, series_cols, min_train, horizon, step, max_origins)
     origins = origins.groupBy(*series_cols, "origin").agg(F.max("period_index").alias("_last"))
@@ -130,11 +153,11 @@ def exog_blocks(
         *[F.col(f"p.{c}") for c in indexed.columns], "o.origin", "o.known_until",
         (F.col("p.period_index") < F.col("o.origin")).alias("in_training"),
     )
-    return cal_ops.event_features(rows, calendar, period_col, "known_until")
+    return rows if calendar is None else cal_ops.event_features(rows, calendar, period_col, "known_until")
 
 
 def ridge_backtest(
-    df: DataFrame, calendar: DataFrame, series_cols: Sequence[str], period_col: str, target: str,
+    df: DataFrame, calendar: DataFrame | None, series_cols: Sequence[str], period_col: str, target: str,
     features: Sequence[str] = EXOG_COLUMNS, min_train: int = bt_ops.MIN_TRAIN, horizon: int = bt_ops.HORIZON,
     step: int = bt_ops.STEP, max_origins: int | None = None, level: float = bt_ops.INTERVAL_LEVEL,
 ) -> DataFrame:
@@ -156,13 +179,7 @@ def ridge_backtest(
         if origin < bt_ops.MIN_RIDGE or origin - RIDGE_LAGS < 3:
             out = EMPTY_ROWS.copy()
             return out.assign(**{k: pd.Series(dtype=pdf[k].dtype) for k in keys})
-        lagged = [history[RIDGE_LAGS - k : origin - k] for k in range(1, RIDGE_LAGS + 1)]
-        x = np.column_stack([*lagged, exog[RIDGE_LAGS:origin]])
-        y = history[RIDGE_LAGS:]
-        centre, mean = x.mean(axis=0), y.mean()
-        gram = (x - centre).T @ (x - centre) + RIDGE_ALPHA * np.eye(x.shape[1])
-        slope = np.linalg.solve(gram, (x - centre).T @ (y - mean))
-        residuals = y - mean - (x - centre) @ slope
+        slope, centre, mean, residuals = fit_ridge(history, exog[:origin])
         known, points = list(history), []
         for h in range(horizon):
             row = np.concatenate([known[: -RIDGE_LAGS - 1 : -1], exog[origin + h]])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators import backtest as bt_ops
-from pulseframe.operators import compare, forecasters, series
+from pulseframe.operators import compare, forecasters, series, states
 from pulseframe.session import materialise, require_columns
 
 TARGET = "target"
@@ -74,8 +74,11 @@ def run_targets(
         out["sensitivity"] = compare.ranking_sensitivity(backtest, reference_model, keys)
         basis = out["matched_comparison"]
     out["selection"] = compare.select_model(basis, flags, keys)
-    if window_models:
-        out["forecast"] = bt_ops.future_forecast(ready, keys, period_col, "value", window_models)
+    # A model that was backtested here goes on from its fitted state; rows of ``extra_backtest`` have none.
+    fitted = [m for m in models if m != "ridge_event" or calendar is not None]
+    out["states"] = states.fitted_states(ready, keys, period_col, "value", fitted, calendar)
+    out["forecast"] = materialise(states.roll_forward(out["states"], keys, period_col, calendar=calendar), "forecast")
+    out["selected_forecast"] = states.selected_forecast(out["forecast"], out["selection"], keys)
     out["profile"] = series.series_profile(ready, keys, "value", series.target_kind(F.col(TARGET)))
     return out
 
