@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pulseframe.catalog.base import intent_sql, labelled_docs, query, rnd, rsql, signals, table, with_views
@@ -11,6 +11,7 @@ from pulseframe.functions import intent
 from pulseframe.operators import agreement, evaluation
 from pulseframe.operators import vectors as ve
 from pulseframe.plans import classifiers as cl
+from pulseframe.plans import persistence as ps
 from pulseframe.session import materialise, side_by_side, work_path
 
 
@@ -55,12 +56,25 @@ def _(spark, d):
     return out.groupBy("doc").agg(F.count("*").alias("terms"), rnd(F.sum("weight"), 5).alias("total"), rnd(F.max("weight"), 5).alias("largest"))
 
 
-@query("j3_feature_union", "SELECT CAST(doc_id AS VARCHAR) AS record_id, 2.0::DOUBLE AS squared_length FROM documents JOIN labels USING (doc_id)")
+_UNION = "WITH lt AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id)), "
+
+
+def _block_sql(name: str, terms: str) -> str:
+    """Terms, total and largest weight of one block over the labelled documents."""
+    inner = _tfidf_sql(terms).removeprefix("WITH ").replace("FROM documents", "FROM lt")
+    return f"{name} AS (WITH {inner} SELECT doc_id, count(*) AS terms, sum(w) AS total, max(w) AS largest FROM wt GROUP BY 1)"
+
+
+@query("j3_feature_union", _UNION + _block_sql("wb", _BIGRAMS) + ", " + _block_sql("cb", _CHARS) + f""" SELECT CAST(lt.doc_id AS VARCHAR) AS record_id,
+  CAST(coalesce(wb.terms, 0) + coalesce(cb.terms, 0) AS INTEGER) AS terms, {rsql('coalesce(wb.total, 0) + coalesce(cb.total, 0)', 5)} AS total,
+  {rsql('greatest(coalesce(wb.largest, 0), coalesce(cb.largest, 0))', 5)} AS largest FROM lt LEFT JOIN wb USING (doc_id) LEFT JOIN cb USING (doc_id)""")
 def _(spark, d):
     rows = corpus(spark, d).withColumn("doc", F.col("record_id"))
     made = cl.TextFeatures(("word", "char")).fit(rows).transform(rows)
-    squared = F.udf(lambda v: float(v.dot(v)), "double")
-    return made.select("record_id", rnd(squared("features")).alias("squared_length"))
+    weights = F.filter(vector_to_array("features"), lambda w: w > 0)
+    made = made.select("record_id", weights.alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda a, w: a + w)
+    return made.select("record_id", F.size("w").alias("terms"), rnd(total, 5).alias("total"), rnd(F.coalesce(F.array_max("w"), F.lit(0.0)), 5).alias("largest"))
 
 
 @query("j6_majority_baseline", with_views("lab", f" SELECT record_id, (SELECT label_a FROM lab GROUP BY 1 ORDER BY count(*) DESC, label_a DESC LIMIT 1) AS predicted_label, {rsql('''(SELECT avg(CASE WHEN label_a = 'high_intent' THEN 1.0 ELSE 0.0 END) FROM lab)''')} AS prior FROM lab"))
@@ -174,24 +188,37 @@ def _(spark, d):
 
 @query("j16_batch_scores", with_views("lab", _RULE + " SELECT record_id, r AS intent_label, r <> 'general_discussion' AS is_actionable, 'rules' AS model_name FROM rl"))
 def _(spark, d):
-    return cl.batch_scores(labelled_docs(spark, d), None).select("record_id", "intent_label", "is_actionable", "model_name")
+    return cl.rule_scores(labelled_docs(spark, d)).select("record_id", "intent_label", "is_actionable", "model_name")
+
+
+def _saved(spark, d, name="logistic"):
+    """A two-stage model of the labelled corpus, written and read again."""
+    path = work_path(spark, "model")
+    ps.TwoStageTextClassifier(name).fit(corpus(spark, d)).write().save(path)
+    return ps.load_model(spark, path, {"seed": 42}), path
+
+
+@query("j16_model_scores")
+def _(spark, d):
+    model, _ = _saved(spark, d)
+    out = ps.score_rows(table(spark, d, "documents"), model)
+    return out.select("doc_id", "is_actionable", "intent_label", rnd("actionable_probability").alias("actionable_probability"), "model_name")
 
 
 @query("j17_saved_model")
 def _(spark, d):
-    path = work_path(spark, "model")
-    cl.train_and_save(corpus(spark, d), path)
-    stage, features, _ = cl.load_stage1(spark, path, {"seed": 42})
-    rows = features.transform(corpus(spark, d).withColumn("doc", F.col("record_id")))
-    return stage.scores(rows).select("record_id", rnd("score", 4).alias("score"))
+    model, _ = _saved(spark, d)
+    made = model.transform(corpus(spark, d).withColumn("doc", F.col("record_id")))
+    return made.select("record_id", "is_actionable", "intent_label", rnd("actionable_probability", 4).alias("score"))
 
 
 @query("j18_train_and_save")
 def _(spark, d):
-    path = work_path(spark, "model")
-    stage = cl.train_and_save(corpus(spark, d), path)
+    model, path = _saved(spark, d)
     written = spark.read.parquet(f"{path}/vocabulary").groupBy("block").agg(F.count("*").alias("terms"))
-    return written.withColumn("threshold", F.round(F.lit(stage.threshold), 4))
+    facts = ps.read_facts(spark, path)
+    return written.select("block", "terms", F.round(F.lit(facts["threshold"]), 4).alias("threshold"), F.lit(facts["stage2_model_name"]).alias("stage2"),
+                          F.lit(len(facts["stage2_classes"])).alias("classes"), F.lit(ps.is_compatible(facts)).alias("compatible"))
 
 
 @query("j19_benchmark")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -11,7 +10,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -337,10 +336,8 @@ def build_probabilities(signals: DataFrame, corpus: DataFrame, name: str = "logi
     return made.drop("_model", "score", "raw_score", "features", "doc")
 
 
-def batch_scores(df: DataFrame, model: TwoStage | None) -> DataFrame:
-    """Two-stage labels, or the rules when no model is there."""
-    if model is not None:
-        return model.transform(df)
+def rule_scores(df: DataFrame) -> DataFrame:
+    """Rule labels in the columns of a scored batch, for when no model is there."""
     label = intent.intent_label(F.col("text"))
     return df.withColumns(
         {
@@ -350,39 +347,6 @@ def batch_scores(df: DataFrame, model: TwoStage | None) -> DataFrame:
     )
 
 
-def save_stage1(stage: BinaryStage, features: TextFeatures, path: str, metadata: dict) -> None:
-    """Model, vocabulary and metadata below one folder."""
-    if stage.name != "logistic":
-        raise ValueError("only logistic stages are persisted")
-    spark = features.frequency.sparkSession
-    stage.model.write().overwrite().save(f"{path}/model")
-    features.frequency.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    facts = {**metadata, "name": stage.name, "threshold": stage.threshold, "blocks": list(features.blocks), "size": features.size, "n": features.n}
-    spark.createDataFrame([(json.dumps(facts),)], "metadata string").write.mode("overwrite").text(f"{path}/metadata")
-
-
-def load_stage1(spark: SparkSession, path: str, expected: dict | None = None) -> tuple[BinaryStage, TextFeatures, dict]:
-    """Load and refuse a model whose metadata does not match what is expected."""
-    facts = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    for key, value in (expected or {}).items():
-        if facts.get(key) != value:
-            raise ValueError(f"model at {path} has {key}={facts.get(key)!r}, expected {value!r}")
-    features = TextFeatures(tuple(facts["blocks"]), spark.read.parquet(f"{path}/vocabulary"), facts["n"], facts["size"])
-    stage = BinaryStage(facts["name"], LogisticRegressionModel.load(f"{path}/model"), threshold=facts["threshold"])
-    return stage, features, facts
-
-
-def train_and_save(corpus: DataFrame, path: str, name: str = "logistic", seed: int = 42) -> BinaryStage:
-    """Train on the group split; refuse when groups cross splits."""
-    split = materialise(splits.group_split(corpus, seed).withColumn("doc", F.col("record_id")), "split")
-    if splits.leakage(split).filter("kind = 'group'").limit(1).count():
-        raise ValueError("groups are shared between splits")
-    features = TextFeatures(BLOCKS[name]).fit(split.filter("split = 'train'"))
-    stage = train_stage1(name, features.transform(split))
-    save_stage1(stage, features, path, {"seed": seed, "taxonomy": list(intent.TAXONOMY)})
-    return stage
-
-
 def benchmark(corpus: DataFrame, models: Sequence[str] = MODELS, seeds: Sequence[int] = (42,)) -> DataFrame:
     """One row of stage 1 and end-to-end test metrics per (model, seed)."""
     out = None
