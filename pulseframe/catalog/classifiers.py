@@ -12,6 +12,7 @@ from pulseframe.operators import agreement, evaluation
 from pulseframe.operators import vectors as ve
 from pulseframe.plans import classifiers as cl
 from pulseframe.plans import persistence as ps
+from pulseframe.plans import studies as st
 from pulseframe.session import materialise, side_by_side, work_path
 
 
@@ -234,6 +235,31 @@ def _(spark, d):
     return out.select("model", "seed", "support_total", *[rnd(c, 4).alias(c) for c in ("accuracy", "f1", "pr_auc", "roc_auc")])
 
 
+def _digits(df):
+    return df.withColumns({c: rnd(c, 4) for c, t in df.dtypes if t == "double"})
+
+
+@query("j19_benchmark_study")
+def _(spark, d):
+    return _digits(st.benchmark_study(corpus(spark, d))["per_seed"])
+
+
+@query("j20_group_cv_study")
+def _(spark, d):
+    rows = corpus(spark, d).join(labelled_docs(spark, d).select("record_id", "sample_strategy"), "record_id")
+    tables = st.group_cv_study(rows, seeds=(42, 43, 44))
+    kinds = {"per_seed": ["model", "seed"], "per_class": ["model", "seed", "label"], "reliability": ["model", "bin"], "slices": ["model", "dimension", "value"],
+             "groups": ["model", "parent_id"], "bootstrap": ["model", "metric"]}
+    out = None
+    for name, keys in kinds.items():
+        frame = tables[name]
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        values = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in frame.columns if c not in keys]
+        long = frame.select(F.lit(name).alias("table"), key.alias("key"), F.inline(F.array(*values))).withColumn("value", rnd("value", 4))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 @query("c10_oof_join", "SELECT CAST(doc_id AS VARCHAR) AS record_id, (doc_id % 100) / 100.0::DOUBLE AS oof_probability FROM labels JOIN documents USING (doc_id)")
 def _(spark, d):
     oof = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("record_id"), ((F.col("doc_id") % 100) / F.lit(100.0)).alias("oof_probability"))

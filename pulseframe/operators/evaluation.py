@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.functions import scoring
-from pulseframe.operators.ordered import ranked_rows, running_totals
+from pulseframe.operators.ordered import ranked_rows, running, running_totals
 from pulseframe.session import keyed, materialise, side_by_side
 
 # --- fixed values -------------------------------------------------------------
@@ -232,7 +232,7 @@ def threshold_table(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     both = at.unionByName(below)
     small = totals.select(*keys, "_all_pos")
-    joined = both.join(F.broadcast(small), list(keys)) if keys else both.withColumn("_all_pos", F.lit(table.agg(F.sum("positives")).first()[0]))
+    joined = both.join(small, list(keys)) if keys else both.withColumn("_all_pos", F.lit(table.agg(F.sum("positives")).first()[0]))
     zero = F.lit(0.0)
     return joined.select(
         *keys, "threshold",
@@ -290,12 +290,12 @@ def scalar_metrics(df: DataFrame, y: str, pred: str, p: str, tie: str) -> DataFr
     return side_by_side(core, lifts)
 
 
-def error_slices(df: DataFrame, dimensions: Sequence[str], y: str, pred: str, p: str, correct: str) -> DataFrame:
+def error_slices(df: DataFrame, dimensions: Sequence[str], y: str, pred: str, p: str, correct: str, keys: Sequence[str] = ()) -> DataFrame:
     """Error rates per value of each dimension, one shuffle for all dimensions."""
     pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])
-    long = df.select(F.inline(pairs), F.col(y).alias("y"), F.col(pred).alias("pred"), F.col(p).alias("p"), F.col(correct).alias("ok"))
+    long = df.select(*keys, F.inline(pairs), F.col(y).alias("y"), F.col(pred).alias("pred"), F.col(p).alias("p"), F.col(correct).alias("ok"))
     hit = F.when(F.col("pred") == 1, 1.0).otherwise(0.0)
-    return long.filter(F.col("value").isNotNull()).groupBy("dimension", "value").agg(
+    return long.filter(F.col("value").isNotNull()).groupBy(*keys, "dimension", "value").agg(
         F.count("*").alias("n"),
         F.sum(F.col("y").cast("bigint")).alias("actionable"),
         F.avg(F.when(F.col("y") == 1, hit)).alias("recall"),
@@ -305,9 +305,9 @@ def error_slices(df: DataFrame, dimensions: Sequence[str], y: str, pred: str, p:
     )
 
 
-def group_stability(df: DataFrame, group: str, y: str, pred: str, p: str, correct: str) -> DataFrame:
+def group_stability(df: DataFrame, group: str, y: str, pred: str, p: str, correct: str, keys: Sequence[str] = ()) -> DataFrame:
     """Size, observed rate, mean probability and accuracy per discussion group."""
-    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(
+    return df.filter(F.col(group).isNotNull()).groupBy(*keys, group).agg(
         F.count("*").alias("n"),
         F.sum(F.col(y).cast("bigint")).alias("actionable"),
         F.avg(F.col(y).cast("double")).alias("observed_rate"),
@@ -357,8 +357,9 @@ def group_bootstrap(
         "bootstrap",
     )
     groups = collapsed.select("g").distinct()
-    # Picks address groups by the rank of their hash; the window sees one row per group.
-    ranked = groups.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("g"), "g")) - 1)
+    # Picks address groups by the rank of their hash, counted in ranges of it.
+    numbered = groups.withColumns({"_h": F.xxhash64("g"), "_one": F.lit(1).cast("bigint")})
+    ranked = running(numbered, [], [F.asc("_h"), F.asc("g")], {"slot": "_one"}).select("g", (F.col("slot") - 1).alias("slot"))
     count = groups.count()
     if count == 0:
         raise ValueError("no groups to resample")
