@@ -19,6 +19,7 @@ from pulseframe.catalog.base import (
 )
 from pulseframe.functions import intent, scoring
 from pulseframe.operators import agreement as ag
+from pulseframe.operators import drift
 from pulseframe.operators import neighbours as nb
 from pulseframe.operators import probabilities as pr
 from pulseframe.operators import queue as qu
@@ -441,6 +442,39 @@ def _(spark, d):
     return out.withColumns({c: rnd(c) for c in doubles})
 
 
+@query("j25_drift_report", with_views("lab", f""", ms AS (SELECT 'lang' AS dimension, sample_strategy AS slice, * FROM lab UNION ALL SELECT 'source', parent_id, * FROM lab),
+  sl AS (SELECT dimension, slice, count(*) AS n, avg(length(text)) AS ml, median(length(text)) AS md FROM ms WHERE slice IS NOT NULL GROUP BY 1, 2),
+  pr AS (SELECT a.dimension, a.slice AS sa, b.slice AS sb, a.n AS na, b.n AS nb, a.ml AS la, b.ml AS lb, a.md AS ma, b.md AS mb FROM sl a JOIN sl b ON a.dimension = b.dimension AND a.slice < b.slice),
+  sh AS (SELECT dimension, slice, label_b, count(*) / sum(count(*)) OVER (PARTITION BY dimension, slice) AS p FROM ms GROUP BY 1, 2, 3),
+  lv AS (SELECT DISTINCT label_b FROM lab),
+  sx AS (SELECT pr.dimension, sa, sb, max(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) AS shift FROM pr CROSS JOIN lv LEFT JOIN sh x ON x.dimension = pr.dimension AND x.slice = sa AND x.label_b = lv.label_b
+    LEFT JOIN sh y ON y.dimension = pr.dimension AND y.slice = sb AND y.label_b = lv.label_b GROUP BY 1, 2, 3),
+  ct AS (SELECT dimension, slice, doc_id, term, count(*) AS tf FROM (SELECT dimension, slice, doc_id, unnest({_WORDS}) AS term FROM ms) GROUP BY ALL),
+  st AS (SELECT dimension, slice, term, sum(tf) AS uses, count(*) AS df FROM ct GROUP BY 1, 2, 3),
+  tp AS (SELECT dimension, slice, term FROM st QUALIFY row_number() OVER (PARTITION BY dimension, slice ORDER BY uses DESC, term) <= 200),
+  jc AS (SELECT dimension, sa, sb, count(*) FILTER (k = 2) / count(*)::DOUBLE AS j FROM (SELECT pr.dimension, sa, sb, term, count(*) AS k FROM pr JOIN tp ON tp.dimension = pr.dimension AND tp.slice IN (sa, sb) GROUP BY ALL) GROUP BY 1, 2, 3),
+  dp AS (SELECT pr.dimension, sa, sb, term, sum(df) AS df FROM pr JOIN st ON st.dimension = pr.dimension AND st.slice IN (sa, sb) GROUP BY ALL),
+  rw AS (SELECT pr.dimension, pr.sa, pr.sb, ct.slice = pr.sa AS one, doc_id, ct.term, tf * (ln((1 + na + nb) / (1 + df)::DOUBLE) + 1) AS r FROM pr JOIN ct ON ct.dimension = pr.dimension AND ct.slice IN (pr.sa, pr.sb)
+    JOIN dp ON dp.dimension = pr.dimension AND dp.sa = pr.sa AND dp.sb = pr.sb AND dp.term = ct.term),
+  ww AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY dimension, sa, sb, doc_id)) AS w FROM rw),
+  ce AS (SELECT dimension, sa, sb, term, coalesce(sum(w) FILTER (one), 0) AS x, coalesce(sum(w) FILTER (NOT one), 0) AS y FROM ww GROUP BY ALL),
+  ds AS (SELECT dimension, sa, sb, 1 - sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) AS dist FROM ce GROUP BY ALL)
+  SELECT dimension, sa AS slice_a, sb AS slice_b, na AS rows_a, nb AS rows_b, {rsql('la')} AS mean_length_a, {rsql('lb')} AS mean_length_b, {rsql('ma')} AS median_length_a, {rsql('mb')} AS median_length_b,
+    {rsql('shift')} AS max_prevalence_shift, {rsql('j')} AS vocabulary_jaccard, {rsql('dist')} AS tfidf_centroid_cosine_distance, least(na, nb) < 30 AS small_sample
+  FROM pr JOIN sx USING (dimension, sa, sb) JOIN jc USING (dimension, sa, sb) JOIN ds USING (dimension, sa, sb)"""))
+def _(spark, d):
+    rows = labelled_docs(spark, d).withColumnsRenamed({"sample_strategy": "lang", "parent_id": "source"})
+    out = drift.drift_report(rows, "record_id", "label_b", ["lang", "source"])
+    return out.withColumns({c: rnd(c) for c, t in out.dtypes if t == "double"})
+
+
+@query("j25_split_drift")
+def _(spark, d):
+    rows = sp.group_split(corpus(spark, d))
+    out = drift.drift_report(rows, "record_id", "corrected_label", ["split"], drift.split_pairs(rows))
+    return out.withColumns({c: rnd(c) for c, t in out.dtypes if t == "double"})
+
+
 # --- queues and provenance -------------------------------------------------------------------
 
 _KEY = TEXT_KEY_SQL.format("text")

@@ -245,7 +245,7 @@ def _(spark, d):
 
 _LEXICON_SQL = """, tok AS (
     SELECT doc_id, pos, w[pos] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM
-      (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'))),
+      (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents))),
   lex AS (SELECT * FROM (VALUES ('the', 0.4), ('and', -0.6), ('that', 1.1), ('of', -1.9), ('on', 2.3)) v(word, valence)),
   hit AS (SELECT t.doc_id, t.pos, l.valence, lag(t.word, 1) OVER w AS w1, lag(t.word, 2) OVER w AS w2, lag(t.word, 3) OVER w AS w3
     FROM tok t LEFT JOIN lex l USING (word) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -262,7 +262,7 @@ _LEXICON_SQL = """, tok AS (
 @query("i3_lexicon_sentiment", _LEXICON_SQL.replace(", tok", "WITH tok", 1) + f""" SELECT doc_id, {rsql('s / sqrt(s * s + 15)', 4)} AS compound,
   {rsql('p / (p - n + z)', 3)} AS pos, {rsql('-n / (p - n + z)', 3)} AS neg, {rsql('z / (p - n + z)', 3)} AS neu FROM tot""")
 def _(spark, d):
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     words = spark.createDataFrame([("the", 0.4), ("and", -0.6), ("that", 1.1), ("of", -1.9), ("on", 2.3)], "word string, valence double")
     scored = lexicon.lexicon_sentiment(docs, "doc_id", "text", words, negations=["it"], boosters={"in": 0.293})
     return scored.select("doc_id", rnd("compound", 4).alias("compound"), rnd("pos", 3).alias("pos"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pulseframe.functions import text
 from pulseframe.operators import calendar as cal_ops
@@ -57,6 +58,6 @@ def run_updates(stream: DataFrame, path: str, checkpoint: str, keys: list[str])
     query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     values = [c for c in stream.columns if c not in keys]
-    rows = stream.sparkSession.read.option("basePath", path).schema(stream.schema.add("batch", "long")).parquet(path)
+    rows = stream.sparkSession.read.option("basePath", path).schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
