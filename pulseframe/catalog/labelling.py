@@ -447,7 +447,7 @@ def _(spark, d):
   pr AS (SELECT a.dimension, a.slice AS sa, b.slice AS sb, a.n AS na, b.n AS nb, a.ml AS la, b.ml AS lb, a.md AS ma, b.md AS mb FROM sl a JOIN sl b ON a.dimension = b.dimension AND a.slice < b.slice),
   sh AS (SELECT dimension, slice, label_b, count(*) / sum(count(*)) OVER (PARTITION BY dimension, slice) AS p FROM ms GROUP BY 1, 2, 3),
   lv AS (SELECT DISTINCT label_b FROM lab),
-  sx AS (SELECT pr.dimension, sa, sb, max(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) AS shift FROM pr CROSS JOIN lv LEFT JOIN sh x ON x.dimension = pr.dimension AND x.slice = sa AND x.label_b = lv.label_b
+  sx AS (SELECT pr.dimension, sa, sb, max(abs(round(coalesce(x.p, 0) - coalesce(y.p, 0), 4))) AS shift FROM pr CROSS JOIN lv LEFT JOIN sh x ON x.dimension = pr.dimension AND x.slice = sa AND x.label_b = lv.label_b
     LEFT JOIN sh y ON y.dimension = pr.dimension AND y.slice = sb AND y.label_b = lv.label_b GROUP BY 1, 2, 3),
   ct AS (SELECT dimension, slice, doc_id, term, count(*) AS tf FROM (SELECT dimension, slice, doc_id, unnest({_WORDS}) AS term FROM ms) GROUP BY ALL),
   st AS (SELECT dimension, slice, term, sum(tf) AS uses, count(*) AS df FROM ct GROUP BY 1, 2, 3),

@@ -269,6 +269,59 @@ def _(spark, d):
                          rnd("neg", 3).alias("neg"), rnd("neu", 3).alias("neu"))
 
 
+_MARK = "!-/:-@\\[-`{-~"
+_BOOST = {"the": 0.293, "de": -0.293, "der": 0.293}
+_NEGATE = ("of", "la", "und")
+
+
+def _boost_sql(back: int) -> str:
+    """Strength of the word before, signed by the valence, louder in capitals."""
+    cases = " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in _BOOST.items())
+    b = f"(CASE w{back} {cases} ELSE 0 END)"
+    return f"((CASE WHEN v < 0 THEN -1 ELSE 1 END) * {b} + CASE WHEN {b} <> 0 AND u{back} AND caps THEN CASE WHEN v > 0 THEN 0.733::DOUBLE ELSE -0.733 END ELSE 0 END)"
+
+
+def _step_sql(back: int) -> str:
+    """The valence after the word ``back`` places before."""
+    damp = (1.0, 0.95, 0.9)[back - 1]
+    between = [f"w{k}" for k in range(1, back)]
+    never = " OR ".join(f"{w} IN ('so', 'this')" for w in between) or "false"
+    doubt = " OR ".join(f"{w} = 'doubt'" for w in between) or "false"
+    return f"""CASE WHEN w{back} IS NOT NULL AND l{back} IS NULL THEN (v + {damp}::DOUBLE * {_boost_sql(back)}) * CASE WHEN w{back} = 'never' AND coalesce({never}, false) THEN 1.25::DOUBLE
+      WHEN w{back} = 'without' AND coalesce({doubt}, false) THEN 1 WHEN w{back} IN {_NEGATE} OR contains(w{back}, 'n''t') THEN -0.74 ELSE 1 END ELSE v END"""
+
+
+_VALENCE_SQL = f"""WITH tx AS (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+'), lambda w: w <> ''),
+    lambda w: CASE WHEN length(regexp_replace(w, '^[{_MARK}]+|[{_MARK}]+$', '', 'g')) <= 2 THEN w ELSE regexp_replace(w, '^[{_MARK}]+|[{_MARK}]+$', '', 'g') END) AS t FROM documents),
+  tk AS (SELECT doc_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS pos FROM tx),
+  lw AS (SELECT *, lower(tok) AS w, tok = upper(tok) AND tok <> lower(tok) AS u FROM tk),
+  lex AS (SELECT w, (ascii(w) + length(w)) % 9 - 4 AS v FROM (SELECT DISTINCT w FROM lw) WHERE length(w) >= 4 AND (ascii(w) + length(w)) % 9 <> 4),
+  dc AS (SELECT doc_id, count(*) FILTER (u) > 0 AND count(*) FILTER (u) < count(*) AS caps, min(pos) FILTER (w = 'and') AS but FROM lw GROUP BY 1),
+  nb AS (SELECT lw.doc_id, pos, lw.w, u, lex.v::DOUBLE AS l0, caps, but, {", ".join(f"lag(lw.w, {k}) OVER o AS w{k}, lag(u, {k}) OVER o AS u{k}, lag(lex.v, {k}) OVER o AS l{k}" for k in (1, 2, 3))}, lead(lex.v) OVER o AS ahead
+    FROM lw LEFT JOIN lex USING (w) JOIN dc USING (doc_id) WINDOW o AS (PARTITION BY lw.doc_id ORDER BY pos)),
+  s0 AS (SELECT *, CASE WHEN coalesce(w1 = 'no', false) OR coalesce(w2 = 'no', false) OR coalesce(w3 = 'no' AND w1 IN ('or', 'nor'), false) THEN l0 * -0.74::DOUBLE WHEN w = 'no' AND ahead IS NOT NULL THEN 0 ELSE l0 END AS v FROM nb),
+  s1 AS (SELECT * REPLACE (CASE WHEN u AND caps THEN v + CASE WHEN v > 0 THEN 0.733::DOUBLE ELSE -0.733 END ELSE v END AS v) FROM s0),
+  s2 AS (SELECT * REPLACE ({_step_sql(1)} AS v) FROM s1), s3 AS (SELECT * REPLACE ({_step_sql(2)} AS v) FROM s2), s4 AS (SELECT * REPLACE ({_step_sql(3)} AS v) FROM s3),
+  s5 AS (SELECT doc_id, pos, CASE WHEN l0 IS NULL OR w IN {tuple(_BOOST)} THEN 0 ELSE v * CASE WHEN w1 = 'least' AND l1 IS NULL AND NOT coalesce(w2 IN ('at', 'very'), false) THEN -0.74::DOUBLE ELSE 1 END
+    * CASE WHEN but IS NULL OR pos = but THEN 1 WHEN pos < but THEN 0.5::DOUBLE ELSE 1.5 END END AS x FROM s4),
+  sm AS (SELECT doc_id, sum(x) AS s, coalesce(sum(x + 1) FILTER (x > 0), 0) AS p, coalesce(sum(x - 1) FILTER (x < 0), 0) AS n, count(*) FILTER (x = 0) AS z FROM s5 GROUP BY 1),
+  mk AS (SELECT doc_id, least(length(text) - length(replace(text, '!', '')), 4) * 0.292::DOUBLE + CASE WHEN q <= 1 THEN 0 WHEN q <= 3 THEN q * 0.18::DOUBLE ELSE 0.96 END AS m
+    FROM (SELECT doc_id, text, length(text) - length(replace(text, '?', '')) AS q FROM tx)),
+  fs AS (SELECT doc_id, coalesce(z, 0) AS z, coalesce(CASE WHEN s > 0 THEN s + m WHEN s < 0 THEN s - m ELSE 0 END, 0) AS s, coalesce(CASE WHEN p > -n THEN p + m ELSE p END, 0) AS p, coalesce(CASE WHEN p < -n THEN n - m ELSE n END, 0) AS n FROM mk LEFT JOIN sm USING (doc_id))"""
+
+
+@query("i3_valence_scores", _VALENCE_SQL + f""" SELECT doc_id, {rsql('s / sqrt(s * s + 15)', 4)} AS compound, {rsql('CASE WHEN p - n + z > 0 THEN p / (p - n + z) ELSE 0 END', 3)} AS pos,
+  {rsql('CASE WHEN p - n + z > 0 THEN -n / (p - n + z) ELSE 0 END', 3)} AS neg, {rsql('CASE WHEN p - n + z > 0 THEN z / (p - n + z) ELSE 0 END', 3)} AS neu FROM fs""")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    # A word list as large as the vocabulary, made from it: longer words get a valence by a rule.
+    words = docs.select(F.explode(F.transform(lexicon.tokens_of(F.col("text")), F.lower)).alias("word")).distinct()
+    valence = (F.ascii("word") + F.length("word")) % 9 - 4
+    words = words.where((F.length("word") >= 4) & (valence != 0)).withColumn("valence", valence)
+    out = lexicon.valence_scores(docs, "doc_id", "text", words, _NEGATE, _BOOST, contrast="and")
+    return out.select("doc_id", rnd("compound", 4).alias("compound"), *[rnd(c, 3).alias(c) for c in ("pos", "neg", "neu")])
+
+
 @query("i10_demand_score", with_views("sig lsig ssig", f""" SELECT id, {rsql('intent_weight')} AS intent_weight,
   {rsql('sentiment_weight')} AS sentiment_weight, {rsql('engagement_weight')} AS engagement_weight,
   {rsql('demand_score')} AS demand_score, risk_score, activation_score FROM ssig"""))

@@ -96,6 +96,35 @@ def aggregate_periods(
     return out
 
 
+def partial_periods(df: DataFrame, platforms: Sequence[str] = PLATFORMS, freq: str = "W-MON") -> DataFrame:
+    """Counts and sums of D4-D7 per period, which add up over parts of the input (see ``merged_periods``).
+
+    Needs timestamp, source, intent_label, actionable_probability, probability_source, vader_compound, demand_score.
+    """
+    usable = F.col("actionable_probability").isNotNull() & (F.coalesce("probability_source", F.lit("")) != UNAVAILABLE)
+    counts = {"total_comments": F.lit(True), **{f"{p}_comments": F.lower(F.col("source").cast("string")).contains(p) for p in platforms},
+              "actionable_count": F.col("intent_label").isin(*intent.ACTIONABLE_CLASSES),
+              **{f"{c}_count": F.col("intent_label") == c for c in TRACKED_LABELS}, "n_with_probability": usable}
+    sums = {"actionable_probability_mass": F.when(usable, F.col("actionable_probability")), "_sentiment": F.col("vader_compound"), "_score": F.col("demand_score")}
+    return df.filter(F.col("timestamp").isNotNull()).groupBy(timing.period_start(F.col("timestamp"), freq).alias("period_start")).agg(
+        *[F.count_if(c).alias(n) for n, c in counts.items()], *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in sums.items()],
+        F.count("vader_compound").alias("_sentiment_n"), F.count("demand_score").alias("_score_n"))
+
+
+def merged_periods(parts: DataFrame) -> DataFrame:
+    """D4-D7 of periods with rows, from the parts of ``partial_periods``."""
+    values = [c for c in parts.columns if c != "period_start"]
+    whole = parts.groupBy("period_start").agg(*[F.sum(c).alias(c) for c in values])
+    counted = [c for c in values if c.endswith("_count")]
+    total = F.col("total_comments")
+    return whole.withColumns({
+        **{c.removesuffix("_count") + "_rate": scoring.rate(F.col(c), total) for c in counted},
+        "probability_coverage": scoring.rate(F.col("n_with_probability"), total),
+        "mean_actionable_probability": F.try_divide("actionable_probability_mass", "n_with_probability"),
+        "mean_sentiment": F.try_divide("_sentiment", "_sentiment_n"), "mean_demand_score": F.try_divide("_score", "_score_n"),
+    }).drop("_sentiment", "_sentiment_n", "_score", "_score_n")
+
+
 def count_quantiles(periods: DataFrame, count_col: str = "total_comments", series_cols: Sequence[str] = ()) -> DataFrame:
     """Exact linear quantiles of the period counts."""
     c = F.col(count_col).cast("double")
