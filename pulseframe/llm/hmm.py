@@ -151,33 +151,45 @@ def forward(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def expected(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions of the sequences, and their log10 probability together."""
+    """Expected counts of starts, moves and emissions of the sequences, and their log10 probability together.
+
+    Works step by step through all sequences at once; what a step needs lies side by side in memory.
+    """
     begin, alive, _ = _matrix(symbols, sizes)
-    states, total = len(model.start), 0.0
-    posterior = np.zeros((len(symbols), states))
+    states, ones = len(model.start), np.ones(len(model.start))
     starts, moves = np.zeros(states), np.zeros((states, states))
-    alphas, scales = [], []
-    for t, n in enumerate(alive.tolist()):
-        a = (model.start if not t else alphas[-1][:n] @ model.move) * model.emit[symbols[begin[:n] + t]]
-        scale = a.sum(axis=1)
-        a /= scale[:, None]
-        total += np.log10(scale).sum()
-        alphas.append(a)
-        scales.append(scale)
-    later = np.ones((alive[-1] if len(alive) else 0, states))
+    if not len(alive):
+        return starts, moves, np.zeros(model.emit.shape), 0.0
+    offset = np.concatenate([[0], np.cumsum(alive)])
+    step = np.repeat(np.arange(len(alive)), alive)
+    ordered = symbols[begin[np.arange(len(symbols)) - offset[step]] + step]
+    seen = model.emit[ordered]
+    alphas, scales, before = np.empty_like(seen), np.empty(len(symbols)), None
+    for a, b in zip(offset[:-1].tolist(), offset[1:].tolist()):
+        here, scale = alphas[a:b], scales[a:b]
+        if before is None:
+            np.multiply(model.start, seen[a:b], out=here)
+        else:
+            np.matmul(before[: b - a], model.move, out=here)
+            here *= seen[a:b]
+        np.matmul(here, ones, out=scale)
+        here /= scale[:, None]
+        before = here
+    seen /= scales[:, None]
+    back, later = model.move.T.copy(), np.ones((int(alive[0]), states))
+    # Sequences that end at a later step come first; those that end here start from ones.
     for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        if len(later) < n:
-            later = np.concatenate([later, np.ones((n - len(later), states))])
-        posterior[begin[:n] + t] = alphas[t] * later
+        a, b = offset[t], offset[t + 1]
+        ahead = seen[a:b]
+        ahead *= later[: b - a]
+        alphas[a:b] *= later[: b - a]
         if t:
-            ahead = later * model.emit[symbols[begin[:n] + t]] / scales[t][:, None]
-            moves += alphas[t - 1][:n].T @ ahead
-            later = ahead @ model.move.T
-        else:
-            starts = (alphas[0] * later).sum(axis=0)
-    emissions = np.stack([np.bincount(symbols, posterior[:, k], len(model.emit)) for k in range(states)], axis=1)
-    return starts, moves * model.move, emissions, total
+            # The posterior of the step before is not made yet, so its alphas are still those of the forward pass.
+            moves += alphas[offset[t - 1] : offset[t - 1] + b - a].T @ ahead
+            np.matmul(ahead, back, out=later[: b - a])
+    starts = alphas[: offset[1]].sum(axis=0)
+    emissions = np.stack([np.bincount(ordered, column, len(model.emit)) for column in np.ascontiguousarray(alphas.T)], axis=1)
+    return starts, moves * model.move, emissions, float(np.log10(scales).sum())
 
 
 def _updated(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, shares: np.ndarray) -> Model:
