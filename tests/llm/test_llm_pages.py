@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -122,3 +124,90 @@ def test_wrappers_with_class_words_keep_the_article(page):
     around = '<div class="cookie-notice">We use cookies here, and this line is as long as a paragraph.</div><ul id="comment-list-3"><li>A reader comment that is rather long.</li></ul>'
     want = "A paragraph of the article with enough words to be content.\nAnd a second one of nearly the same length, after it."
     assert extract.main_text(f"<html><body>{around}{page % body}</body></html>") == want
+
+
+LONG = "<p>" + "A sentence of an article that goes on and on, without an end. " * 6 + "</p>"
+COMMENTS = ('<div id="comments" class="comments-area"><ol class="comment-list"><li class="comment"><article class="comment-body">'
+            + "<p>I do not agree with this text at all, dear author.</p>" * 40 + "</article></li></ol></div>")
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<article>", "</article>" + COMMENTS), ("<div>", "</div>" + COMMENTS),
+    ("<div>", "</div>" + "<article><h3>Other story</h3><p>A teaser of another story.</p></article>" * 3),
+    ("<article>", '<div class="post-comments">One of them.</div><div class="user-comment">Another.</div><div class="cookie-banner-v2">We use cookies.</div></article>'),
+    ('<form id="page"><div class="sidebar"><article>', "</article></div></form>"), ('<article class="sidebar">', "</article>"),
+])
+def test_article_beside_comments_and_teasers(before, after):
+    want = "\n".join([" ".join(LONG[3:-4].split())] * 4)
+    assert extract.main_text(f"<html><body>{before}{LONG * 4}{after}</body></html>") == want
+
+
+def test_short_paragraphs_at_the_end_stay():
+    tail = ["Yes.", "No.", "So it goes.", "And so on.", "The end.", "Really."]
+    got = extract.main_text("<body><div>" + LONG * 4 + "".join(f"<p>{t}</p>" for t in tail) + "</div></body>")
+    assert got.split("\n")[4:] == tail
+
+
+@pytest.mark.parametrize("page", ["<nav>" * 100_000 + LONG, "<form>" * 100_000 + LONG, '<div class="sidebar">' * 50_000 + f"<article>{LONG}</article>" + "</div>" * 50_000])
+def test_time_is_linear_in_broken_tags(page):
+    start = time.process_time()
+    assert extract.main_text(page) == " ".join(LONG[3:-4].split())
+    assert time.process_time() - start < 10
+
+
+def _random_tree(rng, depth=0):
+    """(tag, class, children or text): a random element."""
+    if depth > 4 or rng.random() < 0.3:
+        return ("p", "", f"line {rng.randrange(10**6)} " + "word " * rng.randrange(1, 30))
+    tag, name = rng.choice([("div", ""), ("div", "sidebar"), ("div", "comment-list"), ("section", ""), ("article", ""), ("article", "comment"), ("nav", ""),
+                            ("form", ""), ("div", "no-sidebar"), ("ul", "related"), ("select", "")])
+    return (tag, name, [_random_tree(rng, depth + 1) for _ in range(rng.randrange(1, 4))])
+
+
+def _markup(node):
+    tag, name, inner = node
+    return f'<{tag} class="{name}">' + (inner if isinstance(inner, str) else "".join(map(_markup, inner))) + f"</{tag}>"
+
+
+def _kept_by_tree(root):
+    """The rules of dropped elements, applied to the whole tree: (text, kept) of each line."""
+    lines, elements = [], []
+
+    def walk(node):
+        tag, name, inner = node
+        first = len(lines)
+        if isinstance(inner, str):
+            lines.append(" ".join(inner.split()))
+        else:
+            place = len(elements)
+            elements.append(None)
+            for child in inner:
+                walk(child)
+            elements[place] = (tag, name, set(range(first, len(lines))))
+
+    walk(root)
+    bad = ("sidebar", "comment-list", "comment", "related")
+    drops = [e for e in elements if e[1] in bad or e[0] in ("nav", "form", "select")]
+    union = lambda es: set().union(*[e[2] for e in es])
+    size = lambda ids: sum(len(lines[i]) for i in ids)
+    hard = union([e for e in drops if e[0] == "select"])
+    for articles in ([e for e in elements if e[0] == "article" and e[1] not in bad and e[2] - hard], [e for e in elements if e[0] == "article" and e[1] in bad and e[2] - hard]):
+        if not articles:
+            continue
+        outside = size(set(range(len(lines))) - union(drops))
+        need = union(articles)
+        spanned = set(range(min(need), max(need) + 1))
+        drops = [e for e in drops if e[0] == "select" or not (spanned <= e[2] or any(e is a for a in articles))
+                 or not (outside < extract.OUTSIDE or e[1] in ("", "sidebar") and outside < size(e[2]))]
+        if spanned - union(drops):
+            break
+    gone = union(drops)
+    return [(t, i not in gone) for i, t in enumerate(lines)]
+
+
+def test_dropped_lines_equal_those_of_the_tree():
+    rng = random.Random(8)
+    for _ in range(1500):
+        root = ("div", "", [_random_tree(rng) for _ in range(rng.randrange(1, 5))])
+        lines, dropped = extract.page_lines(_markup(root))
+        assert [(x.text, not d) for x, d in zip(lines, dropped)] == _kept_by_tree(root), _markup(root)
