@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.llm.words import bound_batches, mix, slices
+from pulseframe.operators.ordered import running
 from pulseframe.session import materialise
 
 WEIGHTS = (5, 2, 1)
@@ -23,6 +24,8 @@ WEIGHTS = (5, 2, 1)
 PASSES = 3
 BLOCK = 32
 SHARD_SLOTS = 4096
+#: Slots that one task expands, about, and slots that it holds at a time.
+TASK_SLOTS, HELD_SLOTS = 1 << 19, 1 << 18
 SEED = 20
 #: Documents of a source are laid out in this many runs, so that no task orders a whole source.
 RUNS = 1024
@@ -95,11 +98,14 @@ def _draws(sources: list, slots: int, seed: int, shard_slots: int):
     return draw
 
 
+def _portions(frame: pd.DataFrame):
+    """The rows of a frame in portions of HELD_SLOTS slots; a row has no more than a shard."""
+    yield from (part for _, part in frame.groupby(np.cumsum(frame["n"].to_numpy()) // HELD_SLOTS))
+
+
 def _slots(seed: int, passes: int):
     def expand(frames):
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in (part for frame in frames for part in _portions(frame)):
             n = frame["n"].to_numpy()
             row = np.repeat(np.arange(len(frame)), n)
             k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -139,8 +145,9 @@ class Mix:
         slots = int(round(sum(r["expected"] for r in sources)))
         shards = spark.range(-(-slots // shard_slots))
         counts = shards.mapInPandas(_draws(sources, slots, seed, shard_slots), "shard long, sid long, n long, blocks long, base long, slots long")
-        first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
-        counts = materialise(counts.withColumn("first", first), "draws")
+        counts = running(counts, ["sid"], [F.asc("shard")], {"first": "n"}).withColumn("first", F.col("first") - F.col("n"))
+        # The draws are few bytes, what they expand to is not: the number of slots sets the number of tasks.
+        counts = counts.repartition(max(1, -(-slots // TASK_SLOTS)), "shard")
         #: (shard, slot, sid, block, pass): the block in each slot. Draws past the last pass over a source are void.
         #: Merged, not broadcast: the planner takes the slots for as small as the table of draws.
         self.slots = counts.mapInPandas(_slots(seed, passes), "shard long, slot long, sid long, block long, pass long").hint("merge")

@@ -67,3 +67,23 @@ def test_empty_tables(spark):
     assert mixing.mix_texts(docs.limit(0)).count() == 0
     nothing = mixing.mix_sizes(docs.where("doc_id in (1000, 1001)")).collect()
     assert [(r["size"], r.source_size, r.target, r.taken) for r in nothing] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_slots_are_spread_and_portioned(spark, monkeypatch):
+    docs = frame(spark, rows(n=200))
+    want = sorted(map(str, mixing.mix_sizes(docs).collect()))
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 16)
+    monkeypatch.setattr(mixing, "HELD_SLOTS", 8)
+    mixed = mixing.Mix(docs, shard_slots=32)
+    slots = mixed.slots.collect()
+    assert mixed.slots.rdd.getNumPartitions() > 1 and len({(r.shard, r.slot) for r in slots}) == len(slots)
+    # Turn by turn, a source's slots take each of its blocks once.
+    for sid in {r.sid for r in slots}:
+        turns = {}
+        for r in slots:
+            if r.sid == sid:
+                turns.setdefault(r["pass"], []).append(r.block)
+        assert all(len(set(b)) == len(b) for b in turns.values())
+        assert all(set(turns[0]) == set(turns[t]) for t in turns if t < max(turns))
+    monkeypatch.undo()
+    assert sorted(map(str, mixing.mix_sizes(docs).collect())) == want
