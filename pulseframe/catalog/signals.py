@@ -428,10 +428,27 @@ def annotated(spark, d):
     return cal_ops.annotate_events(scored_signals(spark, d), calendar(spark))
 
 
-@query("a10_event_calendar", with_views("cal", f" SELECT {ssql('event_date')} AS event_date, event_name, event_window, major_announcement_flag, trailer_flag, {ssql('announced_date')} AS announced_date FROM cal"))
-def _(spark, d):
-    return calendar(spark).select(stamp("event_date").alias("event_date"), "event_name", "event_window", "major_announcement_flag",
-                                  "trailer_flag", stamp("announced_date").alias("announced_date"))
+# Every order as a calendar row: dates of open orders do not parse, kinds come in mixed case, some announcements are missing.
+_ORDER_EVENTS = {"1-URGENT": "Trailer", "2-HIGH": " showcase ", "3-MEDIUM": "patch", "4-NOT SPECIFIED": "release_date"}
+
+
+@query("a10_event_calendar", f"""WITH raw AS (SELECT o_orderkey, o_orderdate, 'Order: ' || o_orderpriority || '!' AS event_name, lower(o_orderpriority) AS p,
+    CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 30 AS INTEGER) ELSE CAST(o_orderdate AS DATE) END AS announced FROM orders WHERE o_orderstatus <> 'O')
+  SELECT o_orderkey, {ssql('CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP)')} AS event_date, event_name, 'post_order_' || trim(regexp_replace(p, '[^a-z0-9]+', '_', 'g'), '_') AS event_window,
+    CAST(p IN ('1-urgent', '2-high', '4-not specified') AS INTEGER) AS major_announcement_flag, CAST(p IN ('1-urgent', '2-high') AS INTEGER) AS trailer_flag,
+    {ssql('CAST(announced AS TIMESTAMP)')} AS announced_date FROM raw""")
+def _(spark, d):
+    day, priority = F.col("o_orderdate").cast("date"), F.col("o_orderpriority")
+    kind = F.lit(None).cast("string")
+    for value, name in _ORDER_EVENTS.items():
+        kind = F.when(priority == value, name).otherwise(kind)
+    raw = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "O", "not yet").otherwise(day.cast("string")).alias("event_date"),
+        F.concat(F.lit("Order: "), priority, F.lit("!")).alias("event_name"), kind.alias("event_type"),
+        F.when(F.col("o_orderkey") % 7 > 0, F.date_sub(day, (F.col("o_orderkey") % 30).cast("int")).cast("string")).alias("announced_date"))
+    out = cal_ops.prepare_calendar(raw)
+    return out.select("o_orderkey", stamp("event_date").alias("event_date"), "event_name", "event_window", "major_announcement_flag",
+                      "trailer_flag", stamp("announced_date").alias("announced_date"))
 
 
 @query("c1_asof_events", with_views("sig lsig ssig cal", ANNOT_SQL + f""" SELECT id, last_event_name, window_name AS event_window,

@@ -25,6 +25,9 @@ RANK_CORRELATION = 0.5
 SEASON = 52.0
 SYNTHETIC = "synthetic"
 
+#: Copies of a plan's channel that draws meet, so that a few channels are many join keys.
+SALTS = 64
+
 
 def require_data_type(df: DataFrame, expected: str = SYNTHETIC) -> DataFrame:
     """Refuse a plan whose rows are not all of the expected kind."""
@@ -151,16 +154,26 @@ def plan_warnings(plan: DataFrame, ranges: DataFrame, channels: Sequence[str], t
     )
 
 
-def media_by_draw(plan: DataFrame, channels: Sequence[str], draws: DataFrame, scale: DataFrame, order_col: str = "t") -> DataFrame:
+def media_by_draw(
+    plan: DataFrame, channels: Sequence[str], draws: DataFrame, scale: DataFrame, order_col: str = "t", salts: int = SALTS
+) -> DataFrame:
     """Media effect per (draw, channel, period) = beta x saturation of the scaled carry-over.
 
-    ``draws (draw, channel, decay, alpha, theta, beta)``; ``scale (channel, spend_scale)``. Draws meet the plan on
-    the channel, so the work spreads over draws.
+    ``draws (draw, channel, decay, alpha, theta, beta)``; ``scale (channel, spend_scale)``. The plan is one array of periods
+    for each channel, bounded by its number of periods, in ``salts`` copies; draws meet it on (channel, hash of the
+    draw), so the work spreads over draws and no row of a draw is shuffled by period.
     """
-    long = plan_long(plan, [order_col], channels).join(scale, "channel").withColumn("spend", F.col("spend") / F.col("spend_scale"))
-    joined = long.join(draws, "channel")
-    out = response(joined, ["draw", "channel", "beta"], order_col, F.col("decay"), F.col("alpha"), F.col("theta"))
-    return out.select("draw", "channel", order_col, (F.col("beta") * F.col("response")).alias("effect"))
+    long = plan_long(plan, [order_col], channels).join(scale, "channel")
+    spend = F.when(F.col("spend") >= 0, F.col("spend") / F.col("spend_scale")).otherwise(F.raise_error(F.lit("spend cannot be negative")).cast("double"))
+    periods = long.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("t"), spend.alias("x")))).alias("_periods"))
+    copies = periods.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    fine = (F.col("decay") >= 0) & (F.col("decay") < 1)
+    checked = F.when(fine, F.col("decay")).otherwise(F.raise_error(F.lit("decay must be in [0, 1)")).cast("double"))
+    salted = draws.withColumns({"_d": checked, "_salt": F.pmod(F.xxhash64("draw"), F.lit(salts)).cast("int")})
+    carried = salted.join(copies, ["channel", "_salt"]).withColumn("_a", _carry(F.col("_periods.x"), F.col("_d")))
+    level = lambda a: scoring.hill(a * (1.0 - F.col("_d")), F.col("alpha"), F.col("theta")) * F.col("beta")
+    out = carried.select("draw", "channel", "_d", "alpha", "theta", "beta", F.inline(F.arrays_zip(F.col("_periods.t").alias("t"), F.col("_a").alias("a"))))
+    return out.select("draw", "channel", F.col("t").alias(order_col), level(F.col("a")).alias("effect"))
 
 
 def channel_contributions(media: DataFrame) -> DataFrame:
@@ -228,7 +241,9 @@ def response_curves(plan: DataFrame, channels: Sequence[str], draws: DataFrame,
     grid = largest.join(scale, "channel").join(shape, "channel").withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     spend = F.col("_top") * F.col("point") / F.lit(float(points - 1))
     levels = grid.select("channel", "point", spend.alias("spend"), scoring.hill(spend / F.col("spend_scale"), F.col("_alpha"), F.col("_theta")).alias("_s"))
-    made = levels.join(draws.select("channel", "beta"), "channel").withColumn("_r", F.col("beta") * F.col("_s"))
+    salt = F.pmod(F.xxhash64("draw"), F.lit(SALTS)).cast("int").alias("_salt")
+    copies = levels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    made = copies.join(draws.select("channel", "beta", salt), ["channel", "_salt"]).withColumn("_r", F.col("beta") * F.col("_s"))
     return made.groupBy("channel", "point", "spend").agg(
         F.avg("_r").alias("response_mean"), quantile("_r", 0.05).alias("response_hdi_5"), quantile("_r", 0.95).alias("response_hdi_95")
     )

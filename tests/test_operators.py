@@ -218,3 +218,22 @@ def test_signal_stages_need_a_tone(spark, tmp_path):
     out = signal_plan.run(raw, "place", lexicon={"lexicon": words, "negations": ["not"], "boosters": {}}, keep=signal_plan.written(str(tmp_path)))
     assert {r.id: r.sentiment_label for r in out["sentiment"].collect()} == {"1": "positive", "2": "negative"}
     assert "intent_confidence" in spark.read.parquet(f"{tmp_path}/intent").columns
+
+
+def test_media_by_draw_equals_a_loop(spark):
+    plan = spark.createDataFrame([(t, float(t % 4 * 10), float(5 + t % 3)) for t in range(12)], "t int, a double, b double")
+    draws = [(k, c, 0.1 + 0.05 * (k % 10), 1.0 + 0.1 * (k % 3), 0.5 + 0.1 * (k % 4), 2.0 + k) for k in range(40) for c in "ab"]
+    frame = spark.createDataFrame(draws, "draw long, channel string, decay double, alpha double, theta double, beta double")
+    scale = spark.createDataFrame([("a", 30.0), ("b", 7.0)], "channel string, spend_scale double")
+    got = {(r.draw, r.channel, r.t): r.effect for r in media.media_by_draw(plan, ["a", "b"], frame, scale).collect()}
+    assert len(got) == 40 * 2 * 12
+    for draw, c, d, alpha, theta, beta in draws:
+        carried = 0.0
+        for t in range(12):
+            carried = (t % 4 * 10 / 30.0 if c == "a" else (5 + t % 3) / 7.0) + d * carried
+            x = (carried * (1 - d)) ** alpha
+            assert got[draw, c, t] == pytest.approx(beta * x / (x + theta**alpha))
+    one = {(r.draw, r.channel, r.t): r.effect for r in media.media_by_draw(plan, ["a", "b"], frame, scale, salts=1).collect()}
+    assert one == pytest.approx(got)
+    with pytest.raises(Exception, match="decay must be"):
+        media.media_by_draw(plan, ["a", "b"], frame.withColumn("decay", F.lit(1.0)), scale).collect()
