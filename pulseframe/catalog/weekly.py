@@ -146,10 +146,26 @@ def _some_times(spark, d):
   (SELECT count(ts) FROM q) AS rows_with_timestamp, (SELECT count(*) - count(ts) FROM q) AS rows_without_timestamp,
   (SELECT count(*) FROM sp) AS observed_periods, (SELECT count(*) FROM c) AS non_empty_periods, 'minimal' AS complexity_tier,
   (SELECT count(*) FROM c) AS longest_dense_run, 0::BIGINT AS gaps,
-  (SELECT count(*) FROM cal WHERE (SELECT count(*) FROM sp WHERE ps < event_date) >= 2 AND (SELECT count(*) FROM sp WHERE ps >= event_date) >= 2) AS usable_event_periods"""))
+  (SELECT count(*) FROM cal WHERE (SELECT count(*) FROM sp WHERE ps < event_date) >= 2 AND (SELECT count(*) FROM sp WHERE ps >= event_date) >= 2) AS usable_event_periods,
+  {', '.join(f"{rsql(v)} AS comments_per_period_{n}" for n, v in (("min", "min(n)"), ("p25", "quantile_cont(n, 0.25)"), ("median", "median(n)"), ("p75", "quantile_cont(n, 0.75)"), ("max", "max(n)"), ("mean", "avg(n)")))}
+  FROM (SELECT coalesce(c.n, 0) AS n FROM sp LEFT JOIN c USING (ps))"""))
 def _(spark, d):
     out = weekly.coverage_audit(_some_times(spark, d), calendar=calendar(spark))
-    return out.withColumns({"earliest": stamp("earliest"), "latest": stamp("latest")})
+    return out.withColumns({"earliest": stamp("earliest"), "latest": stamp("latest"), **{c: rnd(c) for c in out.columns if c.startswith("comments_per_period")}})
+
+
+@query("d9_coverage_details", with_views("ev cal", f""", q AS (SELECT event_type AS source, CASE WHEN day(ts) % 5 < 2 THEN NULL ELSE date_trunc('day', ts) END AS ps FROM ev),
+  c AS (SELECT ps, count(*) AS n FROM q WHERE ps IS NOT NULL GROUP BY 1),
+  sp AS (SELECT unnest(generate_series((SELECT min(ps) FROM c), (SELECT max(ps) FROM c), INTERVAL 1 DAY)) AS ps),
+  g AS (SELECT ps, row_number() OVER (ORDER BY ps) - row_number() OVER (PARTITION BY n IS NULL ORDER BY ps) AS grp, n FROM sp LEFT JOIN c USING (ps)),
+  e AS (SELECT event_name, event_date, (SELECT count(*) FROM sp WHERE ps < event_date) AS b, (SELECT count(*) FROM sp WHERE ps >= event_date) AS a FROM cal)
+  SELECT 'source' AS section, source AS item, CAST(NULL AS VARCHAR) AS start, CAST(NULL AS VARCHAR) AS "end", count(DISTINCT ps) AS periods, CAST(NULL AS BIGINT) AS periods_before,
+    CAST(NULL AS BIGINT) AS periods_after, CAST(NULL AS BOOLEAN) AS usable FROM q WHERE ps IS NOT NULL GROUP BY source
+  UNION ALL SELECT 'gap', NULL, {ssql('min(ps)')}, {ssql('max(ps)')}, count(*), NULL, NULL, NULL FROM g WHERE n IS NULL GROUP BY grp HAVING count(*) >= 2
+  UNION ALL SELECT 'event', event_name, {ssql('event_date')}, NULL, NULL, b, a, b >= 2 AND a >= 2 FROM e"""))
+def _(spark, d):
+    rows = events(spark, d).select(F.col("event_type").alias("source"), F.when(F.dayofmonth("ts") % 5 >= 2, F.col("ts")).alias("timestamp"))
+    return weekly.coverage_details(rows, "D", calendar(spark)).withColumns({"start": stamp("start"), "end": stamp("end")})
 
 
 @query("c18_event_usability", with_views("ev cal", _COVER_SQL + """, u AS (SELECT event_name, (SELECT count(*) FROM sp WHERE ps < event_date) AS periods_before,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions import intent, scoring, timing
 from pulseframe.operators import calendar as cal_ops
 from pulseframe.operators import series
-from pulseframe.session import require_columns, side_by_side
+from pulseframe.session import materialise, require_columns, side_by_side
 
 # --- fixed values -------------------------------------------------------------
 PLATFORMS = ("youtube", "reddit")
@@ -156,7 +156,10 @@ def daily_sentiment(df: DataFrame) -> DataFrame:
 def coverage_audit(
     df: DataFrame, freq: str = "W-MON", calendar: DataFrame | None = None, min_event_periods: int = 2
 ) -> DataFrame:
-    """One row with range, period counts, longest dense run, gaps and usable events."""
+    """One row with range, period counts and their quantiles, longest dense run, gaps and usable events.
+
+    What has as many entries as there are sources, gaps or events is in ``coverage_details``.
+    """
     periods = period_counts(df, "timestamp", freq)
     rows = df.agg(
         F.min("timestamp").alias("earliest"),
@@ -172,13 +175,37 @@ def coverage_audit(
         F.coalesce(F.max("longest_dense_run"), F.lit(0).cast("bigint")).alias("longest_dense_run")
     )
     gaps = series.gap_runs(periods, [], "period_start", "total_comments").agg(F.count("*").alias("gaps"))
-    parts = [rows, shape, dense, gaps]
+    spread = count_quantiles(periods).select([F.col(c).alias(f"comments_per_period_{c}") for c in ("min", "p25", "median", "p75", "max", "mean")])
+    parts = [rows, shape, dense, gaps, spread]
     if calendar is not None:
         usable = cal_ops.event_usability(periods, calendar, "period_start", min_event_periods)
         parts.append(usable.agg(F.count_if("usable").alias("usable_event_periods")))
     return side_by_side(*parts)
 
 
+def coverage_details(
+    df: DataFrame, freq: str = "W-MON", calendar: DataFrame | None = None, min_event_periods: int = 2, min_gap: int = 2
+) -> DataFrame:
+    """The lists of the audit record as rows (section, item, start, end, periods, periods_before, periods_after, usable).
+
+    Sections are ``source`` (periods with rows of it), ``gap`` (runs of empty periods, with their first and last) and
+    ``event`` (date, periods before and after, usable). Without timestamps there are no rows, as there is no period.
+    """
+    periods = materialise(period_counts(df, "timestamp", freq), "periods")
+    found = periods_per_source(df, freq).select(F.lit("source").alias("section"), F.col("source").cast("string").alias("item"), "periods")
+    gaps = series.gap_runs(periods, [], "period_start", "total_comments", min_gap).select(F.lit("gap").alias("section"), "start", "end", "periods")
+    out = found.unionByName(gaps, allowMissingColumns=True)
+    if calendar is not None and not periods.isEmpty():
+        judged = cal_ops.event_usability(periods, calendar, "period_start", min_event_periods)
+        out = out.unionByName(judged.select(
+            F.lit("event").alias("section"), F.col("event_name").alias("item"), F.col("event_date").alias("start"), "periods_before", "periods_after", "usable"
+        ), allowMissingColumns=True)
+    else:
+        kinds = {"periods_before": "bigint", "periods_after": "bigint", "usable": "boolean"}
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    return out.select("section", "item", "start", "end", "periods", "periods_before", "periods_after", "usable")
+
+
 def weekly_dataset(
     signals: DataFrame,
     calendar: DataFrame | None = None,

@@ -237,3 +237,15 @@ def test_media_by_draw_equals_a_loop(spark):
     assert one == pytest.approx(got)
     with pytest.raises(Exception, match="decay must be"):
         media.media_by_draw(plan, ["a", "b"], frame.withColumn("decay", F.lit(1.0)), scale).collect()
+
+
+def test_coverage_details(spark):
+    days = [("a", "2024-01-01 05:00:00"), ("b", "2024-01-02 00:00:00"), ("a", "2024-01-06 10:00:00"), (None, "2024-01-06 11:00:00"), ("c", None)]
+    df = spark.createDataFrame(days, "source string, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    plan = calendar.prepare_calendar(spark.createDataFrame([("2024-01-03", "Mid"), ("2024-01-01", "First")], "event_date string, event_name string"))
+    got = weekly.coverage_details(df, "D", plan).collect()
+    assert sorted((r.item or "", r.periods) for r in got if r.section == "source") == [("", 1), ("a", 2), ("b", 1)]
+    assert [(r.start.day, r.end.day, r.periods) for r in got if r.section == "gap"] == [(3, 5, 3)]
+    assert sorted((r.item, r.periods_before, r.periods_after, r.usable) for r in got if r.section == "event") == [("First", 0, 6, False), ("Mid", 2, 4, True)]
+    assert weekly.coverage_details(df.where("timestamp is null"), "D", plan).count() == 0
+    assert {r.section for r in weekly.coverage_details(df, "D").collect()} == {"source", "gap"}
