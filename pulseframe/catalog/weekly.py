@@ -20,6 +20,8 @@ from pulseframe.catalog.base import (
 )
 from pulseframe.operators import calendar as cal_ops
 from pulseframe.operators import series, weekly
+from pulseframe.plans import weekly as weekly_plan
+from pulseframe.sources import landing
 
 _PERIOD_SQL = """, g AS (SELECT date_trunc('week', timestamp) AS ps, count(*) AS n,
     count(*) FILTER (lower(source) LIKE '%src1%') AS src1, count(*) FILTER (lower(source) LIKE '%src2%') AS src2,
@@ -99,6 +101,24 @@ def _(spark, d):
                       "event_window", "evaluation_status", "volume_representative")
 
 
+_FACTS = ("evaluation_status", "volume_representative", "sample_only", "manifest_found", "primary_target", "primary_target_available", "rows_with_probability",
+          "rows_without_probability", "rows_with_timestamp", "observed_periods", "non_empty_periods", "videos", "rows_fetched", "failed_videos", "cap_hit_videos", "seed_capped")
+
+
+@query("k16_weekly_facts", with_views(_BASE, """, per AS (SELECT parent_id, count(*) AS n FROM ssig WHERE parent_id IS NOT NULL GROUP BY 1),
+  pd AS (SELECT min(date_trunc('week', timestamp)) AS lo, max(date_trunc('week', timestamp)) AS hi, count(DISTINCT date_trunc('week', timestamp)) AS k, count(timestamp) AS t FROM ssig),
+  pr AS (SELECT count(*) FILTER (actionable_probability IS NOT NULL AND coalesce(probability_source, '') <> 'unavailable') AS w, count(*) AS a FROM ssig),
+  co AS (SELECT count(*) AS v, CAST(sum(n) AS BIGINT) AS r, count(*) FILTER (n >= 10) AS h FROM per)
+  SELECT CASE WHEN h > 0 THEN 'seed_capped_dataset' ELSE 'full_dataset' END AS evaluation_status, h = 0 AS volume_representative, false AS sample_only, true AS manifest_found,
+    'actionable_probability_mass' AS primary_target, w > 0 AS primary_target_available, w AS rows_with_probability, a - w AS rows_without_probability, t AS rows_with_timestamp,
+    CAST(date_diff('day', lo, hi) / 7 + 1 AS BIGINT) AS observed_periods, k AS non_empty_periods, v AS videos, r AS rows_fetched, 0::BIGINT AS failed_videos, h AS cap_hit_videos, h > 0 AS seed_capped
+  FROM pd, pr, co"""))
+def _(spark, d):
+    sig = scored_signals(spark, d)
+    seeds = sig.select(F.col("parent_id").alias("video_id")).where("video_id is not null").distinct()
+    return weekly_plan.build_weekly(sig, calendar(spark), manifest=landing.manifest(seeds, sig, 10))[1].select(*_FACTS)
+
+
 _SPARSE_SQL = """, c AS (SELECT event_type || '-' || user_id AS series_id, date_trunc('day', ts) AS ps, count(*) AS n FROM ev GROUP BY 1, 2),
   sp AS (SELECT series_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ps FROM (SELECT series_id, min(ps) AS lo, max(ps) AS hi FROM c GROUP BY 1)),
   dd AS (SELECT sp.series_id, sp.ps, coalesce(n, 0) AS n FROM sp LEFT JOIN c USING (series_id, ps)),

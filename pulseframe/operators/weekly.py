@@ -206,6 +206,10 @@ def coverage_details(
     return out.select("section", "item", "start", "end", "periods", "periods_before", "periods_after", "usable")
 
 
+def evaluation_status(demo: bool, seed_capped: bool) -> str:
+    return STATUS_DEMO if demo else STATUS_SEED_CAPPED if seed_capped else STATUS_FULL
+
+
 def weekly_dataset(
     signals: DataFrame,
     calendar: DataFrame | None = None,
@@ -215,10 +219,9 @@ def weekly_dataset(
     seed_capped: bool = False,
 ) -> DataFrame:
     """Period table stamped with its evaluation status and whether volumes are representative."""
-    status = STATUS_DEMO if demo else STATUS_SEED_CAPPED if seed_capped else STATUS_FULL
     return aggregate_periods(signals, freq, series_cols, calendar).withColumns(
         {
-            "evaluation_status": F.lit(status),
+            "evaluation_status": F.lit(evaluation_status(demo, seed_capped)),
             "volume_representative": F.lit(not demo and not seed_capped),
             "sample_only": F.lit(demo),
         }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pulseframe.functions import intent, text, timing
 from pulseframe.operators import backtest, calendar, cleaning, compare, evaluation, media, ordered, scores, series, splits, vectors, weekly
 from pulseframe.plans import signals as signal_plan
+from pulseframe.plans import weekly as weekly_plan
 from pulseframe.sources import landing
 
 
@@ -249,3 +250,20 @@ def test_coverage_details(spark):
     assert sorted((r.item, r.periods_before, r.periods_after, r.usable) for r in got if r.section == "event") == [("First", 0, 6, False), ("Mid", 2, 4, True)]
     assert weekly.coverage_details(df.where("timestamp is null"), "D", plan).count() == 0
     assert {r.section for r in weekly.coverage_details(df, "D").collect()} == {"source", "gap"}
+
+
+def test_weekly_facts(spark):
+    rows_ = [(f"p{i % 3}", "youtube", f"2024-01-{1 + i:02d} 08:00:00", "high_intent" if i % 2 else "nostalgia", 0.5 if i % 4 else None, "model", 0.1, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows_, "parent_id string, source string, timestamp string, intent_label string, actionable_probability double, probability_source string, vader_compound double, demand_score double")
+    df = df.withColumn("timestamp", F.to_timestamp("timestamp"))
+    with pytest.raises(ValueError, match="demo"):
+        weekly_plan.build_weekly(df, known=[df.limit(3), df.repartition(3)])
+    seeds = df.select(F.col("parent_id").alias("video_id")).distinct()
+    cases = [(dict(known=[df], demo=True), "demo_only", False), (dict(), "full_dataset", True),
+             (dict(manifest=landing.manifest(seeds, df, 7)), "seed_capped_dataset", False), (dict(manifest=landing.manifest(seeds, df, 8)), "full_dataset", True)]
+    for options, status, representative in cases:
+        table, facts = weekly_plan.build_weekly(df, **options)
+        fact = facts.first()
+        assert (fact.evaluation_status, fact.volume_representative, fact.rows_with_probability, fact.rows_without_probability) == (status, representative, 15, 5)
+        assert {r.evaluation_status for r in table.collect()} == {status} and fact.observed_periods == table.count() == 3
+        assert fact.source_dataset_hash == landing.content_hash(df).first()[0] and fact.manifest_found == ("manifest" in options)
