@@ -70,18 +70,27 @@ def assign_groups(df: DataFrame, seed: int = 42, fractions: Mapping[str, float]
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
         raise ValueError(f"the shares {dict(fractions)} must add up to 1")
-    place = F.conv(F.substring(hashed(F.col("group_key"), seed), 1, 13), 16, 10).cast("double").alias("place")
-    sizes = materialise(df.groupBy("group_key").agg(F.count("*").alias("rows")).select("group_key", "rows", place), "groups")
-    by_hash = materialise(sizes.groupBy("place").agg(F.sum("rows").alias("rows")), "places")
-    placed = running_totals(by_hash, [], "place", {"_upto": "rows"}, descending=False)
-    total = F.lit(by_hash.agg(F.sum("rows")).first()[0])
+    sizes = materialise(df.groupBy("group_key").agg(F.count("*").alias("rows")), "groups")
+    return _splits_by_seed(sizes, [seed], fractions).drop("seed")
+
+
+def _splits_by_seed(sizes: DataFrame, seeds: Sequence[int], fractions: Mapping[str, float]) -> DataFrame:
+    """(seed, group_key, split) of all seeds at once, from ``sizes (group_key, rows)``."""
+    place = F.lit(None).cast("double")
+    for seed in seeds:
+        place = F.when(F.col("seed") == seed, F.conv(F.substring(hashed(F.col("group_key"), seed), 1, 13), 16, 10).cast("double")).otherwise(place)
+    every = F.explode(F.array(*[F.lit(seed) for seed in seeds])).alias("seed")
+    sized = materialise(sizes.select("group_key", "rows", every).withColumn("place", place), "seeded")
+    by_hash = materialise(sized.groupBy("seed", "place").agg(F.sum("rows").alias("rows")), "places")
+    placed = running_totals(by_hash, ["seed"], "place", {"_upto": "rows"}, descending=False)
+    total = F.lit(sizes.agg(F.sum("rows")).first()[0])
     middle = (F.col("_upto") - F.col("rows") / 2.0) / total
     cut, split = 0.0, None
     for name, share in fractions.items():
         cut += share
         split = F.when(middle < cut, name) if split is None else split.when(middle < cut, name)
-    places = placed.select("place", split.otherwise(list(fractions)[-1]).alias("split"))
-    return sizes.join(places, "place").select("group_key", "split")
+    places = placed.select("seed", "place", split.otherwise(list(fractions)[-1]).alias("split"))
+    return sized.join(places, ["seed", "place"]).select("seed", "group_key", "split")
 
 
 def group_split(df: DataFrame, seed: int = 42, group: str = "parent_id", record: str = "record_id", fractions: Mapping[str, float] = FRACTIONS) -> DataFrame:
@@ -113,21 +122,14 @@ def split_manifest(df: DataFrame, group: str = "parent_id", seed: int = 42) -> D
 
 
 def split_support(df: DataFrame, seeds: Sequence[int], label: str, part: str = "test", taxonomy: Sequence[str] = intent.TAXONOMY) -> DataFrame:
-    """Class support of one split for each seed."""
-    rows = effective_groups(df)
-    frames = []
-    for seed in seeds:
-        placed = rows.join(assign_groups(rows, seed), "group_key").filter(F.col("split") == part)
-        frames.append(
-            placed.agg(
-                F.lit(seed).alias("seed"), F.count("*").alias("test_rows"), F.count_distinct("group_key").alias("test_groups"),
-                *[F.count_if(F.col(label) == c).alias(c) for c in taxonomy],
-            )
-        )
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
+    """Class support of one split for each seed. The rows are read once, into class counts per group."""
+    groups = effective_groups(df).groupBy("group_key").agg(F.count("*").alias("rows"), *[F.count_if(F.col(label) == c).alias(c) for c in taxonomy])
+    groups = materialise(groups, "support")
+    placed = groups.join(_splits_by_seed(groups.select("group_key", "rows"), seeds, FRACTIONS), "group_key")
+    mine = F.col("split") == part
+    counts = [F.coalesce(F.sum(F.when(mine, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in taxonomy]
+    return placed.groupBy("seed").agg(
+        F.coalesce(F.sum(F.when(mine, F.col("rows"))), F.lit(0)).cast("bigint").alias("test_rows"), F.count_if(mine).alias("test_groups"), *counts)
 
 
 def zero_support(support: DataFrame, taxonomy: Sequence[str] = intent.TAXONOMY) -> DataFrame:

@@ -156,7 +156,9 @@ class BinaryStage:
             self.calibrator = LogisticRegression(regParam=1e-6, standardization=False, maxIter=1000).fit(rows)
         else:
             self.isotonic = True
-            self.calibrator = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(scored)
+            # Rows of one score count as their mean with their number as weight, which gives the same fit from fewer rows.
+            by_score = scored.groupBy("raw_score").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+            self.calibrator = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight").fit(by_score)
         return self
 
     def scores(self, df: DataFrame) -> DataFrame:

@@ -267,3 +267,26 @@ def test_weekly_facts(spark):
         assert (fact.evaluation_status, fact.volume_representative, fact.rows_with_probability, fact.rows_without_probability) == (status, representative, 15, 5)
         assert {r.evaluation_status for r in table.collect()} == {status} and fact.observed_periods == table.count() == 3
         assert fact.source_dataset_hash == landing.content_hash(df).first()[0] and fact.manifest_found == ("manifest" in options)
+
+
+def test_support_of_all_seeds_equals_each_split(spark):
+    data = [(f"r{i}", f"g{i * i % 17}", "high_intent" if i % 3 else "general_discussion") for i in range(200)]
+    df = spark.createDataFrame(data, "record_id string, parent_id string, label string")
+    got = {r.seed: r for r in splits.split_support(df, [1, 2, 42], "label").collect()}
+    for seed in (1, 2, 42):
+        part = splits.effective_groups(df).join(splits.assign_groups(splits.effective_groups(df), seed), "group_key").where("split = 'test'").collect()
+        r = got[seed]
+        assert (r.test_rows, r.test_groups) == (len(part), len({x.group_key for x in part}))
+        assert (r.high_intent, r.general_discussion) == (sum(x.label == "high_intent" for x in part), sum(x.label == "general_discussion" for x in part))
+
+
+def test_isotonic_on_score_counts_equals_rows(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    data = [(float(i * 7 % 13) / 13, float((i * i + i // 5) % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(data, "raw_score double, label double")
+    counts = df.groupBy("raw_score").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    rows_fit = IsotonicRegression(featuresCol="raw_score", labelCol="label").fit(df)
+    counts_fit = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight").fit(counts)
+    for x in [i / 40 for i in range(41)]:
+        assert counts_fit.predict(x) == pytest.approx(rows_fit.predict(x))
