@@ -46,6 +46,31 @@ def test_rounds_raise_the_likelihood():
         model, last = hmm._updated(starts, moves, emissions, shares), total
 
 
+def test_passes_by_shard_reach_the_likelihood_of_18_rounds(spark, monkeypatch):
+    """The counts of a step equal those of its texts, and three passes end no lower than 18 rounds over all texts at once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    seen = {}
+    real = hmm.train
+
+    def keep(training, vocabulary, *rest):
+        seen.update(rows=training.collect(), vocabulary=vocabulary, counts=hmm._shard_counts(training.where("shard = 3"), hmm._first(vocabulary, 8)))
+        seen["model"] = real(training, vocabulary, *rest)
+        return seen["model"]
+
+    monkeypatch.setattr(hmm, "train", keep)
+    hmm.score_texts(docs)
+    parts = [(r.shard, np.frombuffer(r.symbols, np.int16).astype(int), np.frombuffer(r.pieces, np.int16).astype(int)) for r in seen["rows"]]
+    symbols, sizes = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    assert len(symbols) == sizes.sum() == seen["vocabulary"].tokens and len({p[0] for p in parts}) == hmm.SHARDS
+    plain = hmm._first(seen["vocabulary"], 8)
+    third = [p for p in parts if p[0] == 3]
+    starts, moves, emissions, _ = hmm.expected(plain, np.concatenate([p[1] for p in third]), np.concatenate([p[2] for p in third]))
+    assert np.allclose(seen["counts"], np.concatenate([starts[None], moves, emissions]))
+    for _ in range(18):
+        plain = hmm._updated(*hmm.expected(plain, symbols, sizes)[:3], seen["vocabulary"].shares)
+    assert hmm.forward(seen["model"], symbols, sizes).sum() >= hmm.forward(plain, symbols, sizes).sum()
+
+
 def test_counts_base_and_score(spark, monkeypatch):
     monkeypatch.setattr(hmm, "FREQUENT", 50)
     data = rows(n=120)
