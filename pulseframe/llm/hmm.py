@@ -111,7 +111,8 @@ def _encoder(frequent: list[bytes], classes_at: int):
             rare = np.flatnonzero(~hit)
             _, first, inverse = np.unique(codes[rare], return_index=True, return_inverse=True)
             names = [words.word(i) for i in rare[first].tolist()]
-            symbol[rare] = (_class_of(names)[inverse] + classes_at).astype(np.int16) if len(names) else 0
+            classes = _class_of(names)
+            symbol[rare] = (classes[inverse] + classes_at).astype(np.int16) if len(names) else 0
             # Symbols with an end behind each text.
             n = words.counts + 1
             out = np.full(int(n.sum()), classes_at + CLASSES, np.int16)
@@ -120,7 +121,7 @@ def _encoder(frequent: list[bytes], classes_at: int):
             one = lambda x, kind: pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary())
             yield pa.record_batch({
                 "docs": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), "held": pa.array([rows.column("held").to_pylist()], pa.list_(pa.bool_())),
-                "shards": one(rows.column("shard").to_numpy(), np.int16), "sizes": one(n, np.int32), "symbols": one(out, np.int16), "words": pa.array([names], pa.list_(pa.binary())),
+                "shards": one(rows.column("shard").to_numpy(), np.int16), "sizes": one(n, np.int32), "symbols": one(out, np.int16), "words": pa.array([names], pa.list_(pa.binary())), "classes": one(classes, np.int16),
                 "owner": one(key // max(1, len(names)), np.int32), "word": one(key % max(1, len(names)), np.int32), "times": one(times, np.int32)})
 
     return encode
@@ -320,22 +321,22 @@ def _forward_batches(model: Model, frequent_base: np.ndarray, frequent: int, end
                     "batch": pa.array([row["batch"]], pa.int64()), "docs": one(row["docs"], pa.int64()), "held": one(row["held"], pa.bool_()),
                     "tokens": one(sizes, pa.int64()), "known": one(known.astype(np.int64), pa.int64()),
                     "base": one(text_sums(frequent_base[symbols], text, len(sizes)), pa.float64()), "score": one(forward(model, symbols, sizes), pa.float64()),
-                    "owner": pa.array([row["owner"]], pa.binary()), "word": pa.array([row["word"]], pa.binary()), "times": pa.array([row["times"]], pa.binary())})
+                    "classes": pa.array([row["classes"]], pa.binary()), "owner": pa.array([row["owner"]], pa.binary()), "word": pa.array([row["word"]], pa.binary()), "times": pa.array([row["times"]], pa.binary())})
 
     return run
 
 
 def _final_batches(tokens: int, kinds: int, class_base: np.ndarray):
-    """Adds the words outside the frequent ones, whose counts have been joined."""
+    """Adds the words outside the frequent ones, whose counts have been joined; those without an answer were counted once."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 owner, word, times = (np.frombuffer(row[c], np.int32) for c in ("owner", "word", "times"))
-                found = row["found"] or []
-                count, which = np.zeros(len(found)), np.zeros(len(found), np.int64)
-                for f in found:
-                    count[f["i"]], which[f["i"]] = f["n"], f["class"]
+                which = np.frombuffer(row["classes"], np.int16)
+                count = np.ones(len(which))
+                for f in row["found"] or []:
+                    count[f["i"]] = f["n"]
                 n = len(row["docs"])
                 add = lambda x: text_sums(x * times, owner, n)
                 base = np.array(row["base"]) + add(np.log10((count + ADD) / (tokens + ADD * (kinds + 1)))[word])
@@ -353,7 +354,7 @@ def _asked_batches(batches):
         for row in batch.to_pylist():
             names = row["words"]
             yield pa.record_batch({"batch": pa.array([row["batch"]] * len(names), pa.int64()), "i": pa.array(range(len(names)), pa.int32()),
-                                   "word": pa.array(names, pa.binary()), "class": pa.array(_class_of(names), pa.int32())})
+                                   "word": pa.array(names, pa.binary())})
 
 
 def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -371,16 +372,17 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) ->
     vocabulary = Vocabulary(counts)
     frequent = len(vocabulary.frequent)
     encoded = rows.mapInArrow(_encoder(vocabulary.frequent, frequent),
-                              "docs array<long>, held array<boolean>, shards binary, sizes binary, symbols binary, words array<binary>, owner binary, word binary, times binary")
+                              "docs array<long>, held array<boolean>, shards binary, sizes binary, symbols binary, words array<binary>, classes binary, owner binary, word binary, times binary")
     encoded = materialise(encoded.withColumn("batch", F.monotonically_increasing_id()), "encoded")
     model = train(training_table(encoded, vocabulary.tokens), vocabulary, states, rounds)
     base = np.concatenate([vocabulary.base(vocabulary.counts), np.zeros(CLASSES), [vocabulary.base(np.array(vocabulary.ends))]])
     scored = encoded.drop("words", "shards").mapInArrow(_forward_batches(model, base, frequent, vocabulary.ends > 0),
                                "batch long, docs array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, score array<double>, "
-                               "owner binary, word binary, times binary")
-    asked = encoded.select("batch", "words").mapInArrow(_asked_batches, "batch long, i int, word binary, class int")
-    found = asked.join(counts.where("word is not null"), "word", "left").groupBy("batch").agg(
-        F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n"), "class")).alias("found"))
+                               "classes binary, owner binary, word binary, times binary")
+    asked = encoded.select("batch", "words").mapInArrow(_asked_batches, "batch long, i int, word binary")
+    # Most words outside the frequent ones occur once in the corpus, so that is the count of a word without an answer.
+    answers = asked.join(counts.where("word is not null"), "word", "left").select("batch", "i", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
+    found = answers.groupBy("batch").agg(F.collect_list(F.struct("i", "n")).alias("found"))
     class_base = np.log10(vocabulary.class_tokens + ADD * (vocabulary.class_kinds + 1))
     return scored.join(found, "batch", "left").mapInArrow(
         _final_batches(vocabulary.tokens, vocabulary.kinds, class_base),
