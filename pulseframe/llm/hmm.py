@@ -32,7 +32,7 @@ SHARDS = 16
 #: Passes over all training texts. Three reach -2.935 a token of sf0.1 (log10), 18 rounds that renew the model once a pass -2.953.
 ROUNDS = 3
 #: Training tokens of a task, and of one call of the recursions.
-TASK_TOKENS, CALL_TOKENS = 1_000_000, 400_000
+TASK_TOKENS, CALL_TOKENS = 2_000_000, 400_000
 #: Training texts are cut into pieces of so many tokens, each a sequence of its own; scored texts are never cut.
 PIECE = 256
 #: Bytes of text that are encoded, and asked for, as one batch.
