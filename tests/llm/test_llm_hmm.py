@@ -47,7 +47,10 @@ def test_rounds_raise_the_likelihood():
 
 
 def test_passes_by_shard_reach_the_likelihood_of_18_rounds(spark, monkeypatch):
-    """The counts of a step equal those of its texts, and three passes end no lower than 18 rounds over all texts at once."""
+    """The counts of a step equal those of its texts, and on this table three passes end no lower than 18 rounds over all texts at once.
+
+    That holds for the fixed start and this table; from other starts either can end higher (README).
+    """
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     seen = {}
     real = hmm.train
