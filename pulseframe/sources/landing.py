@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.functions import text, timing
+from pulseframe.session import materialise
 
 # --- fixed values -------------------------------------------------------------
 REQUIRED_COLUMNS = ("source", "record_type", "id", "text", "timestamp", "engagement", "permalink", "parent_id", "metadata")
@@ -35,18 +36,32 @@ def usable_files(spark: SparkSession, folder: str, required: Sequence[str] = REQ
     heads = located.filter(F.col("at") == 0).groupBy("path").agg(F.first("value").alias("header"))
     names = F.transform(F.split("header", ","), lambda c: F.trim(c, F.lit(' "\r﻿')))
     wanted = F.array(*[F.lit(c) for c in required])
-    return heads.withColumn("missing", F.array_except(wanted, names)).withColumn("usable", F.size("missing") == 0)
+    return heads.withColumns({"names": names, "missing": F.array_except(wanted, names)}).withColumn("usable", F.size("missing") == 0)
 
 
 def load_raw_signals(spark: SparkSession, folder: str, sources: Sequence[str] = ("reddit", "youtube")) -> DataFrame:
-    """A1: rows of every usable file below ``folder/<source>``; raises when there is none."""
+    """A1: rows of every usable file below ``folder/<source>``; raises when there is none.
+
+    Files are read by position in one scan per source, and each row takes its columns from where the header of its
+    file has them. No path reaches the driver.
+    """
     frames = []
     for source in sources:
-        files = usable_files(spark, f"{folder.rstrip('/')}/{source}").filter("usable").select("path", "header")
-        # Files with one header can be read together; the number of headers is small.
-        for row in files.groupBy("header").agg(F.collect_list("path").alias("paths")).collect():
-            raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(row["paths"])
-            frames.append(raw.select(*REQUIRED_COLUMNS))
+        below = f"{folder.rstrip('/')}/{source}"
+        files = materialise(usable_files(spark, below).filter("usable").select("path", "names"), "headers")
+        widest = files.agg(F.max(F.size("names"))).first()[0]
+        if widest is None:
+            continue
+        places = [f"c{i}" for i in range(widest)]
+        # With a schema of its own the reader only skips each file's first line.
+        raw = (
+            spark.read.schema(", ".join(f"{c} string" for c in places))
+            .option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"')
+            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(below)
+        )
+        rows = raw.select(F.col("_metadata.file_path").alias("path"), F.array(*places).alias("values")).join(files, "path")
+        at = lambda c: F.get("values", F.array_position("names", c).cast("int") - 1).alias(c)
+        frames.append(rows.select(*[at(c) for c in REQUIRED_COLUMNS]))
     if not frames:
         raise ValueError(f"no usable raw signal CSV files below {folder}")
     out = frames[0]
