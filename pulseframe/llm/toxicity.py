@@ -27,22 +27,49 @@ LEAST = 2
 TOP = 3
 #: A row is held out of learning if crc32 of its id leaves 0.
 FOLDS = 5
+#: Distinct words whose differences a task keeps between batches (16 bytes each).
+KEPT_WORDS = 1 << 20
 
 
 def held_out(folds: int = FOLDS):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def features(model: kneser.Model, texts: list) -> np.ndarray:
+class Differences:
+    """Difference of the two classes' log-likelihoods of a word. A word's value depends on its letters alone, so those of at
+    most ``limit`` distinct words are kept from batch to batch; a fuller store starts anew."""
+
+    def __init__(self, model: kneser.Model, limit: int = KEPT_WORDS):
+        self.model, self.limit = model, limit
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, words: Words) -> np.ndarray:
+        """The difference of each word."""
+        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        each = np.zeros(len(keys))
+        each[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            letters = kneser.Letters([words.word(i) for i in first[new].tolist()])
+            codes, place, owner = kneser.padded(letters, self.model.order)
+            logs = self.model.log10(codes, place)
+            each[new] = kneser.text_sums(logs[:, 1] - logs[:, 0], owner, len(new))
+            if len(self.keys) + len(new) > self.limit:
+                self.keys, self.values, at = np.zeros(0, np.uint64), np.zeros(0), np.zeros(len(keys), np.int64)
+            if len(new) <= self.limit:
+                self.keys, self.values = np.insert(self.keys, at[new], keys[new]), np.insert(self.values, at[new], each[new])
+        return each[inverse]
+
+
+def features(differences: Differences, texts: list) -> np.ndarray:
     """For each text: a constant, the normalised differences of log-likelihoods of the whole, and the greatest of a word and
     of TOP words together."""
     words = Words(texts, lower=True)
-    names, _, inverse = kneser.distinct_words(words)
-    letters = kneser.Letters(names)
-    codes, place, owner = kneser.padded(letters, model.order)
-    logs = model.log10(codes, place)
-    each = kneser.text_sums(logs[:, 1] - logs[:, 0], owner, len(names))
-    own = each[inverse]
+    own = differences.of(words)
     gain = kneser.text_sums(own, words.text, len(texts))
     order = np.lexsort((-own, words.text))
     rank = np.arange(len(own)) - words.first[:-1][words.text[order]]
@@ -66,8 +93,9 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
 
 def _feature_batches(model):
     def score(batches):
+        differences = Differences(model)
         for rows, texts in slices(batches, size=2_500_000):
-            x = features(model, texts)
+            x = features(differences, texts)
             yield pa.record_batch({"toxic": rows.column("toxic").cast(pa.int32()), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), x.shape[1]).cast(pa.list_(pa.float64()))})
 
     return score
@@ -75,8 +103,9 @@ def _feature_batches(model):
 
 def _score_batches(model, weights):
     def score(batches):
+        differences = Differences(model)
         for rows, texts in slices(batches, size=2_500_000):
-            p = 1 / (1 + np.exp(-np.clip(features(model, texts) @ weights, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(features(differences, texts) @ weights, -30, 30)))
             yield pa.record_batch({"doc_id": rows.column("doc_id"), "held_out": rows.column("held"), "score": pa.array(p),
                                    "predicted": pa.array((p >= 0.5).astype(np.int32))})
 

@@ -173,6 +173,34 @@ def test_toxicity_decides_alike_if_a_class_is_bounded(spark):
         assert abs(scores[bound] - 1 / 9) < 0.04
 
 
+@pytest.mark.parametrize("limit", [0, 40, 10_000])
+def test_word_differences_are_worked_out_once(limit):
+    """Values kept from earlier batches equal new ones, and a word met again is not worked out again."""
+    rng = np.random.default_rng(3)
+
+    class Counted(kneser.Model):
+        tokens = 0
+
+        def log10(self, codes, place):
+            self.tokens += len(place)
+            return super().log10(codes, place)
+
+    model = Counted(3, 50, 2)
+    letters = kneser.mix(np.arange(256, dtype=np.uint64) + np.uint64(3))
+    own = np.sort(kneser.grams(letters, 1)[1])
+    model.parts[1] = (own, rng.random((256, 2)) / 256), (np.zeros(1, np.uint64), np.full((1, 2), 0.5))
+    batches = [[t.encode() for t in texts(6, seed)] for seed in (1, 2, 1, 3)]
+    kept = toxicity.Differences(model, limit)
+    got = [toxicity.features(kept, b) for b in batches]
+    first = model.tokens
+    for b, x in zip(batches, got):
+        assert np.array_equal(toxicity.features(toxicity.Differences(model, 0), b), x)
+    assert len(kept.keys) <= limit
+    if limit == 10_000:
+        distinct = {w for b in batches for t in b for w in t.split()}
+        assert first == sum(len(w) + 1 for w in distinct)
+
+
 def test_bounded_rows(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert kneser.bounded_rows(ids, 10).select(F.count("*")).first()[0] == 10
