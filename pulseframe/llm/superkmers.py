@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.words import Words, slices, tagged, windows
+from pulseframe.llm.words import BATCH_BYTES, Words, slices, tagged, windows
 from pulseframe.session import materialise
 
 WINDOW = 13
@@ -82,52 +82,70 @@ def _plain(words: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
+def _super_kmers(rows: pa.RecordBatch, texts: list, late: np.ndarray, buckets: int):
+    """Bucket, string, doc_id, tag and word offset of each run of windows with one minimiser; none if no text has a window."""
+    words = Words(texts)
+    if len(words.starts) < WINDOW:
+        return None
+    grams = windows(words.hashes(), GRAM)
+    rank = grams >> np.uint64(1)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
+        rank[late[at] == grams] |= _LATE
+    least = _sliding_min(rank, WINDOW - GRAM + 1)
+    place = np.flatnonzero(_valid(words, WINDOW))
+    if not len(place):
+        return None
+    least = least[place]
+    cut = np.concatenate([[True], (least[1:] != least[:-1]) | (place[1:] != place[:-1] + 1)])
+    run = np.flatnonzero(cut)
+    start, size = place[run], np.diff(np.concatenate([run, [len(place)]]))
+    bucket = (least[run] % np.uint64(buckets)).astype(np.int64)
+    text, begin = _plain(words)
+    a, b = begin[start].tolist(), (begin[start + size + WINDOW - 1] - 1).tolist()
+    owner = words.text[start]
+    doc = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
+    tag = rows.column("tag").to_numpy(zero_copy_only=False).astype(np.int32)[owner]
+    return bucket, [text[x:y] for x, y in zip(a, b)], doc, tag, (start - words.first[owner]).astype(np.int32)
+
+
 def _packer(heavy: list[int], buckets: int):
     def pack(batches):
         late = np.array(heavy, np.int64).view(np.uint64)
         late.sort()
-        press = zstandard.ZstdCompressor(level=6)
-        for rows, texts in slices(batches, size=PACK_BYTES):
-            words = Words(texts)
-            if len(words.starts) < WINDOW:
-                continue
-            grams = windows(words.hashes(), GRAM)
-            rank = grams >> np.uint64(1)
-            if len(late):
-                at = np.minimum(np.searchsorted(late, grams), len(late) - 1)
-                rank[late[at] == grams] |= _LATE
-            least = _sliding_min(rank, WINDOW - GRAM + 1)
-            place = np.flatnonzero(_valid(words, WINDOW))
-            if not len(place):
-                continue
-            least = least[place]
-            cut = np.concatenate([[True], (least[1:] != least[:-1]) | (place[1:] != place[:-1] + 1)])
-            run = np.flatnonzero(cut)
-            start, size = place[run], np.diff(np.concatenate([run, [len(place)]]))
-            least = least[run]
-            bucket = (least % np.uint64(buckets)).astype(np.int64)
-            text, begin = _plain(words)
-            a, b = begin[start].tolist(), (begin[start + size + WINDOW - 1] - 1).tolist()
-            owner = words.text[start]
-            doc = rows.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owner]
-            tag = rows.column("tag").to_numpy(zero_copy_only=False).astype(np.int32)[owner]
-            offset = (start - words.first[owner]).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            strings = [text[a[i] : b[i]] for i in order.tolist()]
-            doc, tag, offset, bucket = doc[order], tag[order], offset[order], bucket[order]
-            edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            out = []
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                names: dict[bytes, int] = {}
-                which = np.array([names.setdefault(s, len(names)) for s in strings[x:y]], np.int32)
-                body = b"".join([np.array([y - x, len(names)], np.int64).tobytes(), np.diff(doc[x:y], prepend=0).tobytes(), which.tobytes(),
-                                 tag[x:y].tobytes(), offset[x:y].tobytes(), b"\n".join(names)])
-                out.append(press.compress(body))
-            yield pa.record_batch({"bucket": pa.array(bucket[edges[:-1]], pa.int64()), "block": pa.array(out, pa.binary())})
+        press, held, total = zstandard.ZstdCompressor(level=6), [], 0
+        # The arrays of words cover a slice; only its strings wait for the others of their pack.
+        for rows, texts in slices(batches):
+            if (found := _super_kmers(rows, texts, late, buckets)) is not None:
+                held.append(found)
+                total += sum(len(t) for t in texts if t)
+            if total >= PACK_BYTES:
+                yield _blocks(held, press)
+                held, total = [], 0
+        if held:
+            yield _blocks(held, press)
 
     return pack
 
 
+def _blocks(held: list, press: zstandard.ZstdCompressor) -> pa.RecordBatch:
+    """One compressed block for each bucket."""
+    bucket, doc, tag, offset = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 4))
+    every = [s for x in held for s in x[1]]
+    order = np.argsort(bucket, kind="stable")
+    strings = [every[i] for i in order.tolist()]
+    doc, tag, offset, bucket = doc[order], tag[order], offset[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    out = []
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        names: dict[bytes, int] = {}
+        which = np.array([names.setdefault(s, len(names)) for s in strings[x:y]], np.int32)
+        body = b"".join([np.array([y - x, len(names)], np.int64).tobytes(), np.diff(doc[x:y], prepend=0).tobytes(), which.tobytes(),
+                         tag[x:y].tobytes(), offset[x:y].tobytes(), b"\n".join(names)])
+        out.append(press.compress(body))
+    return pa.record_batch({"bucket": pa.array(bucket[edges[:-1]], pa.int64()), "block": pa.array(out, pa.binary())})
+
+
 def _open(blocks: list[bytes]):
     """Packed strings of all blocks, and of each place: doc, tag, word offset and the number of its string."""
     press, strings, parts = zstandard.ZstdDecompressor(), [], []
@@ -141,6 +159,23 @@ def _open(blocks: list[bytes]):
     return strings, [np.concatenate(x) for x in zip(*parts)]
 
 
+def _string_windows(strings: list[bytes]) -> list[np.ndarray]:
+    """Hash, string, word offset and the bytes from and to of every window; the words of a slice of the strings are held at once."""
+    parts, start, total = [], 0, 0
+    for i, s in enumerate(strings, 1):
+        total += len(s)
+        if total < BATCH_BYTES and i < len(strings):
+            continue
+        words = Words(strings[start:i])
+        place = np.flatnonzero(_valid(words, WINDOW))
+        owner = words.text[place]
+        before = words.starts[words.first[owner]]  # a string begins with a word
+        parts.append((windows(words.hashes(), WINDOW)[place], (owner + start).astype(np.int32), (place - words.first[owner]).astype(np.int32),
+                      (words.starts[place] - before).astype(np.int32), (words.ends[place + WINDOW - 1] - before).astype(np.int32)))
+        start, total = i, 0
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _bucket_runs(blocks: list[bytes]) -> pa.RecordBatch | None:
     """Runs of words (doc_id, tag, start, size) in this bucket that an earlier document has as well."""
     strings, (doc, tag, offset, which) = _open(blocks)
@@ -148,25 +183,25 @@ def _bucket_runs(blocks: list[bytes]) -> pa.RecordBatch | None:
     most = np.full(len(strings), np.iinfo(np.int64).min)
     np.minimum.at(least, which, doc)
     np.maximum.at(most, which, doc)
-    words = Words(strings)
-    place = np.flatnonzero(_valid(words, WINDOW))
-    value, owner = windows(words.hashes(), WINDOW)[place], words.text[place]
+    value, owner, at, begin, end = _string_windows(strings)
     order = np.argsort(value, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+    value = value[order]
+    cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
     low, high = np.minimum.reduceat(least[owner[order]], cut), np.maximum.reduceat(most[owner[order]], cut)
-    several = np.zeros(len(place), bool)
-    several[order] = np.repeat(low < high, np.diff(np.concatenate([cut, [len(place)]])))
-    place, owner = place[several], owner[several]
-    if not len(place):
+    several = np.zeros(len(owner), bool)
+    several[order] = np.repeat(low < high, np.diff(np.concatenate([cut, [len(owner)]])))
+    del value, order
+    owner, at, begin, end = owner[several], at[several], begin[several], end[several]
+    if not len(owner):
         return None
     # The windows that seem to meet are compared as strings.
-    a, b = words.starts[place].tolist(), words.ends[place + WINDOW - 1].tolist()
-    texts = [words.data[x:y] for x, y in zip(a, b)]
+    texts = [strings[o][x:y] for o, x, y in zip(owner.tolist(), begin.tolist(), end.tolist())]
     earliest: dict[bytes, int] = {}
     for text, d in zip(texts, least[owner].tolist()):
         if d < earliest.get(text, d + 1):
             earliest[text] = d
     first = np.array([earliest[t] for t in texts], np.int64)
+    del texts, earliest
     # Every place of a string with every such window of the string.
     begin = np.searchsorted(owner, np.arange(len(strings) + 1))
     n = np.diff(begin)[which]
@@ -177,7 +212,7 @@ def _bucket_runs(blocks: list[bytes]) -> pa.RecordBatch | None:
     row, window = row[hit], window[hit]
     if not len(row):
         return None
-    at = offset[row] + (place - words.first[owner])[window]
+    at = offset[row] + at[window]
     cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)]))
     size = np.diff(np.concatenate([cut, [len(row)]])) + WINDOW - 1
     row = row[cut]

@@ -1,5 +1,8 @@
 import hashlib
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from pulseframe.llm import superkmers
 from tests.llm.fixtures import frame, rows, words
@@ -65,3 +68,22 @@ def test_empty_table(spark):
     docs = frame(spark, rows()).limit(0)
     assert superkmers.removal_digest(docs).count() == 0
     assert superkmers.remove_repeats(docs).count() == 0
+
+
+def test_memory_of_a_task_in_proportion_to_its_strings():
+    """Arrays of words cover a slice of a pack or bucket, not the whole."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefghik") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    data = [" ".join(rng.choices(vocabulary, k=5000)) for _ in range(120)]
+    batch = pa.record_batch({"doc_id": pa.array(range(120), pa.int64()), "tag": pa.array([0] * 120, pa.int32()), "text": data})
+    size = sum(map(len, data))
+    tracemalloc.start()
+    try:
+        blocks = [b for found in superkmers._packer([], 1)(iter([batch])) for b in found.column("block").to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < 18 * size
+        tracemalloc.reset_peak()
+        assert superkmers._bucket_runs(blocks) is None
+        strings = sum(map(len, superkmers._open(blocks)[0]))
+        assert tracemalloc.get_traced_memory()[1] < 10 * strings, tracemalloc.get_traced_memory()[1] / strings
+    finally:
+        tracemalloc.stop()
