@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from pulseframe.functions import scoring
 from pulseframe.operators.draws import quantile
-from pulseframe.session import keyed
+from pulseframe.session import by_key, keyed
 
 # --- fixed values -------------------------------------------------------------
 SPEND_TOLERANCE = 1.25
@@ -25,7 +25,7 @@ RANK_CORRELATION = 0.5
 SEASON = 52.0
 SYNTHETIC = "synthetic"
 
-#: Copies of a plan's channel that draws meet, so that a few channels are many join keys.
+#: Tasks over which draws are spread at least; copies of a channel's response levels, so that a few channels are many join keys.
 SALTS = 64
 
 
@@ -160,19 +160,20 @@ def media_by_draw(
     """Media effect per (draw, channel, period) = beta x saturation of the scaled carry-over.
 
     ``draws (draw, channel, decay, alpha, theta, beta)``; ``scale (channel, spend_scale)``. The plan is one array of periods
-    for each channel, bounded by its number of periods, in ``salts`` copies; draws meet it on (channel, hash of the
-    draw), so the work spreads over draws and no row of a draw is shuffled by period.
+    for each channel, bounded by its number of periods, so it is sent to all tasks. Draws are dealt by their hash over at least
+    ``salts`` tasks, and again with their arrays, since a Python step keeps no partitioning: what groups or joins the periods of
+    a draw shuffles no expanded row.
     """
     long = plan_long(plan, [order_col], channels).join(scale, "channel")
     spend = F.when(F.col("spend") >= 0, F.col("spend") / F.col("spend_scale")).otherwise(F.raise_error(F.lit("spend cannot be negative")).cast("double"))
     periods = long.groupBy("channel").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("t"), spend.alias("x")))).alias("_periods"))
-    copies = periods.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     fine = (F.col("decay") >= 0) & (F.col("decay") < 1)
     checked = F.when(fine, F.col("decay")).otherwise(F.raise_error(F.lit("decay must be in [0, 1)")).cast("double"))
-    salted = draws.withColumns({"_d": checked, "_salt": F.pmod(F.xxhash64("draw"), F.lit(salts)).cast("int")})
-    carried = salted.join(copies, ["channel", "_salt"]).withColumn("_a", _carry(F.col("_periods.x"), F.col("_d")))
+    dealt = by_key(draws.withColumn("_d", checked), "draw", salts)
+    carried = dealt.join(F.broadcast(periods), "channel").withColumns({"_a": _carry(F.col("_periods.x"), F.col("_d")), "_t": F.col("_periods.t")})
+    carried = by_key(carried.drop("_periods"), "draw", 4 * salts)
     level = lambda a: scoring.hill(a * (1.0 - F.col("_d")), F.col("alpha"), F.col("theta")) * F.col("beta")
-    out = carried.select("draw", "channel", "_d", "alpha", "theta", "beta", F.inline(F.arrays_zip(F.col("_periods.t").alias("t"), F.col("_a").alias("a"))))
+    out = carried.select("draw", "channel", "_d", "alpha", "theta", "beta", F.inline(F.arrays_zip(F.col("_t").alias("t"), F.col("_a").alias("a"))))
     return out.select("draw", "channel", F.col("t").alias(order_col), level(F.col("a")).alias("effect"))
 
 
@@ -196,13 +197,14 @@ def expected_outcome(plan: DataFrame, media: DataFrame, effects: DataFrame, cons
     """Expected outcome per (draw, period).
 
     ``effects`` has one row per draw: baseline, trend, price_coefficient, promotion_coefficient,
-    event_coefficient, season_sin, season_cos. The season uses raw week numbers, the trend centred ones.
+    event_coefficient, season_sin, season_cos. The season uses raw week numbers, the trend centred ones. The plan has one row per
+    period and goes to all tasks; draws meet their effects in a hash table of a partition's draws, so their periods are never sorted.
     """
     per_period = media.groupBy("draw", order_col).agg(F.sum("effect").alias("media"))
     week = F.col(order_col)
     angle = F.lit(2.0) * F.pi() * week / F.lit(SEASON)
     centred = (week - F.lit(float(constants["week_mean"]))) / F.lit(float(constants["week_scale"]))
-    rows = per_period.join(plan.select(order_col, "price", "promotion", "event"), order_col).join(effects, "draw")
+    rows = per_period.join(F.broadcast(plan.select(order_col, "price", "promotion", "event")), order_col).join(effects.hint("shuffle_hash"), "draw")
     value = (
         F.lit(float(constants["sales_mean"])) + F.col("baseline") + F.col("trend") * centred + F.col("media")
         + F.col("price_coefficient") * (F.col("price") - F.lit(float(constants["price_mean"])))
