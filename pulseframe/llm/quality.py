@@ -1,22 +1,18 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is trained on rows that are labelled good. A document's perplexity is compared with a threshold of its language,
-a quantile of the perplexities of all good rows in that language that did not train the model.
+The model is trained on one half of all rows that are labelled good. A document's perplexity is compared with a threshold of its
+language, a quantile of the perplexities of the other half in that language, which did not train the model.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm import kneser
-from pulseframe.llm.words import Words, bound_batches, slices, text_rows
+from pulseframe.llm import gramtable, kneser
+from pulseframe.llm.words import text_rows
 from pulseframe.session import materialise
 
-#: Trusted rows that train the model, about, at most. All others give the thresholds.
-TRUSTED_ROWS = 4000
 ORDER = 2
 #: The threshold of a language: this share of its trusted rows lies at or below it.
 KEPT_SHARE = 0.995
@@ -26,18 +22,6 @@ LEAST_ROWS = 20
 BINS = 256
 
 
-def _score_batches(model):
-    def score(batches):
-        for rows, texts in slices(batches):
-            words = Words(texts, lower=True)
-            codes, place, text = kneser.padded(words, model.order)
-            total = kneser.text_sums(model.log10(codes, place)[:, 0], text, len(texts))
-            columns = {n: rows.column(n) for n in rows.schema.names if n != "text"}
-            yield pa.record_batch(columns | {"n_tokens": pa.array(words.counts + 1, pa.int64()), "log10_perplexity": pa.array(-total / (words.counts + 1))})
-
-    return score
-
-
 def quantiles(values: DataFrame, wanted: list[float]) -> DataFrame:
     """(lang, n, q0, q1, ...) of ``values(lang, v, k)``, k rows of value v: for each language the least value at or below which
     the wanted shares of its rows lie. Exact; only the counts of bins and the values of the bins found are sorted."""
@@ -54,31 +38,30 @@ def quantiles(values: DataFrame, wanted: list[float]) -> DataFrame:
     return found.groupBy("lang").agg(F.first("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"q{i}") for i in range(len(wanted))])
 
 
-def quality(docs: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, order: int = ORDER) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, trusted_rows: int | None = None, order: int = ORDER) -> DataFrame:
     """(doc_id, tag, lang, n_tokens, log10_perplexity, threshold, kept) for every row of ``docs(doc_id, lang, text)``.
 
-    Trusted are rows whose label ``quality`` is 1; half of at most 2 * ``trusted_rows`` of them, chosen by a hash of the id,
-    train the model, and all others set the thresholds; every document is scored. A doc_id with several labels counts with
-    the least. Texts without words (null, empty) have only their end token and are kept, there is nothing to judge. A null
-    language is a language. Without trusted rows there is no threshold and all rows are kept. ``tag`` tells apart rows
-    that repeat a doc_id.
+    Trusted are rows whose label ``quality`` is 1; about half of them, chosen by a hash of the id, train the model, and all others
+    set the thresholds; every document is scored. With ``trusted_rows`` at most so many, about, train the model. A doc_id with
+    several labels counts with the least. Texts without words (null, empty) have only their end token and are kept, there is
+    nothing to judge. A null language is a language. Without trusted rows there is no threshold and all rows are kept. ``tag``
+    tells apart rows that repeat a doc_id.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     good = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
-    chosen = kneser.bounded_rows(good.where("q = 1").select("doc_id"), 2 * trusted_rows)
-    chosen = spark.createDataFrame(chosen.collect(), "doc_id long")
+    # Written, so that its size is known when it is joined: only a small one is sent to all tasks.
+    good = materialise(good.where("q = 1").select("doc_id"), "good")
+    half = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))
+    chosen = good if trusted_rows is None else materialise(kneser.bounded_rows(good, 2 * trusted_rows), "chosen")
+    training = chosen.where(half == 0)
     tag = F.hash(F.coalesce(docs["text"], F.lit("")))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), tag.alias("tag"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"))
-    # A bounded broadcast: no text is shuffled to find the trusted rows.
-    half = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(2))
-    learn = rows.join(F.broadcast(chosen), "doc_id").withColumn("half", half)
-    model = kneser.train(learn.where("half = 0").select(F.lit(0).alias("group"), "text"), order)
-    scored = text_rows(rows, "doc_id", "tag", "lang", "text").mapInArrow(
-        _score_batches(model), "doc_id long, tag int, lang string, n_tokens long, log10_perplexity double")
-    scored = materialise(scored, "perplexities")
+    rows = text_rows(rows, "doc_id", "tag", "lang", "text")
+    # Written: the texts meet the labels once, and are read twice.
+    learn = materialise(rows.where(half == 0).join(training, "doc_id", "left_semi").select("text"), "learn")
+    model = gramtable.train(learn, order)
+    scored = materialise(gramtable.perplexities(rows, model), "perplexities")
     # All trusted rows that the model has not seen: ids and numbers, combined to one row per value before they are ordered.
-    trusted = good.where("q = 1").select("doc_id").join(F.broadcast(chosen.where(half == 0)), "doc_id", "left_anti")
+    trusted = good.join(training, "doc_id", "left_anti") if trusted_rows is not None else good.where(half == 1)
     told = scored.where("n_tokens > 1").join(trusted, "doc_id").groupBy("lang", F.col("log10_perplexity").alias("v")).agg(F.count("*").alias("k"))
     told = materialise(told, "trusted")
     by_lang = quantiles(told, [KEPT_SHARE]).where(F.col("n") >= LEAST_ROWS).select(F.col("lang").alias("l"), F.col("q0").alias("cut"))

@@ -204,3 +204,46 @@ def test_word_differences_are_worked_out_once(limit):
 def test_bounded_rows(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert kneser.bounded_rows(ids, 10).select(F.count("*")).first()[0] == 10
+
+
+def test_quality_model_learns_from_all_trusted_rows(spark):
+    """Words of rows beyond any bound of the sample are known: the perplexities are those of a model of the whole half."""
+    from pulseframe.llm import gramtable
+
+    train = [f"common w{i} v{i % 7} common" for i in range(9000)] + ["", None]
+    asked = ["common w8999 v4", "w17 v3 common common", "unknown common", "", None, "w5"]
+    table = gramtable.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), 2)
+    rows_ = spark.createDataFrame(list(enumerate(asked)), "no int, text string")
+    got = {r.no: r for r in gramtable.perplexities(rows_, table).collect()}
+    model = kneser.train(spark.createDataFrame([(0, t) for t in train], "group int, text string"), 2)
+    for i, text in enumerate(asked):
+        codes, place, _ = kneser.padded(Words([(text or "").encode()], lower=True), 2)
+        want = -float(model.log10(codes, place).sum()) / len(place)
+        assert got[i].n_tokens == len(place) and math.isclose(got[i].log10_perplexity, want, rel_tol=1e-9)
+
+    data = [(i, t, "en", "s") for i, t in enumerate(train)]
+    labels = spark.createDataFrame([(d, 1, 0) for d, *_ in data], "doc_id long, quality int, toxic int")
+    scored = {r.doc_id: r.log10_perplexity for r in quality.quality(frame(spark, data), labels).collect()}
+    ids = spark.range(len(train)).where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(2)) == 0)
+    half = [r.id for r in ids.collect()]
+    model = kneser.train(spark.createDataFrame([(0, train[i]) for i in half], "group int, text string"), 2)
+    for i in (half[0], half[-3], 1, 4500):
+        codes, place, _ = kneser.padded(Words([train[i].encode()], lower=True), 2)
+        assert math.isclose(scored[i], -float(model.log10(codes, place).sum()) / len(place), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_gram_table_equals_model_of_each_order(spark, monkeypatch, order):
+    """Also where most words have no short code, which then travel as hashes, and over several blocks and packs."""
+    from pulseframe.llm import gramtable
+
+    for name, value in (("SHORT_CODES", 20), ("BLOCK_BYTES", 2000), ("PACK_ENTRIES", 100), ("SHARDS", 3)):
+        monkeypatch.setattr(gramtable, name, value)
+    train, asked = texts(40, 71, 30), [*texts(20, 72, 20), "", "unknown words"]
+    table = gramtable.train(spark.createDataFrame([(t,) for t in train], "text string"), order)
+    rows_ = spark.createDataFrame(list(enumerate(asked)), "no int, text string")
+    got = [r.log10_perplexity for r in gramtable.perplexities(rows_, table).orderBy("no").collect()]
+    model = kneser.train(spark.createDataFrame([(0, t) for t in train], "group int, text string"), order)
+    for value, text in zip(got, asked, strict=True):
+        codes, place, _ = kneser.padded(Words([text.encode()], lower=True), order)
+        assert math.isclose(value, -float(model.log10(codes, place).sum()) / len(place), rel_tol=1e-9)
