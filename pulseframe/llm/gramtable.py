@@ -3,13 +3,15 @@
 The estimates are those of ``kneser``. The log10 probability of a text is a sum over its grams of all lengths: a gram of the
 model adds what it gains over backing off, a context the weight that it leaves to the next lower order, any other gram nothing.
 So one table (key, value) is the whole model. Texts send the distinct grams of a batch to shards of that table and get back one sum
-for each text and shard; no task holds more than one shard, and shards become more as the model grows.
+for each text and shard; no task holds more than one shard, and shards become more as the model grows. A bounded number of the most
+frequent entries is held by every task, so that texts send the other grams alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from pulseframe.session import materialise
 SHORT_CODES = 65_533
 #: Shards of the table: so many, or more, so that one holds about so many entries.
 SHARDS, SHARD_ENTRIES = 32, 8_000_000
+#: Most frequent grams of the highest order that every task holds, at most, besides the words with a short code.
+HELD = 1_000_000
 #: Text of one block of grams, and entries of the table that are packed at once.
-BLOCK_BYTES, PACK_ENTRIES = 3_000_000, 1_000_000
+BLOCK_BYTES, PACK_ENTRIES = 4_000_000, 1_000_000
 
 _HASHED = np.uint64(1 << 63)
 _PACKED = "shard int, kind int, batch long, n long, keys binary, texts binary, items binary, times binary"
@@ -36,12 +40,15 @@ _MODEL, _BLOCK, _ROWS = 0, 1, 2
 
 @dataclass
 class GramTable:
-    """``words`` are the sorted hashes of the words with a short code and ``codes`` these codes; ``base`` is what any token has."""
+    """``words`` are the sorted hashes of the words with a short code and ``codes`` these codes; ``base`` is what any token has.
+    ``held`` and ``gains`` are the sorted keys and the values of the entries outside ``table``."""
 
     order: int
     words: np.ndarray
     codes: np.ndarray
     base: float
+    held: np.ndarray
+    gains: np.ndarray
     table: DataFrame
     entries: int
 
@@ -105,6 +112,27 @@ def _cut(told: DataFrame) -> Column:
     return F.when(F.col("k") >= 3, F.lit(d[2])).when(F.col("k") == 2, F.lit(d[1])).otherwise(F.lit(d[0]))
 
 
+def _least_held(told: DataFrame) -> int:
+    """The least count ``k`` that at most ``HELD`` grams of ``told`` reach."""
+    upto = least = 0
+    for k, grams in sorted(told.groupBy("k").count().collect(), reverse=True):
+        upto += grams
+        if upto > HELD:
+            break
+        least = k
+    return least or 1 << 62
+
+
+def _gained(told: DataFrame, context: DataFrame, lower: DataFrame, shares: bool) -> DataFrame:
+    """(g, value[, p]): each join carries the gram and what it has beyond backing off, and its probability where a higher order needs it."""
+    more = (F.col("k") - F.col("cut")) / F.col("left")
+    weight = [(F.col("left") / F.col("total")).alias("w")] if shares else []
+    met = told.join(context, "c").select("g", "s", more.alias("more"), *weight)
+    gain = F.lit(1.0) + F.col("more") / F.col("low")
+    met = met.join(lower.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
+    return met.select("g", F.log10(gain).alias("value"), *([(F.col("w") * F.col("low") * gain).alias("p")] if shares else []))
+
+
 def train(rows: DataFrame, order: int) -> GramTable:
     """Fit to all ``rows(text)``. Without rows every token gets an equal share."""
     seen = rows.select("text").mapInArrow(_word_batches, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -118,7 +146,7 @@ def train(rows: DataFrame, order: int) -> GramTable:
     counts = materialise(counts.groupBy(f"g{order}").agg(F.sum("n").alias("n"), *rest), "grams")
     entries, counts = counts.count(), _whole(counts, order)
 
-    base, lower, parts = 0.0, None, []
+    base, lower, parts, often = 0.0, None, [], []
     for k in range(1, order + 1):
         names = ([F.first(f"c{k}").alias("c"), F.first(f"g{k - 1}").alias("s")]) if k > 1 else []
         if k == order:
@@ -130,27 +158,29 @@ def train(rows: DataFrame, order: int) -> GramTable:
         if k == 1:
             distinct, total, left = told.agg(F.count("*"), F.sum("k"), F.sum("cut")).first()
             if not distinct:
-                return GramTable(order, words, short, 0.0, told.select(F.col("g").alias("key"), F.col("cut").alias("value")), 0)
+                none = told.select(F.col("g").alias("key"), F.col("cut").alias("value"))
+                return GramTable(order, words, short, 0.0, np.zeros(0, np.uint64), np.zeros(0), none, 0)
             low = left / total / (distinct + 1)
             base = float(np.log10(low))
             own = told.select("g", ((F.col("k") - F.col("cut")) / F.lit(total) + F.lit(low)).alias("p")).withColumn("value", F.log10("p") - F.lit(base))
         else:
             context = materialise(told.groupBy("c").agg(F.sum("k").alias("total"), F.sum("cut").alias("left")), "contexts")
             parts.append(context.select(F.col("c").alias("key"), F.log10(F.col("left") / F.col("total")).alias("value")))
-            # Each join carries the gram and what it has beyond backing off, and its probability where a higher order needs it.
-            more = (F.col("k") - F.col("cut")) / F.col("left")
-            weight = [(F.col("left") / F.col("total")).alias("w")] if k < order else []
-            met = told.join(context, "c").select("g", "s", more.alias("more"), *weight)
-            gain = F.lit(1.0) + F.col("more") / F.col("low")
-            met = met.join(lower.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
-            own = met.select("g", F.log10(gain).alias("value"), *([(F.col("w") * F.col("low") * gain).alias("p")] if weight else []))
+            if k == order:
+                least = _least_held(told)
+                often.append(_gained(told.where(F.col("k") >= least), context, lower, False).select(F.col("g").alias("key"), "value"))
+                told = told.where(F.col("k") < least)
+            own = _gained(told, context, lower, k < order)
         if k < order:
             lower = own = materialise(own, "shares")
         parts.append(own.select(F.col("g").alias("key"), "value"))
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.unionAll(part)
-    return GramTable(order, words, short, base, table, entries)
+    # A word's gram and its context share a key. Short words are in the first two parts only.
+    single = F.col("key").between(1, (1 << 16) - 1)
+    table = reduce(DataFrame.unionAll, parts).where(~single)
+    held = reduce(DataFrame.unionAll, [*often, reduce(DataFrame.unionAll, parts[:2]).where(single).groupBy("key").agg(F.sum("value").alias("value"))]).toArrow()
+    keys, gains = held.column("key").to_numpy().view(np.uint64), held.column("value").to_numpy()
+    by = np.argsort(keys)
+    return GramTable(order, words, short, base, keys[by], gains[by], table, entries)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -205,8 +235,9 @@ def _table_batches(shards: int):
     return run
 
 
-def _text_batches(order: int, words: np.ndarray, short: np.ndarray, shards: int, names: list[str]):
-    """Blocks of (key, texts that hold it, times) for each shard, and the other columns of the rows."""
+def _text_batches(model: tuple, shards: int, names: list[str]):
+    """Blocks of (key, texts that hold it, times) for each shard, and the other columns of the rows with the sums of the held entries."""
+    order, words, short, known, gains = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
@@ -219,17 +250,27 @@ def _text_batches(order: int, words: np.ndarray, short: np.ndarray, shards: int,
             # A gram of the model counts where it ends at a token, a context where it ends before one.
             valid = [place >= max(order - 2, k) for k in range(order)]
             keys, inverse = np.unique(np.concatenate([x[v] for x, v in zip(_keys(codes, order, words, short), valid)]), return_inverse=True)
+            text = np.concatenate([text[v] for v in valid])
+            held = keys < np.uint64(1 << 16)
+            gain = np.zeros(len(keys))
+            if len(known):
+                at_known = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at_known] == keys
+                gain[hit], held = gains[at_known[hit]], held | hit
+            own = kneser.text_sums(gain[inverse], text, n)
+            sent = ~held[inverse]
+            keys, inverse, text = keys[~held], (np.cumsum(~held) - 1)[inverse[sent]], text[sent]
             shard = mix(keys) % np.uint64(shards)
             by = np.argsort(shard, kind="stable")
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            held, times = np.unique(rank[inverse] * n + np.concatenate([text[v] for v in valid]), return_counts=True)
+            held, times = np.unique(rank[inverse] * n + text, return_counts=True)
             keys, ends = keys[by], np.searchsorted(shard[by], np.arange(shards + 1))
             of, texts_of = np.divmod(held, n)
             per, bounds = np.bincount(of, minlength=len(keys)), np.searchsorted(of, ends)
             out = [(s, _BLOCK, part | at, n, _pack(_steps(keys[a:b])), _pack(_small(per[a:b])), _pack(_small(texts_of[i:j])), _pack(_small(times[i:j])))
                    for s, (a, b, i, j) in enumerate(zip(ends, ends[1:], bounds, bounds[1:])) if a < b]
-            facts = pa.record_batch({c: rows.column(c) for c in names} | {"n_tokens": pa.array(told.counts + 1, pa.int64())})
+            facts = pa.record_batch({c: rows.column(c) for c in names} | {"n_tokens": pa.array(told.counts + 1, pa.int64()), "own": pa.array(own, pa.float64())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, facts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_batch(facts)
@@ -267,7 +308,8 @@ def _sum_batches(base: float):
 
     def told(facts: bytes, sums: np.ndarray) -> pa.RecordBatch:
         rows = pa.ipc.open_stream(facts).read_all().combine_chunks().to_batches()[0]
-        tokens = rows.column("n_tokens").to_numpy()
+        sums, tokens = sums + rows.column("own").to_numpy(), rows.column("n_tokens").to_numpy()
+        rows = rows.select([c for c in rows.schema.names if c != "own"])
         return rows.append_column("log10_perplexity", pa.array(-(sums / tokens + base)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +333,8 @@ def perplexities(rows: DataFrame, model: GramTable) -> DataFrame:
     shards = max(SHARDS, -(-model.entries // SHARD_ENTRIES))
     kept = [f for f in rows.schema.fields if f.name != "text"]
     table = model.table.mapInArrow(_table_batches(shards), _PACKED)
-    blocks = rows.mapInArrow(_text_batches(model.order, model.words, model.codes, shards, [f.name for f in kept]), _PACKED)
+    held = (model.order, model.words, model.codes, model.held, model.gains)
+    blocks = rows.mapInArrow(_text_batches(held, shards, [f.name for f in kept]), _PACKED)
     met = table.unionAll(blocks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch")
     sums = met.mapInArrow(_lookup, "shard int, batch long, items binary")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, log10_perplexity double"

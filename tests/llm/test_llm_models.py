@@ -237,7 +237,7 @@ def test_gram_table_equals_model_of_each_order(spark, monkeypatch, order):
     """Also where most words have no short code, which then travel as hashes, and over several blocks and packs."""
     from pulseframe.llm import gramtable
 
-    for name, value in (("SHORT_CODES", 20), ("BLOCK_BYTES", 2000), ("PACK_ENTRIES", 100), ("SHARDS", 3)):
+    for name, value in (("SHORT_CODES", 20), ("HELD", 30), ("BLOCK_BYTES", 2000), ("PACK_ENTRIES", 100), ("SHARDS", 3)):
         monkeypatch.setattr(gramtable, name, value)
     train, asked = texts(40, 71, 30), [*texts(20, 72, 20), "", "unknown words"]
     table = gramtable.train(spark.createDataFrame([(t,) for t in train], "text string"), order)
