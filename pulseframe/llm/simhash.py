@@ -106,8 +106,10 @@ def linked(codes: DataFrame) -> DataFrame:
     probes = table.select("fp", "segment", "half", F.explode(ones).alias("bit")).select(
         (key - F.col("bit")).alias("bucket"), "fp")
     heads = members.groupBy("bucket").agg(F.min("fp").alias("head"), F.count("*").alias("members"))
-    fetched = probes.join(heads, "bucket").select("bucket", "fp", "head")
-    own = members.join(heads.where("members > 1").drop("members"), "bucket").where("fp <> head").select("bucket", "fp", "head")
+    # Both sides are some 2 and 32 rows a fingerprint, which Spark sizes like the small file they are made from: without the hint it would
+    # bring the probes to the driver and send them to all tasks.
+    fetched = probes.hint("merge").join(heads.hint("merge"), "bucket").select("bucket", "fp", "head")
+    own = members.hint("merge").join(heads.where("members > 1").drop("members").hint("merge"), "bucket").where("fp <> head").select("bucket", "fp", "head")
     rows = materialise(fetched.union(own), "fetched")
 
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= DISTANCE

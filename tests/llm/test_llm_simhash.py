@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.llm import simhash
+from pulseframe.session import materialise as write_frame
 from tests.llm.fixtures import frame, lower, rows, words
 
 
@@ -84,3 +85,16 @@ def test_long_text_is_hashed_in_pieces(monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.simhash_near_duplicates(frame(spark, rows()).limit(0)).count() == 0
+
+
+def test_expanded_sides_are_not_broadcast(spark, monkeypatch):
+    plans = {}
+
+    def seen(df, name, write=simhash.materialise):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "materialise", seen)
+    codes = write_frame(spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)], "fp long"), "codes")  # of known size
+    assert simhash.linked(codes).count() == 0
+    assert "SortMergeJoin" in plans["fetched"] and "Broadcast" not in plans["fetched"]
