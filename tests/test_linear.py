@@ -65,3 +65,16 @@ def test_term_counts_shuffle_texts_not_terms(spark):
     assert {tuple(r) for r in counts.collect()} == {(1, "aa", 3), (1, "bb", 1), (2, "bb", 1), (2, "cc", 1)}
     plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(doc" not in plan.split("Generate")[0]
+
+
+def test_margins_shuffle_no_row_per_term(spark, monkeypatch):
+    monkeypatch.setattr(linear, "MARGIN_TERMS", 3)
+    rows = [(i, Vectors.sparse(40, {k: float(k + i) for k in range(i % 7, 40, 3 + i % 4)})) for i in range(30)] + [(30, Vectors.sparse(40, {}))]
+    df = spark.createDataFrame(rows, ["i", "features"])
+    weights = spark.createDataFrame([(k, [0.5 * k, 1.0 - k]) for k in range(0, 40, 2)], "number int, w array<double>")
+    model = linear.LinearModel(weights, [0.25, -1.0])
+    made = model.margins(df)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    for r in made.collect():
+        want = [sum(v * w(int(k)) for k, v in zip(r.features.indices, r.features.values) if k % 2 == 0) + s for w, s in ((lambda k: 0.5 * k, 0.25), (lambda k: 1.0 - k, -1.0))]
+        assert r.margins == pytest.approx(want)
